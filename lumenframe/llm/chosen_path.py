@@ -10,9 +10,10 @@ Links are found in two passes. Hubs: in every node the smallest doc_id leads,
 and pairs of leader and follower that meet in three trees or more are confirmed
 on full sets; this is linear in a node's size and joins groups of near copies of
 any size. Nodes: those whose classes still lie in different components branch on
-until they are small (512) and are compared exhaustively on the 64 tokens; a
-node that does not fall apart is compared in blocks. Pairs that agree on half of
-the tokens or more, and are not connected yet, are confirmed on full sets.
+until they are small (256) and are compared exhaustively on the 64 tokens; a
+node that does not fall apart is compared in blocks. Classes that agree on half
+of the tokens or more with one that is not connected to them yet are compared on
+full sets within their node, which gives as few links as join its components.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; texts of one to four words have one shingle; doc_id is a key, and
@@ -35,7 +36,7 @@ from lumenframe.llm.staging import Stages, small
 TOKENS = 64
 TREES = 12
 LEVELS = 4
-NODE = 512
+NODE = 256
 LEAST_AGREE = 32
 HUB_TREES = 3
 _HUB_FAN = 64
@@ -141,45 +142,99 @@ def components(edges: DataFrame, stages: Stages, rounds: int = 60) -> DataFrame:
     return labels
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (node, side, doc, component, tokens): agreeing pairs across components within a node. side 1 is compared with side 0 only."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def pairs(parts: list[tuple[np.ndarray, ...]]):
-        side, doc, comp, tok = (np.concatenate(x) for x in zip(*parts, strict=True))
-        left = np.flatnonzero(side == 0)
-        crossed = bool((side == 1).any())
-        right = np.flatnonzero(side == 1) if crossed else left
-        for i in left:
-            other = right if crossed else right[right > i]
-            other = other[comp[other] != comp[i]]
-            if len(other):
-                good = other[(tok[other] == tok[i]).sum(axis=1) >= LEAST_AGREE]
-                for j in good:
-                    yield min(doc[i], doc[j]), max(doc[i], doc[j])
-
-    def batch_of(found) -> pa.RecordBatch:
-        found = sorted(set(found))
-        return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], ["a", "b"])
-
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The parts of each node of sorted batches (the node is the first column), one node at a time."""
+    held: list[pa.RecordBatch] = []
     node = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, side, doc, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        lists = batch.column(4)
-        tok = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, TOKENS)
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
-        found: list = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if held and keys[lo] != node:
-                found += pairs(held)
+                yield held
                 held = []
             node = keys[lo]
-            held.append((side[lo:hi], doc[lo:hi], comp[lo:hi], tok[lo:hi]))
-        yield batch_of(found)
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield batch_of(pairs(held))
+        yield held
+
+
+def _column(parts: list[pa.RecordBatch], i: int) -> np.ndarray:
+    return np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts])
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (node, side, doc, component, tokens) those that agree on enough tokens with a row of another component in their node. A row of side 1 is compared with side 0 only."""
+    for parts in _nodes(batches):
+        side, comp = _column(parts, 1), _column(parts, 3)
+        if comp.min() == comp.max():
+            continue
+        tok = np.concatenate([p.column(4).flatten().to_numpy(zero_copy_only=False) for p in parts]).reshape(-1, TOKENS)
+        left = np.flatnonzero(side == 0)
+        crossed = bool((side == 1).any())
+        right = np.flatnonzero(side == 1) if crossed else left
+        near = np.zeros(len(side), bool)
+        for i in left:
+            other = right[comp[right] != comp[i]]
+            good = other[(tok[other] == tok[i]).sum(axis=1) >= LEAST_AGREE]
+            if len(good):
+                near[i] = True
+                near[good] = True
+        for p, lo in zip(parts, np.cumsum([0, *(p.num_rows for p in parts[:-1])]), strict=True):
+            kept = p.select([0, 1, 2, 3]).filter(pa.array(near[lo : lo + p.num_rows]))
+            if kept.num_rows:
+                yield kept
+
+
+_CELLS = 4_000_000
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices over blocks of the items."""
+    item, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, _CELLS // len(sets))
+    for lo in range(0, len(item), width):
+        i, j = np.searchsorted(at, (lo, lo + width))
+        m = np.zeros((len(sets), min(width, len(item) - lo)), np.float32)
+        m[owner[i:j], at[i:j] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _links(percent: int):
+    """Of sorted rows (node, side, doc, component, text): links of full sets that join the components of a node, as few as do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _nodes(batches):
+            side, doc, comp = (_column(parts, i) for i in (1, 2, 3))
+            sets = [s for p in parts for s in shingle_sets(p.column(4))]
+            size = np.array([len(s) for s in sets])
+            both = intersections(sets)
+            good = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            good &= (comp[:, None] != comp[None, :]) & (side[:, None] == 0) & (side[None, :] == (1 if (side == 1).any() else 0))
+            up = {c: c for c in comp.tolist()}
+
+            def top(c: int, up: dict = up) -> int:
+                while up[c] != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            out_a, out_b = [], []
+            for i, j in zip(*np.nonzero(good), strict=True):
+                x, y = top(int(comp[i])), top(int(comp[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out_a.append(min(int(doc[i]), int(doc[j])))
+                    out_b.append(max(int(doc[i]), int(doc[j])))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -192,15 +247,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = stages.write(full.join(reps.select("digest", "rep"), "digest").filter("doc_id = rep").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "tokens"))
     key = lambda t: F.shiftleft(F.lit(t).cast("long"), 32) + F.get("tokens", F.lit(t)).cast("long")
     members = classes.select("doc", F.explode(F.array(*map(key, range(TREES)))).alias("node"))
-    nodes = members.groupBy("node").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    nodes = stages.write(members.groupBy("node").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = stages.write(members.join(nodes, "node"))
     hubs = met.filter("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("trees")).filter(F.col("trees") >= HUB_TREES).select("a", "b")
     links = confirm(docs, hubs, percent, stages)
     labels = components(links, stages)
 
-    known = met.select("node", "doc").join(labels.select(F.col("doc_id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = known.join(known.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node", "n"), "node")
-    open_ = stages.write(open_.join(classes, "doc").select("node", "doc", "component", "tokens", "n"))
+    known = stages.write(met.select("node", "doc").join(labels.select(F.col("doc_id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+
+    def mixed(df: DataFrame) -> DataFrame:
+        """node, n of the nodes with more than one component. A table of its own, so that a large node's rows can be split in the join."""
+        return stages.write(df.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node", "n"))
+
+    open_ = stages.write(known.join(mixed(known), "node").join(classes, "doc").select("node", "doc", "component", "tokens", "n"))
     ready = [open_.filter(F.col("n") <= NODE).drop("n").withColumn("side", F.lit(0))]
     large = open_.filter(F.col("n") > NODE)
     for level in range(1, LEVELS):
@@ -209,8 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         tree = F.shiftrightunsigned("node", 32).cast("int") if level == 1 else F.col("tree")
         deeper = large.withColumn("tree", tree)
         deeper = deeper.withColumn("node", F.xxhash64("node", F.get("tokens", F.col("tree") + F.lit(level * TREES)))).drop("n")
-        counts = deeper.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node", "n")
-        deeper = stages.write(deeper.join(counts, "node"))
+        deeper = stages.write(deeper.join(mixed(deeper), "node"))
         ready.append(deeper.filter(F.col("n") <= NODE).select("node", "doc", "component", "tokens").withColumn("side", F.lit(0)))
         large = deeper.filter(F.col("n") > NODE)
     # What no level divides is compared block against block.
@@ -223,8 +281,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     for df in ready[1:]:
         rows = rows.unionByName(df)
     rows = rows.select("node", "side", "doc", "component", "tokens").repartition("node").sortWithinPartitions("node", "side")
-    pairs = stages.write(rows.mapInArrow(_compare, "a long, b long").distinct())
-    more = confirm(docs, pairs, percent, stages)
+    near = stages.write(rows.mapInArrow(_partners, "node long, side int, doc long, component long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    full = texts.join(small(near), "doc").select("node", "side", "doc", "component", "text")
+    more = stages.write(full.repartition("node").sortWithinPartitions("node", "side", "doc").mapInArrow(_links(percent), "a long, b long"))
     labels = components(links.unionByName(more), stages)
     out = sigs.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").join(labels.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))

@@ -251,8 +251,8 @@ def test_chain_and_hub_of_near_copies(spark, empty, monkeypatch):
 def test_blocks_compare_all_pairs(monkeypatch):
     rng = np.random.default_rng(1)
     tok = rng.integers(0, 3, (40, chosen_path.TOKENS)).astype(np.int32)
-    monkeypatch.setattr(chosen_path, "LEAST_AGREE", 24)
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if (tok[i] == tok[j]).sum() >= 24}
+    monkeypatch.setattr(chosen_path, "LEAST_AGREE", 30)
+    want = {i for i in range(40) for j in range(40) if i != j and (tok[i] == tok[j]).sum() >= 30}
     lists = lambda ids: pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(ids) + 1, 64, dtype=np.int32)), pa.array(tok[ids].ravel()))
     found, own = set(), [i % 3 for i in range(40)]
     for x in range(3):
@@ -260,9 +260,17 @@ def test_blocks_compare_all_pairs(monkeypatch):
             ids = sorted((i for i in range(40) if own[i] in (x, y)), key=lambda i: own[i] != x)
             side = [0 if own[i] == x else 1 for i in ids]
             batch = pa.RecordBatch.from_arrays([pa.array([7] * len(ids)), pa.array(side), pa.array(ids), pa.array(ids), lists(ids)], list("abcde"))
-            for out in chosen_path._compare(iter([batch.slice(0, 5), batch.slice(5)])):
-                found |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
-    assert found == want
+            for out in chosen_path._partners(iter([batch.slice(0, 5), batch.slice(5)])):
+                found |= set(out.column(2).to_pylist())
+    assert 0 < len(want) < 40 and found == want
+
+
+def test_intersections(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (3, 40, 50, 1, 60)]
+    monkeypatch.setattr(chosen_path, "_CELLS", 35)
+    got = chosen_path.intersections(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(5) for j in range(5))
 
 
 BASE = {
