@@ -94,7 +94,7 @@ def deidentify(elements: DataFrame, mask: Mask | None = None, consistent_uids: b
     inside = F.lit(False)
     if emptied:
         exact = [t for t in emptied if "X" not in t]
-        rules = F.lit("|".join(t.replace("X", "[0-9A-F]") for t in emptied if "X" in t) or "(?!)")
+        rules = "|".join(t.replace("X", "[0-9A-F]") for t in emptied if "X" in t) or "(?!)"
         inside = F.exists(F.coalesce("path", F.array().cast("array<struct<tag:string,item:int>>")), lambda p: p["tag"].isin(*exact) | p["tag"].rlike(rules) if exact else p["tag"].rlike(rules))
     df = df.filter(F.coalesce(resolved(F.col("_action")) != "X", F.lit(True)) & ~inside)
     changed = F.col("_action").isNotNull() & F.coalesce(resolved(F.col("_action")) != "K", F.lit(True))

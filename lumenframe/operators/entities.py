@@ -54,8 +54,8 @@ def modules(elements: DataFrame, *names: str) -> DataFrame:
     """instance_id and a struct column per module (all by default), typed: one pass over the elements."""
     names = names or tuple(MODULES)
     tags = tuple(dict.fromkeys(t for n in names for t in MODULES[n]))
-    nested = "scheduled_procedure_step" in names
-    rows = pivot_first(elements if nested else elements.filter("depth = 0"), Selection(*tags))
+    nested = [KEYWORDS[t] for t in MODULES["scheduled_procedure_step"]] if "scheduled_procedure_step" in names else []
+    rows = pivot_first(elements.filter((F.col("depth") == 0) | F.col("tag").isin(*nested)), Selection(*tags))
 
     def typed(t: str) -> Column:
         c = F.col(t)

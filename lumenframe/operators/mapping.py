@@ -125,9 +125,8 @@ class Mapping:
     def apply(self, elements: DataFrame, keys: Sequence[str] = ("instance_id",), value: str = "str") -> DataFrame:
         """One row per object with a column per property; the last occurrence of a tag wins."""
         tags = self.needed_tags()
-        kept = elements.filter(F.col("tag").isin(*tags)) if tags else elements
         last = [F.max(F.when(F.col("tag") == t, F.struct("ordinal", F.col(value).cast("string").alias("v"))))["v"].alias(f"_{t}") for t in tags]
-        rows = kept.groupBy(*keys).agg(*last) if last else kept.select(*keys).distinct()
+        rows = elements.groupBy(*keys).agg(*last) if last else elements.select(*keys).distinct()  # unfiltered: objects without any of the tags stay
         return rows.select(*keys, *(c.alias(n) for n, c in self.columns({t: F.col(f"_{t}") for t in tags})))
 
     def nested(self, row: DataFrame, keys: Sequence[str] = ("instance_id",)) -> DataFrame:

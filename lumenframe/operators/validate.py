@@ -60,14 +60,14 @@ def incomplete(elements: DataFrame) -> DataFrame:
 
 def sequence_mismatches(elements: DataFrame) -> DataFrame:
     """Elements inside an item whose sequence is not among the object's elements at that place."""
-    inner = elements.filter("depth > 0").withColumn("_seq", F.element_at("path", -1)["tag"]).withColumn("_above", F.regexp_replace("path_text", r"[0-9A-F]{8}\[\d+\]/$", ""))
+    inner = elements.filter("depth > 0").withColumn("_seq", F.try_element_at("path", F.lit(-1))["tag"]).withColumn("_above", F.regexp_replace("path_text", r"[0-9A-F]{8}\[\d+\]/$", ""))
     owners = elements.filter("vr = 'SQ'").select("instance_id", F.col("tag").alias("_seq"), F.coalesce("path_text", F.lit("")).alias("_above")).distinct()
     return _concern(inner.join(owners, ["instance_id", "_seq", "_above"], "left_anti"), "error", "SequenceMismatch", "the item belongs to no open sequence", "onStartItem")
 
 
 def item_gaps(elements: DataFrame) -> DataFrame:
     """Items whose number leaves out an earlier item of the same sequence; empty items count as there only if an element says so."""
-    items = elements.filter("depth > 0").select("instance_id", F.regexp_replace("path_text", r"\[\d+\]/$", "").alias("seq"), F.element_at("path", -1)["item"].alias("item"), "path_text").distinct()
+    items = elements.filter("depth > 0").select("instance_id", F.regexp_replace("path_text", r"\[\d+\]/$", "").alias("seq"), F.try_element_at("path", F.lit(-1))["item"].alias("item"), "path_text").distinct()
     order = Window.partitionBy("instance_id", "seq").orderBy("item")
     gaps = items.withColumn("_gap", F.col("item") - F.coalesce(F.lag("item").over(order), F.lit(-1))).filter("_gap > 1")
     return _concern(gaps, "warning", "SequenceItemMismatch", "an item number is left out", "onStartItem", F.lit(None), F.lit(None))
