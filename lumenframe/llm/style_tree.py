@@ -221,6 +221,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == 2, F.col("k") * F.log("k"))).alias("same"),
         F.sum(F.when(F.col("kind") == 2, F.col("k"))).alias("shown"),
     )
+    nodes = Stages(pages.sparkSession, "nodes").write(nodes)  # read twice below
     log_m = F.log(F.greatest(F.col("m"), F.lit(2)))
     nodes = nodes.withColumn("entropy", F.coalesce("spread", F.lit(0.0)) / log_m).withColumn("variety", F.when(F.col("shown") > 1, (F.log("shown") - F.col("same") / F.col("shown")) / log_m))
     below = nodes.select("host", F.explode("chain").alias("path"), "entropy", "blocks").groupBy("host", "path").agg(F.sum("entropy").alias("entropy"), F.sum("blocks").alias("blocks"))
