@@ -1 +1,8 @@
 """A Spark-native engine for imaging objects and their metadata."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions go to the executors by value, so that executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -40,27 +40,29 @@ def ordered_union(values: Column, order: str | Column = "seen") -> Column:
 def integrity(rows: DataFrame) -> DataFrame:
     """Violations (rule, uid) of records: one owner, class and patient for each UID, and valid UIDs and numbers."""
 
-    def several(key: str, value: str, rule: str) -> DataFrame:
-        v = F.col(value)
-        return rows.filter(F.col(key).isNotNull() & v.isNotNull()).groupBy(F.col(key).alias("uid")).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).filter("lo <> hi").select(F.lit(rule).alias("rule"), "uid")
-
+    def grouped(key: str, rules: dict[str, str]) -> DataFrame:
+        """One aggregate per key for all its rules; values are compared by 64-bit hash, which keeps the aggregate in a hash map."""
+        several = []
+        for i, value in enumerate(rules):
+            h = F.when(F.col(value).isNotNull(), F.xxhash64(value))
+            several += [F.min(h).alias(f"_lo{i}"), F.max(h).alias(f"_hi{i}")]
+        broken = F.filter(F.array(*(F.when(F.col(f"_lo{i}") != F.col(f"_hi{i}"), rule) for i, rule in enumerate(rules.values()))), lambda r: r.isNotNull())
+        return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("uid")).agg(*several).select(F.explode(broken).alias("rule"), "uid")
+
+    def broken(condition: Column, rule: str, uid: str) -> Column:
+        return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.col(uid).alias("uid")))
+
+    each = [broken(~valid_uid(F.col(c)), f"invalid {c}", c) for c in ("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "SOPClassUID")]
+    each += [broken(non_blank(F.col(c)).isNotNull() & fhir_unsigned(F.col(c)).isNull(), f"invalid {c}", "SOPInstanceUID") for c in ("SeriesNumber", "InstanceNumber")]
+    each += [broken(non_blank(F.col(c)).isNotNull() & fhir_date(F.col(c)).isNull(), f"invalid {c}", "SOPInstanceUID") for c in ("StudyDate", "SeriesDate", "PatientBirthDate")]
+    single = rows.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("x.rule", "x.uid").distinct()
     out = [
-        several("SeriesInstanceUID", "StudyInstanceUID", "series in several studies"),
-        several("SOPInstanceUID", "SeriesInstanceUID", "instance in several series"),
-        several("SeriesInstanceUID", "Modality", "series of several modalities"),
-        several("SOPInstanceUID", "SOPClassUID", "instance of several classes"),
-        several("StudyInstanceUID", "PatientID", "study of several patients"),
-        several("StudyInstanceUID", "IssuerOfPatientID", "study of several patient issuers"),
-        several("StudyInstanceUID", "NumberOfStudyRelatedSeries", "study with several series totals"),
-        several("StudyInstanceUID", "NumberOfStudyRelatedInstances", "study with several instance totals"),
+        grouped("SeriesInstanceUID", {"StudyInstanceUID": "series in several studies", "Modality": "series of several modalities"}),
+        grouped("SOPInstanceUID", {"SeriesInstanceUID": "instance in several series", "SOPClassUID": "instance of several classes"}),
+        grouped("StudyInstanceUID", {"PatientID": "study of several patients", "IssuerOfPatientID": "study of several patient issuers", "NumberOfStudyRelatedSeries": "study with several series totals", "NumberOfStudyRelatedInstances": "study with several instance totals"}),
+        single,
     ]
-    for c in ("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "SOPClassUID"):
-        out.append(rows.filter(~valid_uid(F.col(c))).select(F.lit(f"invalid {c}").alias("rule"), F.col(c).alias("uid")))
-    for c in ("SeriesNumber", "InstanceNumber"):
-        out.append(rows.filter(non_blank(F.col(c)).isNotNull() & fhir_unsigned(F.col(c)).isNull()).select(F.lit(f"invalid {c}").alias("rule"), F.col("SOPInstanceUID").alias("uid")))
-    for c in ("StudyDate", "SeriesDate", "PatientBirthDate"):
-        out.append(rows.filter(non_blank(F.col(c)).isNotNull() & fhir_date(F.col(c)).isNull()).select(F.lit(f"invalid {c}").alias("rule"), F.col("SOPInstanceUID").alias("uid")))
-    return reduce(DataFrame.unionByName, out).distinct()
+    return reduce(DataFrame.unionByName, out)
 
 
 def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -82,9 +84,11 @@ def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         first_known("PatientID").alias("patient_id"), first_known("IssuerOfPatientID").alias("issuer"), first_known("PatientName").alias("patient_name"), first_known("PatientSex").alias("sex"),
         first_known(fhir_date(F.col("PatientBirthDate"))).alias("birth_date"), first_known("PatientTelephoneNumbers").alias("phone"), first_known("PatientTelecomInformation").alias("telecom"),
         first_known("NumberOfStudyRelatedSeries").alias("declared_series"), first_known("NumberOfStudyRelatedInstances").alias("declared_instances"),
-        ordered_union(modality_list(F.coalesce("ModalitiesInStudy", "Modality"))).alias("modalities"),
     )
-    return instances, series, head
+    # One row per study and modality text first, so that a study's list never holds its instances.
+    texts = rows.groupBy("StudyInstanceUID", F.coalesce("ModalitiesInStudy", "Modality").alias("_m")).agg(F.min("seen").alias("seen"))
+    listed = texts.groupBy("StudyInstanceUID").agg(ordered_union(modality_list(F.col("_m"))).alias("modalities"))
+    return instances, series, head.join(listed, head["StudyInstanceUID"].eqNullSafe(listed["StudyInstanceUID"])).drop(listed["StudyInstanceUID"])
 
 
 def _pruned(s: Column) -> Column:
