@@ -30,6 +30,8 @@ CENTROIDS = 4
 #: Training texts that centroids are fitted on at most (about: drawn by a hash of doc_id).
 FIT_ROWS = 3000
 REJECT_SHARE = 0.5
+#: Trigrams from which the full distance counts; shorter texts, whose vectors are noisy, are rejected less readily.
+FULL_TRIGRAMS = 400
 UNKNOWN = "und"
 
 _LETTER = textvec.LOWER.copy()
@@ -79,10 +81,12 @@ class Centroids:
     vectors: np.ndarray
     least: np.ndarray  # the cosine below which each centroid rejects
 
-    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest centroid, its cosine, and whether it is too far."""
         cosines = _weigh(counts, self.idf) @ self.vectors.T
         at = cosines.argmax(axis=1)
-        return at, cosines[np.arange(len(at)), at]
+        cosine = cosines[np.arange(len(at)), at]
+        return at, cosine, cosine < self.least[at] * np.sqrt(np.minimum(1.0, counts.sum(axis=1) / FULL_TRIGRAMS))
 
 
 def cluster(v: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
@@ -128,11 +132,11 @@ def _identify(model: Centroids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in textvec.chunks(batch.column(1), rows=256):
-                at, cosine = model.nearest(trigram_counts(data, offsets))
+                at, cosine, far = model.nearest(trigram_counts(data, offsets))
                 none = np.diff(offsets) == 0
                 lang = pa.array([UNKNOWN if x else model.langs[i] for i, x in zip(at, none, strict=True)], pa.string())
                 score = np.where(none, 0.0, np.clip(cosine, 0, 1)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lang, pa.array(score), pa.array(none | (cosine < model.least[at]))], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lang, pa.array(score), pa.array(none | far)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run
 

@@ -20,7 +20,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Powers(dict):
+    """A cache that each process fills for itself."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

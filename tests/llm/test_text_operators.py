@@ -381,6 +381,9 @@ def test_languages_on_held_out_documents(spark, edge, empty):
     assert len(out) == len(rows) and {r.doc_id for r in held} == {i for i in rows if crc(i, 4) == 2}
     good = sum(r.lang_pred == rows[r.doc_id].lang for r in held) / len(held)
     assert good > 0.95, good
+    assert not any(r.rejected for r in out if any(c.isalpha() for c in rows[r.doc_id].text or "")), "clean texts stay, short ones too"
+    foreign = edge.sparkSession.createDataFrame([(1, "Ω ψηφίο κείμενο άγνωστης γλώσσας " * 40)], "doc_id long, text string")
+    assert centroid_langid.identify(foreign, centroid_langid.fit_on(queries.table(spark, sf, "documents"))).first().rejected
     small = {r.doc_id: r for r in centroid_langid.predict_languages(edge).collect()}
     assert all(small[i].lang_pred == "und" and small[i].score == 0 and small[i].rejected for i in (1, 2, 3))
     assert centroid_langid.predict_languages(empty).collect() == []
