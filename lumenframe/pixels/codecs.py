@@ -1,4 +1,4 @@
-"""Frame codecs in NumPy: native samples, RLE, PNG, TIFF."""
+"""Frame codecs in NumPy: native samples, RLE, lossless JPEG, PNG, TIFF."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from lumenframe.dictionary import BIG, EXPLICIT, IMPLICIT, RLE
+from lumenframe.pixels import jpeg
 
 
 class CodecError(ValueError):
@@ -335,7 +336,20 @@ def tiff_decode(data: bytes) -> np.ndarray:
 
 
 #: Decoders to native little-endian frames by transfer syntax; others pass through with a concern.
-DECODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_decode}
+def jpeg_lossless_decode(data: bytes, im: Image) -> bytes:
+    """A native little-endian frame of a lossless JPEG frame."""
+    try:
+        px, bits = jpeg.decode_lossless(data)
+    except jpeg.JpegError as e:
+        raise CodecError(str(e)) from e
+    if px.shape != (im.rows, im.columns, im.samples) or bits > im.allocated or im.allocated not in (8, 16):
+        raise CodecError(f"picture of {px.shape} and {bits} bits is not what the object declares")
+    px = px.transpose(2, 0, 1) if im.planar == 1 else px
+    return px.astype(f"<u{im.allocated // 8}").tobytes()
+
+
+JPEG_LOSSLESS = ("1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
+DECODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_decode, **dict.fromkeys(JPEG_LOSSLESS, jpeg_lossless_decode)}
 ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode}
 
 

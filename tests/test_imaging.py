@@ -14,7 +14,7 @@ from lumenframe.functions import dicom
 from lumenframe.operators import deid, entities, fhir, frames, validate
 from lumenframe.operators.mapping import Mapping
 from lumenframe.operators.select import Selection, pivot_first, query, references, skip_below
-from lumenframe.pixels import codecs, redact
+from lumenframe.pixels import codecs, jpeg, redact
 from lumenframe.plans.pipeline import BuildError, Pipeline
 from lumenframe.sinks import packages
 from lumenframe.sinks import part10 as writer
@@ -444,3 +444,65 @@ def test_dump_lines(spark):
 
 def test_dictionary_is_consistent():
     assert all(KEYWORDS[e.keyword] == t for t, e in TAGS.items()) and len(set(KEYWORDS)) == len(TAGS)
+
+
+def jpeg_lossless(px, predictor, bits, shift=0, restart_rows=0):
+    """A plain encoder: one scan, one table in which every category has five bits."""
+    rows, columns, n = px.shape
+    low = (px >> shift).astype(int)
+    code, intervals = [], []
+
+    def guess(i, j, k, first):
+        if i == first:
+            return low[i, j - 1, k] if j else 1 << (bits - shift - 1)
+        if not j:
+            return low[i - 1, j, k]
+        a, b, c = (int(x) for x in (low[i, j - 1, k], low[i - 1, j, k], low[i - 1, j - 1, k]))
+        return (a, b, c, a + b - c, a + (b - c) // 2, b + (a - c) // 2, (a + b) // 2)[predictor - 1]
+
+    step = restart_rows or rows
+    for first in range(0, rows, step):
+        code = []
+        for i in range(first, min(rows, first + step)):
+            for j in range(columns):
+                for k in range(n):
+                    d = (int(low[i, j, k]) - int(guess(i, j, k, first))) % 65536
+                    d = d - 65536 if d > 32768 else d
+                    size = abs(d).bit_length()
+                    code.append(f"{size:05b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if 0 < size < 16 else ""))
+        s = "".join(code)
+        s += "1" * (-len(s) % 8)
+        intervals.append(int(s, 2).to_bytes(len(s) // 8, "big").replace(b"\xff", b"\xff\x00"))
+    seg = lambda m, body: bytes([255, m]) + struct.pack(">H", len(body) + 2) + body
+    body = b"".join(x + (bytes([255, 0xD0 + i % 8]) if i + 1 < len(intervals) else b"") for i, x in enumerate(intervals))
+    head = seg(0xC3, struct.pack(">BHHB", bits, rows, columns, n) + b"".join(bytes([k + 1, 0x11, 0]) for k in range(n))) + seg(0xC4, bytes([0, 0, 0, 0, 0, 17] + [0] * 11) + bytes(range(17)))
+    head += seg(0xDD, struct.pack(">H", restart_rows * columns)) if restart_rows else b""
+    return b"\xff\xd8" + head + seg(0xDA, bytes([n]) + b"".join(bytes([k + 1, 0]) for k in range(n)) + bytes([predictor, 0, shift])) + body + b"\xff\xd9"
+
+
+def test_lossless_jpeg_round_trip():
+    rng = np.random.default_rng(4)
+    for predictor in range(1, 8):
+        for bits, n, shift, restart in ((8, 3, 0, 0), (12, 1, 0, 3), (16, 1, 0, 0), (16, 1, 2, 2)):
+            px = (rng.integers(0, 1 << bits, (7, 9, n)) >> shift) << shift
+            data = jpeg_lossless(px, predictor, bits, shift, restart)
+            got, depth = jpeg.decode_lossless(data)
+            assert depth == bits and np.array_equal(got, px), (predictor, bits, shift)
+    im = codecs.Image(7, 9, 1, 16, 16)
+    assert codecs.DECODERS["1.2.840.10008.1.2.4.70"](data + b"\0", im) == px.astype("<u2").tobytes()
+    for bad in (data[:-40], b"\xff\xd8\xff", b"", data.replace(b"\xff\xc3", b"\xff\xc0"), data[:30]):
+        with pytest.raises(codecs.CodecError):
+            codecs.jpeg_lossless_decode(bad, im)
+    with pytest.raises(codecs.CodecError):
+        codecs.jpeg_lossless_decode(data, codecs.Image(9, 7, 1, 16, 16))
+
+
+def test_image_files_are_redacted_or_held_back(spark):
+    picture = np.full((8, 10, 4), 200, np.uint8)
+    made = [("p", codecs.png_encode(picture)), ("t", codecs.tiff_encode(picture)), ("j", b"\xff\xd8\xff\xe0"), ("d", codecs.png_encode(picture)[:40]), ("n", None)]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in made], "instance_id string, content binary")
+    got = {r.instance_id: r for r in frames.redact_images(df, [{"x": 2, "y": 1, "width": 3, "height": 2}]).collect()}
+    want = picture.copy()
+    want[1:3, 2:5, :3] = 0
+    assert np.array_equal(codecs.png_decode(bytes(got["p"].content)), want) and np.array_equal(codecs.tiff_decode(bytes(got["t"].content)), want)
+    assert all(got[i].content is None and got[i].concern for i in "jdn") and got["p"].concern is None
