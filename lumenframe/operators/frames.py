@@ -76,6 +76,12 @@ def _each(frames: DataFrame, change, schema: str = FRAME) -> DataFrame:
     return frames.mapInPandas(run, schema)
 
 
+def _facts(im: codecs.Image) -> dict:
+    """Columns that follow an image; decoded frames have full colour resolution."""
+    photometric = "YBR_FULL" if im.photometric == "YBR_FULL_422" else im.photometric
+    return {"samples": im.samples, "allocated": im.allocated, "stored": im.stored, "signed": im.signed, "photometric": photometric, "planar": im.planar, "slope": im.slope, "intercept": im.intercept, "center": im.center, "width": im.width}
+
+
 def transcode(frames: DataFrame, target: str, fallback: str = "passthrough") -> DataFrame:
     """Frames in another transfer syntax. Without a codec: passthrough (with a concern), skip (dropped) or fail."""
     if fallback not in ("passthrough", "skip", "fail"):
@@ -89,7 +95,10 @@ def transcode(frames: DataFrame, target: str, fallback: str = "passthrough") ->
             if fallback == "fail":
                 raise ValueError(f"no codec from {r.transfer_syntax_uid} to {target}")
             return {"concern": f"no codec from {r.transfer_syntax_uid} to {target}"}
-        return {"bytes": encode(decode(bytes(r.bytes), im), im), "transfer_syntax_uid": target}
+        native = decode(bytes(r.bytes), im)
+        if target == codecs.JPEG_BASELINE:
+            native, im = codecs.eight_bit(native, im)
+        return {"bytes": encode(native, im), "transfer_syntax_uid": target, **_facts(im)}
 
     out = _each(frames, change)
     return out.filter("concern is null") if fallback == "skip" else out
@@ -108,27 +117,30 @@ def redact_frames(frames: DataFrame, regions: list[dict] | None = None, mode: st
         found = redact.boxes(regions or [], im.columns, im.rows, mode)
         if detect:
             found += redact.text_regions(codecs.rgba(native, im))
+        facts = {"transfer_syntax_uid": _native(r.transfer_syntax_uid), **_facts(im)}
         if not found or im.allocated not in (8, 16):
-            return {"bytes": native, "transfer_syntax_uid": _native(r.transfer_syntax_uid)}
+            return {"bytes": native, **facts}
         dark, light = (-(1 << (im.stored - 1)), (1 << (im.stored - 1)) - 1) if im.signed else (0, (1 << im.stored) - 1)
         value = constant if action == "constant" else (light if (action == "white") != (im.photometric == "MONOCHROME1") else dark)
+        if im.samples == 3 and im.photometric.startswith("YBR"):  # grey: no colour difference
+            value = (value, 1 << (im.stored - 1), 1 << (im.stored - 1))
         px = codecs.samples_of(native, im)
         px = redact.fill(px, found, value) & ((1 << im.stored) - 1)
         px = px.transpose(2, 0, 1) if im.samples > 1 and im.planar == 1 else px
-        return {"bytes": px.astype(f"<u{im.allocated // 8}").tobytes(), "transfer_syntax_uid": _native(r.transfer_syntax_uid)}
+        return {"bytes": px.astype(f"<u{im.allocated // 8}").tobytes(), **facts}
 
     return _each(frames, change)
 
 
 def redact_images(objects: DataFrame, regions: list[dict] | None = None, mode: str = "pixel", action: str = "black", constant: int = 0, detect: bool = False) -> DataFrame:
-    """instance_id, format, content, concern: PNG and TIFF files with regions (given, or detected text) filled, in their own format.
+    """instance_id, format, content, concern: PNG, TIFF and JPEG files with regions (given, or detected text) filled, in their own format (JPEG pictures are coded anew as baseline ones).
 
-    What cannot be decoded (JPEG, damaged files, null content) has null content and a concern, so no unredacted file passes.
+    What cannot be decoded (progressive or lossless JPEG, damaged files, null content) has null content and a concern, so no unredacted file passes.
     """
     if action not in ("black", "white", "constant"):
         raise ValueError("action is black, white or constant")
     value = {"black": 0, "white": 255, "constant": constant}[action]
-    known = {"png": (codecs.png_decode, codecs.png_encode), "tiff": (codecs.tiff_decode, codecs.tiff_encode)}
+    known = {"png": (codecs.png_decode, codecs.png_encode), "tiff": (codecs.tiff_decode, codecs.tiff_encode), "jpeg": (codecs.jpeg_picture, codecs.jpeg_file)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,9 +169,9 @@ def _native(uid: str) -> str:
 
 
 def pictures(frames: DataFrame, kind: str = "png") -> DataFrame:
-    """instance_id, frame_index, kind, content, concern: frames as png, tiff or raw RGBA pictures."""
-    if kind not in ("png", "tiff", "rgba"):
-        raise ValueError("kind is png, tiff or rgba")
+    """instance_id, frame_index, kind, content, concern: frames as png, tiff, jpeg or raw RGBA pictures."""
+    if kind not in ("png", "tiff", "jpeg", "rgba"):
+        raise ValueError("kind is png, tiff, jpeg or rgba")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -172,7 +184,7 @@ def pictures(frames: DataFrame, kind: str = "png") -> DataFrame:
                     if decode is None:
                         raise codecs.CodecError(f"no codec for {r.transfer_syntax_uid}")
                     px = codecs.rgba(decode(bytes(r.bytes), im), im)
-                    content = {"png": codecs.png_encode, "tiff": codecs.tiff_encode, "rgba": np.ndarray.tobytes}[kind](px)
+                    content = {"png": codecs.png_encode, "tiff": codecs.tiff_encode, "jpeg": codecs.jpeg_file, "rgba": np.ndarray.tobytes}[kind](px)
                 except (codecs.CodecError, TypeError) as e:
                     concern = concern or str(e)
                 out.append((r.instance_id, r.frame_index, kind, content, concern))

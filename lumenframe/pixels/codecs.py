@@ -1,11 +1,11 @@
-"""Frame codecs in NumPy: native samples, RLE, lossless JPEG, PNG, TIFF."""
+"""Frame codecs in NumPy: native samples, RLE, JPEG (lossless, baseline, extended), PNG, TIFF."""
 
 from __future__ import annotations
 
 import struct
 import zlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -69,6 +69,19 @@ def samples_of(raw: bytes, im: Image, big: bool = False) -> np.ndarray:
     return flat.reshape(im.rows, im.columns, im.samples)
 
 
+def ycc_to_rgb(x: np.ndarray, middle: int = 128) -> np.ndarray:
+    """Rounded RGB, not yet clipped, of full-range luma and colour differences around the middle."""
+    y, cb, cr = x[:, :, 0].astype(float), x[:, :, 1] - float(middle), x[:, :, 2] - float(middle)
+    return np.round(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2))
+
+
+def rgb_to_ycc(x: np.ndarray, middle: int = 128) -> np.ndarray:
+    """Rounded luma and colour differences around the middle, not yet clipped."""
+    r, g, b = (x[:, :, c].astype(float) for c in range(3))
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    return np.round(np.stack([y, middle + (b - y) / 1.772, middle + (r - y) / 1.402], 2))
+
+
 def rgba(raw: bytes, im: Image, big: bool = False) -> np.ndarray:
     """An opaque (rows, columns, 4) uint8 picture of a native frame."""
     v = samples_of(raw, im, big)
@@ -86,9 +99,7 @@ def rgba(raw: bytes, im: Image, big: bool = False) -> np.ndarray:
         if im.stored > 8:
             x = np.floor(x / (1 << (im.stored - 8)))
         if kind.startswith("YBR"):
-            y, cb, cr = x[:, :, 0], x[:, :, 1] - 128, x[:, :, 2] - 128
-            x = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
-            x = np.round(x)
+            x = ycc_to_rgb(x)
         out[:, :, :3] = np.clip(x, 0, 255)
         return out
     x = v[:, :, 0].astype(float)
@@ -335,7 +346,6 @@ def tiff_decode(data: bytes) -> np.ndarray:
     return 255 - a if tags.get(262, [1])[0] == 0 and bits == 8 else a
 
 
-#: Decoders to native little-endian frames by transfer syntax; others pass through with a concern.
 def jpeg_lossless_decode(data: bytes, im: Image) -> bytes:
     """A native little-endian frame of a lossless JPEG frame."""
     try:
@@ -348,9 +358,73 @@ def jpeg_lossless_decode(data: bytes, im: Image) -> bytes:
     return px.astype(f"<u{im.allocated // 8}").tobytes()
 
 
+def jpeg_dct_decode(data: bytes, im: Image) -> bytes:
+    """A native little-endian frame of a baseline or extended JPEG frame, in the declared colours at full resolution."""
+    try:
+        px, bits, transform = jpeg.decode_dct(data)
+    except jpeg.JpegError as e:
+        raise CodecError(str(e)) from e
+    if px.shape != (im.rows, im.columns, im.samples) or bits > im.allocated or im.allocated not in (8, 16):
+        raise CodecError(f"picture of {px.shape} and {bits} bits is not what the object declares")
+    if im.samples == 3 and transform is not None and bool(transform) != im.photometric.startswith("YBR"):
+        px = np.clip((ycc_to_rgb if transform else rgb_to_ycc)(px, 1 << (bits - 1)), 0, (1 << bits) - 1)
+    px = px.transpose(2, 0, 1) if im.planar == 1 else px
+    return px.astype(f"<u{im.allocated // 8}").tobytes()
+
+
+def eight_bit(native: bytes, im: Image) -> tuple[bytes, Image]:
+    """What a baseline JPEG frame can hold: grey or YBR_FULL samples of 8 bits. Deeper samples and palettes are drawn, which uses up window and rescaling."""
+    if im.allocated == 8 and im.stored == 8 and not im.signed and im.photometric != "PALETTE COLOR":
+        px = samples_of(native, im)
+        if im.samples == 1:
+            return native, im
+        px = px if im.photometric.startswith("YBR") else np.clip(rgb_to_ycc(px), 0, 255)
+        return px.astype(np.uint8).tobytes(), replace(im, planar=0, photometric="YBR_FULL")
+    drawn = rgba(native, im)
+    drawn_as = replace(im, allocated=8, stored=8, signed=False, planar=0, slope=1.0, intercept=0.0, center=None, width=None, palette=None)
+    if im.samples == 1 and im.photometric != "PALETTE COLOR":
+        return drawn[:, :, 0].tobytes(), replace(drawn_as, photometric="MONOCHROME2")
+    return np.clip(rgb_to_ycc(drawn), 0, 255).astype(np.uint8).tobytes(), replace(drawn_as, samples=3, photometric="YBR_FULL")
+
+
+def jpeg_baseline_encode(native: bytes, im: Image) -> bytes:
+    """A baseline JPEG frame of what `eight_bit` gives."""
+    if im.allocated != 8 or im.samples not in (1, 3):
+        raise CodecError("baseline JPEG holds one or three samples of 8 bits")
+    try:
+        return jpeg.encode_baseline(samples_of(native, im).astype(np.uint8))
+    except jpeg.JpegError as e:
+        raise CodecError(str(e)) from e
+
+
+def jpeg_picture(data: bytes) -> np.ndarray:
+    """(rows, columns, 1 or 3) grey or RGB samples of a JPEG file; three components without a marker are luma and differences."""
+    try:
+        px, bits, transform = jpeg.decode_dct(data)
+    except jpeg.JpegError as e:
+        raise CodecError(str(e)) from e
+    if bits != 8 or px.shape[2] not in (1, 3):
+        raise CodecError(f"JPEG file of {px.shape[2]} components of {bits} bits")
+    px = ycc_to_rgb(px) if px.shape[2] == 3 and transform != 0 else px
+    return np.clip(px, 0, 255).astype(np.uint8)
+
+
+def jpeg_file(picture: np.ndarray, quality: int = 90) -> bytes:
+    """A JPEG file of a grey, RGB or RGBA uint8 picture; alpha is left out."""
+    a = picture if picture.ndim == 3 else picture[:, :, None]
+    try:
+        return jpeg.encode_baseline(np.clip(rgb_to_ycc(a), 0, 255).astype(np.uint8) if a.shape[2] > 2 else a[:, :, :1], quality)
+    except jpeg.JpegError as e:
+        raise CodecError(str(e)) from e
+
+
+JPEG_BASELINE, JPEG_EXTENDED = "1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.51"
 JPEG_LOSSLESS = ("1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
-DECODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_decode, **dict.fromkeys(JPEG_LOSSLESS, jpeg_lossless_decode)}
-ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode}
+#: Decoders to native little-endian frames by transfer syntax; others pass through with a concern.
+DECODERS: dict[str, Callable[[bytes, Image], bytes]] = {
+    IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_decode, **dict.fromkeys((JPEG_BASELINE, JPEG_EXTENDED), jpeg_dct_decode), **dict.fromkeys(JPEG_LOSSLESS, jpeg_lossless_decode),
+}
+ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode, JPEG_BASELINE: jpeg_baseline_encode}
 
 
 def swap(raw: bytes, width: int) -> bytes:

@@ -1,9 +1,11 @@
-"""Lossless JPEG with Huffman coding (ITU-T T.81, process 14) in NumPy: all seven predictors, restarts and point transforms."""
+"""JPEG with Huffman coding (ITU-T T.81) in NumPy: lossless pictures (process 14), baseline and extended sequential DCT pictures (1, 2, 4), a baseline encoder."""
 
 from __future__ import annotations
 
 import re
 import struct
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -74,15 +76,12 @@ def _predicted(d: np.ndarray, predictor: int, first: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def decode_lossless(data: bytes) -> tuple[np.ndarray, int]:
-    """(rows x columns x components, bits of a sample) of a lossless JPEG picture."""
+def _segments(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(marker, body, entropy-coded bytes that follow a scan's header) of a picture; ends with an error, as readers stop at their last scan."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("no JPEG picture")
-    tables: dict[int, list[tuple[int, int]]] = {}
-    at, restart, shape, ids = 2, 0, None, []
-    px = None
-    done: set[int] = set()
-    while shape is None or len(done) < len(ids):
+    at = 2
+    while True:
         if at + 4 > len(data) or data[at] != 0xFF:
             raise JpegError("marker expected")
         mark = data[at + 1]
@@ -96,12 +95,30 @@ def decode_lossless(data: bytes) -> tuple[np.ndarray, int]:
         if size < 2 or len(body) != size - 2:
             raise JpegError("segment is cut off")
         at += 2 + size
-        try:
+        coded = b""
+        if mark == 0xDA:
+            end = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]").search(data, at)
+            coded = data[at : end.start() if end else len(data)]
+            at += len(coded)
+        yield mark, body, coded
+
+
+def _read_huffman(body: bytes, tables: dict[int, list[tuple[int, int]]]) -> None:
+    while body:
+        n = sum(body[1:17])
+        tables[body[0]] = _huffman(body[1:17], body[17 : 17 + n])
+        body = body[17 + n :]
+
+
+def decode_lossless(data: bytes) -> tuple[np.ndarray, int]:
+    """(rows x columns x components, bits of a sample) of a lossless JPEG picture."""
+    tables: dict[int, list[tuple[int, int]]] = {}
+    restart, shape, ids, px, bits = 0, None, [], None, 0
+    done: set[int] = set()
+    try:
+        for mark, body, coded in _segments(data):
             if mark == 0xC4:
-                while body:
-                    n = sum(body[1:17])
-                    tables[body[0]] = _huffman(body[1:17], body[17 : 17 + n])
-                    body = body[17 + n :]
+                _read_huffman(body, tables)
             elif mark == 0xDD:
                 restart = struct.unpack(">H", body)[0]
             elif mark == 0xC3:
@@ -120,9 +137,6 @@ def decode_lossless(data: bytes) -> tuple[np.ndarray, int]:
                 predictor, shift = body[1 + 2 * body[0]], body[3 + 2 * body[0]] & 15
                 if not 1 <= predictor <= 7 or not own or shift >= bits or restart % columns:
                     raise JpegError("scan parameters not supported")
-                end = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]").search(data, at)
-                coded = data[at : end.start() if end else len(data)]
-                at += len(coded)
                 step = restart // columns or rows
                 parts = re.split(rb"\xff+[\xd0-\xd7]", coded) if restart else [coded]
                 if len(parts) < -(-rows // step):
@@ -133,8 +147,203 @@ def decode_lossless(data: bytes) -> tuple[np.ndarray, int]:
                     for k, c in enumerate(own):
                         px[lo : lo + high, :, c] = (_predicted(d[:, k].reshape(high, columns), predictor, 1 << (bits - shift - 1)) << shift) & 65535
                 done |= set(own)
-        except (IndexError, KeyError, struct.error) as e:
-            raise JpegError("segment is damaged") from e
-        except ValueError as e:
-            raise e if isinstance(e, JpegError) else JpegError("segment is damaged") from e
+                if len(done) == len(ids):
+                    break
+    except (IndexError, KeyError, struct.error) as e:
+        raise JpegError("segment is damaged") from e
+    except ValueError as e:
+        raise e if isinstance(e, JpegError) else JpegError("segment is damaged") from e
     return px, bits
+
+
+#: Place in a block (row * 8 + column) of each coefficient as it is coded: diagonals, upwards and downwards in turn.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+#: Row u holds the u-th cosine of eight samples, orthonormal.
+COSINES = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _blocks(data: bytes, plan: list[tuple[int, list, list]], n: int) -> list[list[int]]:
+    """Coefficients, as coded, of the blocks of n units of one restart interval; plan: (component, DC and AC table) of each block of a unit."""
+    data = data.replace(b"\xff\x00", b"\xff")
+    whole, held, bits, at = 8 * len(data), 0, 0, 0
+    before, out = dict.fromkeys((k for k, _, _ in plan), 0), []
+    for _ in range(n):
+        for k, dc, ac in plan:
+            block, i = [0] * 64, 0
+            while i < 64:
+                if bits < 32:
+                    held = (held & ((1 << bits) - 1)) << 64 | int.from_bytes(data[at : at + 8].ljust(8, b"\0"), "big")
+                    bits, at = bits + 64, at + 8
+                length, value = (ac if i else dc)[held >> (bits - 16) & 65535]
+                run, size = (value >> 4, value & 15) if i else (0, value)
+                if not length or size > 15:
+                    raise JpegError("entropy-coded data are damaged")
+                bits -= length + size
+                low = held >> bits & ((1 << size) - 1)
+                if not i:
+                    before[k] += low if not size or low >> (size - 1) else low - (1 << size) + 1
+                    block[0] = before[k]
+                    i = 1
+                elif size:
+                    i += run
+                    if i > 63:
+                        raise JpegError("a block has too many coefficients")
+                    block[i] = low if low >> (size - 1) else low - (1 << size) + 1
+                    i += 1
+                elif run == 15:
+                    i += 16
+                else:
+                    break
+            if 8 * at - bits > whole:
+                raise JpegError("entropy-coded data are cut off")
+            out.append(block)
+    return out
+
+
+def decode_dct(data: bytes) -> tuple[np.ndarray, int, int | None]:
+    """(rows x columns x components, bits of a sample, colour transform of an Adobe or JFIF marker) of a sequential DCT picture; subsampled components are repeated."""
+    tables: dict[int, list[tuple[int, int]]] = {}
+    steps: dict[int, np.ndarray] = {}
+    restart, parts, transform, jfif, ids = 0, [], None, False, []
+    done: set[int] = set()
+    try:
+        for mark, body, coded in _segments(data):
+            if mark == 0xC4:
+                _read_huffman(body, tables)
+            elif mark == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    steps[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                    body = body[1 + 64 * (2 if wide else 1) :]
+            elif mark == 0xDD:
+                restart = struct.unpack(">H", body)[0]
+            elif mark == 0xE0:
+                jfif = jfif or body[:5] == b"JFIF\0"
+            elif mark == 0xEE and body[:5] == b"Adobe":
+                transform = body[11]
+            elif mark in (0xC0, 0xC1):
+                bits, rows, columns, n = struct.unpack_from(">BHHB", body)
+                ids = [body[6 + 3 * i] for i in range(n)]
+                across, down, quant = ([f(body[7 + 3 * i + j]) for i in range(n)] for f, j in ((lambda b: b >> 4, 0), (lambda b: b & 15, 0), (int, 1)))
+                if not rows or not columns or not n or bits not in (8, 12) or not all(1 <= x <= 4 for x in across + down):
+                    raise JpegError("picture size or sampling not supported")
+                most_x, most_y = max(across), max(down)
+                if any(most_x % x for x in across) or any(most_y % y for y in down):
+                    raise JpegError("sampling is not by whole factors")
+                units_x, units_y = -(-columns // (8 * most_x)), -(-rows // (8 * most_y))
+                parts = [np.zeros((units_y * down[k], units_x * across[k], 64), np.int64) for k in range(n)]
+            elif 0xC0 <= mark <= 0xCF and mark != 0xCC:
+                raise JpegError(f"JPEG process {mark - 0xC0} not supported")
+            elif mark == 0xDA:
+                if not parts:
+                    raise JpegError("scan before frame")
+                own = [ids.index(body[1 + 2 * i]) for i in range(body[0])]
+                used = [(tables[body[2 + 2 * i] >> 4], tables[16 | body[2 + 2 * i] & 15]) for i in range(body[0])]
+                if len(own) == 1:  # blocks of the component alone, without those that only fill units
+                    k = own[0]
+                    wide, high = -(-(-(-columns * across[k] // most_x)) // 8), -(-(-(-rows * down[k] // most_y)) // 8)
+                    inside = [(k, 0, 0)]
+                    grow = {k: (1, 1)}
+                else:
+                    wide, high = units_x, units_y
+                    inside = [(k, y, x) for k in own for y in range(down[k]) for x in range(across[k])]
+                    grow = {k: (down[k], across[k]) for k in own}
+                plan = [(k, *used[own.index(k)]) for k, _, _ in inside]
+                total, step = wide * high, restart or wide * high
+                runs = re.split(rb"\xff+[\xd0-\xd7]", coded) if restart else [coded]
+                if not own or len(runs) < -(-total // step):
+                    raise JpegError("restart intervals are missing")
+                found = [b for lo, run in zip(range(0, total, step), runs, strict=False) for b in _blocks(run, plan, min(step, total - lo))]
+                each = np.array(found, np.int64).reshape(high, wide, len(inside), 64)
+                for j, (k, y, x) in enumerate(inside):
+                    parts[k][y : high * grow[k][0] : grow[k][0], x : wide * grow[k][1] : grow[k][1]] = each[:, :, j]
+                done |= set(own)
+                if len(done) == len(ids):
+                    break
+        planes = []
+        for k, part in enumerate(parts):
+            natural = np.zeros(part.shape)
+            natural[:, :, ZIGZAG] = part * steps[quant[k]]
+            px = COSINES.T @ natural.reshape(*part.shape[:2], 8, 8) @ COSINES
+            px = px.transpose(0, 2, 1, 3).reshape(part.shape[0] * 8, part.shape[1] * 8)
+            px = px.repeat(most_y // down[k], 0).repeat(most_x // across[k], 1)[:rows, :columns]
+            planes.append(np.clip(np.rint(px) + (1 << (bits - 1)), 0, (1 << bits) - 1).astype(np.int64))
+    except (IndexError, KeyError, struct.error) as e:
+        raise JpegError("segment is damaged") from e
+    except ValueError as e:
+        raise e if isinstance(e, JpegError) else JpegError("segment is damaged") from e
+    return np.stack(planes, 2), bits, 1 if transform is None and jfif and len(planes) == 3 else transform
+
+
+def _code_lengths(counts: Counter, most: int = 16) -> dict[int, int]:
+    """Least total Huffman code lengths of at most so many bits (package-merge); no code is of ones only."""
+    items = sorted([(c, (s,)) for s, c in counts.items()] + [(0, (-1,))])
+    packages: list[tuple[int, tuple[int, ...]]] = []
+    for _ in range(most):
+        merged = sorted(items + packages)
+        packages = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(merged[::2], merged[1::2], strict=False)]
+    lengths = Counter(s for _, symbols in packages[: len(items) - 1] for s in symbols)
+    del lengths[-1]  # as rare as any, so among the longest: the unused last code is its own
+    return dict(lengths)
+
+
+def encode_baseline(picture: np.ndarray, quality: int = 90) -> bytes:
+    """A baseline picture of (rows, columns, 1 or 3) uint8 samples as they are, without subsampling, with Huffman tables of its own.
+
+    Quantisation steps grow evenly with the frequency: 1 everywhere at quality 100, up to 99 more for the highest at quality 1.
+    """
+    rows, columns, n = picture.shape
+    if n not in (1, 3) or not 0 < rows < 65536 or not 0 < columns < 65536:
+        raise JpegError("a baseline picture has one or three components and sides under 65536")
+    if not 1 <= quality <= 100:
+        raise JpegError("quality is 1 to 100")
+    step = np.array([[1 + round((100 - quality) * (u + v + 1) / 15) for v in range(8)] for u in range(8)])
+    padded = np.pad(picture.astype(float) - 128, ((0, -rows % 8), (0, -columns % 8), (0, 0)), mode="edge")
+    high, wide = padded.shape[0] // 8, padded.shape[1] // 8
+    blocks = COSINES @ padded.reshape(high, 8, wide, 8, n).transpose(0, 2, 4, 1, 3) @ COSINES.T
+    coded = np.rint(blocks / step).astype(np.int64).reshape(high * wide, n, 64)[:, :, ZIGZAG]
+    coded[:, :, 1:] = np.clip(coded[:, :, 1:], -1023, 1023)
+    coded[:, :, 0] = np.clip(coded[:, :, 0], -1023, 1023)
+    out: list[tuple[int, int, int, int]] = []  # table, symbol, value bits, their number
+    before = [0] * n
+    for unit in coded.tolist():
+        for k, block in enumerate(unit):
+            table, run = min(k, 1), 0
+            last = max((i for i in range(1, 64) if block[i]), default=0)
+            for i in range(last + 1):
+                v = block[i] - before[k] if i == 0 else block[i]
+                if i and not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    out.append((16 | table, 0xF0, 0, 0))
+                    run -= 16
+                size = abs(v).bit_length()
+                out.append((16 | table if i else table, run << 4 | size, v if v >= 0 else v + (1 << size) - 1, size))
+                run = 0
+            before[k] = block[0]
+            if last < 63:
+                out.append((16 | table, 0, 0, 0))
+    counts: dict[int, Counter] = {}
+    for t, symbol, _, _ in out:
+        counts.setdefault(t, Counter())[symbol] += 1
+    codes: dict[tuple[int, int], str] = {}
+    huffman = b""
+    for t, c in sorted(counts.items()):
+        lengths = _code_lengths(c)
+        order, code, at = sorted(lengths, key=lambda s: (lengths[s], s)), 0, 0
+        for s in order:
+            code <<= lengths[s] - at
+            at = lengths[s]
+            codes[t, s] = format(code, f"0{at}b")
+            code += 1
+        per = Counter(lengths.values())
+        huffman += bytes([t]) + bytes(per[i] for i in range(1, 17)) + bytes(order)
+    text = "".join(codes[t, s] + (format(v, f"0{size}b") if size else "") for t, s, v, size in out)
+    text += "1" * (-len(text) % 8)
+    body = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+    segment = lambda mark, b: struct.pack(">BBH", 0xFF, mark, len(b) + 2) + b
+    frame = struct.pack(">BHHB", 8, rows, columns, n) + b"".join(bytes((k + 1, 0x11, 0)) for k in range(n))
+    scan = bytes([n]) + b"".join(bytes((k + 1, 0x11 * min(k, 1))) for k in range(n)) + b"\0\x3f\0"
+    quant = bytes([0]) + bytes(step.ravel()[ZIGZAG].tolist())
+    return b"\xff\xd8" + segment(0xDB, quant) + segment(0xC0, frame) + segment(0xC4, huffman) + segment(0xDA, scan) + body + b"\xff\xd9"

@@ -506,3 +506,84 @@ def test_image_files_are_redacted_or_held_back(spark):
     want[1:3, 2:5, :3] = 0
     assert np.array_equal(codecs.png_decode(bytes(got["p"].content)), want) and np.array_equal(codecs.tiff_decode(bytes(got["t"].content)), want)
     assert all(got[i].content is None and got[i].concern for i in "jdn") and got["p"].concern is None
+
+
+def java_image(spark):
+    """The JVM's picture classes, an implementation of JPEG that is not ours; JVMs without them skip the test."""
+    try:
+        jvm = spark.sparkContext._jvm
+        jvm.java.lang.System.setProperty("java.awt.headless", "true")
+        assert jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").hasNext()
+    except Exception:
+        pytest.skip("no javax.imageio")
+    return jvm
+
+
+def test_dct_jpeg_against_another_codec(spark):
+    jvm = java_image(spark)
+    y, x = np.mgrid[0:45, 0:53]
+    rgb = np.stack([128 + 90 * np.sin(x / 9), 128 + 90 * np.cos(y / 7), 60 + x + y], 2).astype(np.uint8)
+    data = codecs.jpeg_file(rgb, 95)
+    theirs = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    flat = np.array(list(theirs.getRGB(0, 0, 53, 45, None, 0, 53)), np.int64)
+    got = np.stack([flat >> 16 & 255, flat >> 8 & 255, flat & 255], 1).reshape(45, 53, 3)
+    assert np.abs(got - codecs.jpeg_picture(data)).max() <= 2 and np.abs(got - rgb).mean() < 3
+    for kind in (1, 10):  # RGB (coded with subsampled colours) and grey
+        image = jvm.java.awt.image.BufferedImage(53, 45, kind)
+        for j in range(45):
+            for i in range(53):
+                r, g, b = rgb[j, i].tolist()
+                if kind == 10:
+                    image.getRaster().setSample(i, j, 0, g)
+                else:
+                    image.setRGB(i, j, r << 16 | g << 8 | b)
+        stream = jvm.java.io.ByteArrayOutputStream()
+        jvm.javax.imageio.ImageIO.write(image, "jpeg", stream)
+        ours = codecs.jpeg_picture(bytes(stream.toByteArray()))
+        assert ours.shape == (45, 53, 3 if kind == 1 else 1)
+        assert np.abs(ours.astype(int) - (rgb if kind == 1 else rgb[:, :, 1:2])).mean() < 4
+
+
+def test_dct_jpeg_round_trips_and_damage():
+    rng = np.random.default_rng(5)
+    for shape in ((8, 16, 3), (1, 1, 1), (17, 9, 1), (30, 41, 3)):
+        px = rng.integers(0, 256, shape).astype(np.uint8)
+        got, bits, transform = jpeg.decode_dct(jpeg.encode_baseline(px, 100))
+        assert (bits, transform) == (8, None) and np.abs(got - px).max() <= 1
+    data = jpeg.encode_baseline(px)
+    for n in range(0, len(data) - 2, 37):
+        with pytest.raises(jpeg.JpegError):
+            jpeg.decode_dct(data[:n])
+    with pytest.raises(jpeg.JpegError, match="process 2"):
+        jpeg.decode_dct(data.replace(b"\xff\xc0", b"\xff\xc2", 1))
+    with pytest.raises(codecs.CodecError):
+        codecs.jpeg_dct_decode(data, codecs.Image(30, 40, 3))
+    lengths = jpeg._code_lengths({s: 2**s for s in range(25)})
+    assert max(lengths.values()) == 16 and sum(2.0**-n for n in lengths.values()) <= 1 - 2.0**-16
+
+
+def test_frames_to_and_from_baseline_jpeg(spark):
+    grey = np.clip(np.add.outer(np.arange(32), np.arange(32)) * 4, 0, 255).astype(np.uint8)
+    rgb = np.stack([grey, grey.T[::-1], 255 - grey], 2)
+    rows = [
+        ("deep", 0, EXPLICIT, 32, 32, 1, 16, 12, False, "MONOCHROME1", 0, 1.0, 0.0, 2048.0, 4096.0, "CT", (grey.astype("<u2") * 16).tobytes(), None),
+        ("rgb", 0, EXPLICIT, 32, 32, 3, 8, 8, False, "RGB", 1, 1.0, 0.0, None, None, "US", rgb.transpose(2, 0, 1).tobytes(), None),
+        ("422", 0, codecs.JPEG_BASELINE, 32, 32, 3, 8, 8, False, "YBR_FULL_422", 0, 1.0, 0.0, None, None, "US", codecs.jpeg_file(rgb, 100), None),
+        ("bad", 0, codecs.JPEG_BASELINE, 32, 32, 1, 8, 8, False, "MONOCHROME2", 0, 1.0, 0.0, None, None, "US", b"\xff\xd8\xff", None),
+    ]
+    f = spark.createDataFrame(rows, frames.FRAME)
+    coded = frames.transcode(f, codecs.JPEG_BASELINE)
+    got = {r.instance_id: r for r in coded.collect()}
+    assert (got["deep"].photometric, got["deep"].stored, got["deep"].center) == ("MONOCHROME2", 8, None) and (got["rgb"].photometric, got["rgb"].planar) == ("YBR_FULL", 0)
+    seen = {r.instance_id: r for r in frames.pictures(coded, "rgba").collect()}
+    picture = lambda k: np.frombuffer(seen[k].content, np.uint8).reshape(32, 32, 4)[:, :, :3].astype(int)
+    assert np.abs(picture("deep")[:, :, 0] - (255 - grey)).max() <= 6 and np.abs(picture("rgb") - rgb).mean() < 4 and np.abs(picture("422") - rgb).max() <= 3
+    assert seen["bad"].content is None and seen["bad"].concern
+    native = {r.instance_id: r for r in frames.redact_frames(f, [{"x": 0, "y": 0, "width": 4, "height": 2}]).collect()}
+    assert (native["422"].photometric, native["422"].transfer_syntax_uid) == ("YBR_FULL", EXPLICIT)
+    black = np.frombuffer(native["422"].bytes, np.uint8).reshape(32, 32, 3)
+    assert (black[:2, :4] == (0, 128, 128)).all() and native["bad"].concern
+    files = spark.createDataFrame([("j", codecs.jpeg_file(rgb, 100)), ("cut", codecs.jpeg_file(rgb)[:300])], "instance_id string, content binary")
+    out = {r.instance_id: r for r in frames.redact_images(files, [{"x": 0, "y": 0, "width": 16, "height": 16}]).collect()}
+    assert out["j"].concern is None and codecs.jpeg_picture(bytes(out["j"].content))[:16, :16].max() <= 2
+    assert out["cut"].content is None and out["cut"].concern
