@@ -40,7 +40,8 @@ _TAGS = """
 00280100 US BitsAllocated|00280101 US BitsStored|00280102 US HighBit|00280103 US PixelRepresentation|00280106 US SmallestImagePixelValue|00280107 US LargestImagePixelValue
 00280301 CS BurnedInAnnotation|00281050 DS WindowCenter|00281051 DS WindowWidth|00281052 DS RescaleIntercept|00281053 DS RescaleSlope|00281054 LO RescaleType
 00281101 US RedPaletteColorLookupTableDescriptor|00281102 US GreenPaletteColorLookupTableDescriptor|00281103 US BluePaletteColorLookupTableDescriptor
-00281201 OW RedPaletteColorLookupTableData|00281202 OW GreenPaletteColorLookupTableData|00281203 OW BluePaletteColorLookupTableData|00282110 CS LossyImageCompression
+00281201 OW RedPaletteColorLookupTableData|00281202 OW GreenPaletteColorLookupTableData|00281203 OW BluePaletteColorLookupTableData|00281221 OW SegmentedRedPaletteColorLookupTableData|00281222 OW SegmentedGreenPaletteColorLookupTableData
+00281223 OW SegmentedBluePaletteColorLookupTableData|00282110 CS LossyImageCompression
 0032000A CS StudyStatusID|00321032 PN RequestingPhysician|00321060 LO RequestedProcedureDescription|00380010 LO AdmissionID|003A0004 CS WaveformOriginality
 003A0005 US NumberOfWaveformChannels|003A0010 UL NumberOfWaveformSamples|003A001A DS SamplingFrequency|00400001 AE ScheduledStationAETitle
 00400002 DA ScheduledProcedureStepStartDate|00400003 TM ScheduledProcedureStepStartTime|00400006 PN ScheduledPerformingPhysicianName

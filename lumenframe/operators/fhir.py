@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.dictionary import KEYWORDS
 from lumenframe.functions.dicom import clean, contact_point, fhir_date, fhir_unsigned, gender, human_name, modality_list, non_blank, started, urn_oid, valid_uid
+from lumenframe.operators.mapping import Mapping
 from lumenframe.operators.select import Selection, pivot_first
 
 TAGS = (
@@ -95,17 +99,79 @@ def _pruned(s: Column) -> Column:
     return F.nullif(F.trim(s), F.lit(""))
 
 
-def imaging_study(rows: DataFrame, profile: str = "full", subject: str = "contained") -> DataFrame:
-    """study_uid, number_of_series, number_of_instances, modalities and the pruned resource as JSON."""
+_REFERENCE = "reference string, type string, identifier struct<system:string,value:string>, display string"
+
+
+def _reference(value: str | dict, what: str) -> dict:
+    """A checked Reference; ValueError says what is wrong with it."""
+    held = {"reference": value.strip()} if isinstance(value, str) else dict(value)
+    identifier, target = held.get("identifier") or {}, held.get("reference") or ""
+    types = ("Endpoint",) if what == "Endpoint" else ("Patient", "Device", "Group")
+    if not target and not (identifier.get("value") or "").strip():
+        raise ValueError(f"{what}: a reference needs reference or identifier.value")
+    if re.search(r"\s", target) or target.startswith("#"):
+        raise ValueError(f"{what}: {target!r} has blanks or is of a contained resource")
+    if identifier.get("system") is not None and not re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:\S+", identifier["system"]):
+        raise ValueError(f"{what}: the identifier's system is no URI")
+    named = re.search(r"(?:^|/)([A-Z][A-Za-z]+)/[^/]+(?:/_history/[^/]+)?$", target)
+    if (named and named[1] not in types) or (held.get("type") is not None and held["type"].split("/")[-1] not in types):
+        raise ValueError(f"{what}: the target is one of {types}")
+    return held
+
+
+def _as_column(held: dict) -> Column:
+    """A Reference struct; unset fields are null and so not in the JSON."""
+    return F.from_json(F.lit(json.dumps(held)), _REFERENCE)
+
+
+def _templated(rows: DataFrame, keys: list[str], template: str, name: str) -> DataFrame:
+    """keys and the distinct texts of a template over the group's records, first seen first; records that lack a token give none."""
+    lookup = {KEYWORDS[t]: non_blank(F.col(t)) for t in TAGS if t in rows.columns}
+    texts = rows.select(*keys, "seen", Mapping().with_missing("omit").text(template, lookup).alias("_t")).filter("_t is not null")
+    once = texts.groupBy(*keys, "_t").agg(F.min("seen").alias("seen"))
+    return once.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "_t"))), lambda x: x["_t"]).alias(name))
+
+
+def _endpoints(df: DataFrame, rows: DataFrame, keys: list[str], given: list, template: str | None) -> tuple[DataFrame, Column | None]:
+    """df with what the template needs, and its column of given and templated Endpoint references, if there are any."""
+    fixed = [_as_column(_reference(x, "Endpoint")) for x in given]
+    if not template:
+        return df, F.array(*fixed) if fixed else None
+    named = f"_texts_{len(keys)}"
+    found = df.join(_templated(rows, keys, template, named), keys, "left")
+    made = F.transform(F.coalesce(F.col(named), F.array().cast("array<string>")), lambda t: F.from_json(F.to_json(F.struct(t.alias("reference"))), _REFERENCE))
+    return found, F.array_distinct(F.concat(*([F.array(*fixed)] if fixed else []), made))
+
+
+def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict = "contained", endpoints: dict[str, list] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+    """study_uid, number_of_series, number_of_instances, modalities and the pruned resource as JSON.
+
+    subject: contained, reference, or a Reference of its own. endpoints: lists of References (or their texts) for study and series.
+    templates: texts with {Keyword} tokens for study and series endpoints and, in reference mode, the subject
+    (Patient/{PatientID} if not given); a record that lacks a token gives no reference.
+    """
     if profile not in ("full", "study-summary"):
         raise ValueError("profile is full or study-summary")
-    if subject not in ("contained", "reference"):
-        raise ValueError("a resource needs a subject: contained or reference")
+    if not isinstance(subject, dict) and subject not in ("contained", "reference"):
+        raise ValueError("a resource needs a subject: contained, reference or a Reference")
+    endpoints, templates = endpoints or {}, templates or {}
+    if set(endpoints) - {"study", "series"} or set(templates) - {"study", "series", "subject"}:
+        raise ValueError("endpoints are of study or series, templates also of subject")
     _, series, studies = hierarchy(rows)
     coding = lambda c: F.struct(F.lit(DCM).alias("system"), c.alias("code"))
+    studies, study_endpoints = _endpoints(studies, rows, ["StudyInstanceUID"], endpoints.get("study", []), templates.get("study"))
+    if isinstance(subject, dict):
+        refers = _as_column(_reference(subject, "subject"))
+    elif subject == "reference":
+        studies = studies.join(_templated(rows, ["StudyInstanceUID"], templates.get("subject", "Patient/{PatientID}"), "_subject"), "StudyInstanceUID", "left")
+        refers = F.when(F.size("_subject") > 0, F.struct(F.col("_subject")[0].alias("reference")))
+    else:
+        refers = F.struct(F.lit("#patient").alias("reference"))
     if profile == "full":
+        series, series_endpoints = _endpoints(series, rows, ["StudyInstanceUID", "SeriesInstanceUID"], endpoints.get("series", []), templates.get("series"))
         each = F.struct(
             F.col("seen").alias("_o"), clean(F.col("SeriesInstanceUID")).alias("uid"), F.col("number"), coding(F.col("modality")).alias("modality"), _pruned(F.col("description")).alias("description"), F.col("n_instances").alias("numberOfInstances"), F.col("started"),
+            *([F.when(F.size(series_endpoints) > 0, series_endpoints).alias("endpoint")] if series_endpoints is not None else []),
             F.transform("instances", lambda i: F.struct(i["uid"].alias("uid"), F.struct(F.lit("urn:ietf:rfc:3986").alias("system"), F.concat(F.lit("urn:oid:"), i["class"]).alias("code")).alias("sopClass"), i["number"].alias("number"))).alias("instance"),
         )
         grouped = series.groupBy("StudyInstanceUID").agg(F.count(F.lit(1)).alias("n_series"), F.sum("n_instances").alias("n_instances"), F.array_sort(F.collect_list(each)).alias("series"))
@@ -135,7 +201,8 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str = "contai
         identifiers.alias("identifier"),
         F.lit("available").alias("status"),
         F.when(F.size("modalities") > 0, F.transform("modalities", lambda m: coding(m))).alias("modality"),
-        F.struct(F.lit("#patient").alias("reference") if subject == "contained" else F.concat(F.lit("Patient/"), F.col("patient_id")).alias("reference")).alias("subject"),
+        refers.alias("subject"),
+        *([F.when(F.size(study_endpoints) > 0, study_endpoints).alias("endpoint")] if study_endpoints is not None else []),
         F.col("started"),
         F.col("n_series").alias("numberOfSeries"),
         F.col("n_instances").alias("numberOfInstances"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,29 @@ from lumenframe.pixels import codecs, redact
 from lumenframe.sources.kinds import format_of
 
 _READ = ("Rows", "Columns", "SamplesPerPixel", "BitsAllocated", "BitsStored", "PixelRepresentation", "PhotometricInterpretation", "PlanarConfiguration", "NumberOfFrames", "RescaleSlope", "RescaleIntercept", "WindowCenter", "WindowWidth", "Modality")
-FRAME = "instance_id string, frame_index int, transfer_syntax_uid string, rows int, columns int, samples int, allocated int, stored int, signed boolean, photometric string, planar int, slope double, intercept double, center double, width double, modality string, bytes binary, concern string"
+FRAME = "instance_id string, frame_index int, transfer_syntax_uid string, rows int, columns int, samples int, allocated int, stored int, signed boolean, photometric string, planar int, slope double, intercept double, center double, width double, modality string, palette binary, palette_first int, palette_bits int, bytes binary, concern string"
+
+
+def _palettes(elements: DataFrame) -> DataFrame:
+    """instance_id and, of each colour, descriptor, plain and segmented table of the objects that have palettes."""
+    at = lambda name, c: F.min_by(c, F.when(F.col("tag") == KEYWORDS[name], F.col("ordinal")))
+    names = [(part + color + "PaletteColorLookupTable" + end, c, alias + color) for color in ("Red", "Green", "Blue") for part, end, c, alias in (("", "Descriptor", "ints", "descriptor"), ("", "Data", "bin", "plain"), ("Segmented", "Data", "bin", "segmented"))]
+    tables = elements.filter((F.col("depth") == 0) & F.col("tag").isin(*(KEYWORDS[n] for n, _, _ in names)))
+    return tables.groupBy("instance_id").agg(*(F.when(F.count(F.when(F.col("tag") == KEYWORDS[n], 1)) > 0, at(n, c)).alias(alias) for n, c, alias in names))
+
+
+def _expanded(r) -> tuple[bytes | None, int, int]:
+    """(red, green and blue tables of equal length as 16-bit values, first value mapped, bits of an entry)."""
+    tables, first, bits = [], 0, 16
+    for color in ("Red", "Green", "Blue"):
+        descriptor, plain, segmented = getattr(r, "descriptor" + color), getattr(r, "plain" + color), getattr(r, "segmented" + color)
+        if descriptor is None or len(descriptor) < 3 or (plain is None and segmented is None):
+            raise codecs.CodecError("palette image without lookup tables")
+        entries, first, bits = (int(x) for x in descriptor[:3])
+        tables.append(codecs.expand_palette(bytes(plain if segmented is None else segmented), entries or 65536, bits, segmented is not None))
+    if min(map(len, tables)) == 0:
+        raise codecs.CodecError("palette without entries")
+    return np.stack([t[: min(map(len, tables))] for t in tables]).astype("<u2").tobytes(), first, bits
 
 
 def extract_frames(elements: DataFrame, selector: str | list[int] | dict = "all") -> DataFrame:
@@ -24,10 +47,12 @@ def extract_frames(elements: DataFrame, selector: str | list[int] | dict = "all"
     pixels = elements.filter((F.col("tag") == KEYWORDS["PixelData"]) & (F.col("depth") == 0)).select("instance_id", "transfer_syntax_uid", F.col("bin").alias("pixels"))
     num = lambda c, kind, d: F.coalesce(F.element_at(F.split(c, r"\\"), -1 if kind == "int" else 1).try_cast(kind), F.lit(d).cast(kind)).alias(c)
     n = F.coalesce(F.trim("NumberOfFrames").try_cast("int"), F.lit(1))
-    rows = facts.join(pixels, "instance_id").select(
+    rows = facts.join(pixels, "instance_id").join(_palettes(elements), "instance_id", "left")
+    tables = [c for c in rows.columns if c.startswith(("descriptor", "plain", "segmented"))]
+    rows = rows.select(
         "instance_id", "transfer_syntax_uid", num("Rows", "int", 0), num("Columns", "int", 0), num("SamplesPerPixel", "int", 1), num("BitsAllocated", "int", 8), num("BitsStored", "int", None), num("PixelRepresentation", "int", 0),
         F.coalesce("PhotometricInterpretation", F.lit("MONOCHROME2")).alias("photometric"), num("PlanarConfiguration", "int", 0), num("RescaleSlope", "double", 1.0), num("RescaleIntercept", "double", 0.0), num("WindowCenter", "double", None), num("WindowWidth", "double", None),
-        F.coalesce("Modality", F.lit("")).alias("modality"), n.alias("n"), frame_indexes(n, selector).alias("wanted"), "pixels",
+        F.coalesce("Modality", F.lit("")).alias("modality"), n.alias("n"), frame_indexes(n, selector).alias("wanted"), "pixels", *tables,
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,17 +61,18 @@ def extract_frames(elements: DataFrame, selector: str | list[int] | dict = "all"
                 stored = r.BitsAllocated if pd.isna(r.BitsStored) else int(r.BitsStored)
                 im = codecs.Image(int(r.Rows), int(r.Columns), int(r.SamplesPerPixel), int(r.BitsAllocated), stored)
                 head = (r.instance_id, r.transfer_syntax_uid, im.rows, im.columns, im.samples, im.allocated, stored, bool(r.PixelRepresentation), r.photometric, int(r.PlanarConfiguration), r.RescaleSlope, r.RescaleIntercept, r.WindowCenter, r.WindowWidth, r.modality)
-                out = []
+                out, palette = [], (None, 0, 16)
                 try:
+                    palette = _expanded(r) if r.photometric == "PALETTE COLOR" else palette
                     raw = bytes(r.pixels or b"")
                     packed = TRANSFER_SYNTAXES.get(r.transfer_syntax_uid)
                     all_frames = codecs.frames_of(raw, int(r.n)) if packed and packed.compressed else [raw[i * im.frame_bytes : (i + 1) * im.frame_bytes] for i in range(int(r.n))]
                     for i in r.wanted:
                         if i < len(all_frames):
                             short = not (packed and packed.compressed) and len(all_frames[i]) < im.frame_bytes
-                            out.append((head[0], int(i), *head[1:], all_frames[i], "frame is cut off" if short else None))
-                except (codecs.CodecError, ValueError) as e:
-                    out.append((head[0], -1, *head[1:], None, str(e)))
+                            out.append((head[0], int(i), *head[1:], *palette, all_frames[i], "frame is cut off" if short else None))
+                except (ValueError, IndexError, struct.error) as e:  # damaged tables fail in many ways
+                    out.append((head[0], -1, *head[1:], *palette, None, str(e)))
                 yield pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in FRAME.split(",")])
 
     return rows.mapInPandas(run, FRAME)
@@ -54,7 +80,11 @@ def extract_frames(elements: DataFrame, selector: str | list[int] | dict = "all"
 
 def _image(r) -> codecs.Image:
     none = lambda v: None if v is None or pd.isna(v) else float(v)
-    return codecs.Image(int(r.rows), int(r.columns), int(r.samples), int(r.allocated), int(r.stored), bool(r.signed), r.photometric, int(r.planar), float(r.slope), float(r.intercept), none(r.center), none(r.width), r.modality)
+    im = codecs.Image(int(r.rows), int(r.columns), int(r.samples), int(r.allocated), int(r.stored), bool(r.signed), r.photometric, int(r.planar), float(r.slope), float(r.intercept), none(r.center), none(r.width), r.modality)
+    if r.palette is not None:
+        im.palette = tuple(np.frombuffer(r.palette, "<u2").reshape(3, -1).astype(np.int64))
+        im.palette_first, im.palette_bits = int(r.palette_first), int(r.palette_bits)
+    return im
 
 
 def _each(frames: DataFrame, change, schema: str = FRAME) -> DataFrame:
@@ -79,7 +109,8 @@ def _each(frames: DataFrame, change, schema: str = FRAME) -> DataFrame:
 def _facts(im: codecs.Image) -> dict:
     """Columns that follow an image; decoded frames have full colour resolution."""
     photometric = "YBR_FULL" if im.photometric == "YBR_FULL_422" else im.photometric
-    return {"samples": im.samples, "allocated": im.allocated, "stored": im.stored, "signed": im.signed, "photometric": photometric, "planar": im.planar, "slope": im.slope, "intercept": im.intercept, "center": im.center, "width": im.width}
+    spent = {"palette": None} if im.palette is None else {}
+    return {**spent, "samples": im.samples, "allocated": im.allocated, "stored": im.stored, "signed": im.signed, "photometric": photometric, "planar": im.planar, "slope": im.slope, "intercept": im.intercept, "center": im.center, "width": im.width}
 
 
 def transcode(frames: DataFrame, target: str, fallback: str = "passthrough") -> DataFrame:

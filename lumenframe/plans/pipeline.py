@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import deid, entities, fhir, frames, validate
+from lumenframe.operators import deid, entities, fhir, frames, normalize, validate
 from lumenframe.operators.mapping import Mapping
 from lumenframe.operators.select import Selection, select_elements
 from lumenframe.sinks import packages
@@ -40,6 +40,7 @@ class Pipeline:
     mask: deid.Mask | None = None
     consistent_uids: bool = False
     pixels: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    normalization: dict[str, Any] | None = None
     handlers: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     target: str | None = None
     argument: Any = None
@@ -95,6 +96,11 @@ class Pipeline:
     def with_burned_in_redaction(self, **options: Any) -> Pipeline:
         return replace(self, pixels=(*self.pixels, lambda df: frames.redact_frames(df, **options)))
 
+    def with_normalization(self, mode: str = "frames", unknown: str = "fail", stretched: bool = False) -> Pipeline:
+        if mode not in ("frames", "dicom") or unknown not in ("fail", "passthrough"):
+            raise BuildError("mode is frames or dicom, unknown is fail or passthrough")
+        return replace(self, normalization={"mode": mode, "unknown": unknown, "stretched": stretched})
+
     def with_handler(self, handler: Callable[[DataFrame], DataFrame]) -> Pipeline:
         return replace(self, handlers=(*self.handlers, handler))
 
@@ -119,8 +125,8 @@ class Pipeline:
     def to_mapping(self, mapping: Mapping) -> Pipeline:
         return self._to("mapping", mapping)
 
-    def to_imaging_study(self, profile: str = "full", subject: str = "contained") -> Pipeline:
-        return self._to("imaging_study", (profile, subject))
+    def to_imaging_study(self, profile: str = "full", subject: str | dict = "contained", endpoints: dict | None = None, templates: dict | None = None) -> Pipeline:
+        return self._to("imaging_study", (profile, subject, endpoints, templates))
 
     def to_dicom(self, syntax: str | None = None) -> Pipeline:
         return self._to("dicom", syntax)
@@ -151,11 +157,16 @@ class Pipeline:
         elementwise = self.format in ELEMENT_FORMATS
         if self.target == "structured" and self.format not in ("json", "xml"):
             raise BuildError("structured values need json or xml")
-        if self.target not in ("objects", "structured") and not elementwise:
+        if self.normalization:
+            if self.format != "imaging":
+                raise BuildError("normalisation needs the imaging format")
+            if self.target not in (("frames", "pictures") if self.normalization["mode"] == "frames" else ("objects",)):
+                raise BuildError("normalisation gives frames or pictures, or with mode dicom objects")
+        elif self.target not in ("objects", "structured") and not elementwise:
             raise BuildError(f"{self.target} needs a format of elements, not {self.format}")
         if (self.goal or self.mask) and not elementwise:
             raise BuildError("validation and de-identification need elements")
-        if (self.pixels or self.target in ("frames", "pictures", "dicom")) and self.format != "dicom":
+        if (self.pixels or self.target in ("frames", "pictures", "dicom")) and self.format != "dicom" and not self.normalization:
             raise BuildError("frames and binary objects need the dicom format")
         if self.pixels and self.target not in ("frames", "pictures"):
             raise BuildError("pixel filters need frames or pictures as the target")
@@ -185,7 +196,15 @@ class Pipeline:
     def build(self) -> DataFrame:
         self.check()
         if self.target == "objects":
-            return self.source()
+            return normalize.normalize(self.source(), **self.normalization) if self.normalization else self.source()
+        if self.normalization:
+            kind, selector = self.argument if self.target == "pictures" else (None, self.argument)
+            if selector != "all":
+                raise BuildError("normalised objects give all frames")
+            out = normalize.normalize(self.source(), **self.normalization)
+            for change in self.pixels:
+                out = change(out)
+            return frames.pictures(out, kind) if kind else out
         if self.target == "structured":
             text = self.source().select("instance_id", F.col("content").cast("string").alias("text"))
             return text.select("instance_id", F.try_parse_json("text").alias("value")) if self.format == "json" else metadata.read_xml(text, "text")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import urllib.error
+import urllib.request
 import zipfile
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +48,18 @@ def multipart_body(objects: DataFrame, boundary: str = "lumenframe-part", conten
     return objects.groupBy("batch_id").agg(F.concat(body, F.lit(f"--{boundary}--{crlf}").cast("binary")).alias("body"), F.lit(f'multipart/related; boundary={boundary}; type="{content_type}"').alias("content_type"))
 
 
+def element_rows(objects: DataFrame, plan: list[tuple]) -> DataFrame:
+    """Element rows of each object from (is_meta, keyword, VR, text column, bytes column), in data set order."""
+    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("ordinal"), F.lit(m).alias("is_meta"), F.lit(KEYWORDS[k]).alias("tag"), F.lit(vr).alias("vr"), s.cast("string").alias("str"), b.cast("binary").alias("bin")) for i, (m, k, vr, s, b) in enumerate(plan)))
+    e = objects.select("instance_id", F.explode(rows).alias("e")).select("instance_id", "e.*")
+    length = F.coalesce(F.length("bin"), F.octet_length("str"), F.lit(0)).cast("long")
+    path = F.array().cast("array<struct<tag:string,item:int>>")
+    return e.select(
+        "instance_id", "ordinal", path.alias("path"), F.lit("").alias("path_text"), F.lit(0).alias("depth"), "is_meta", "tag", "vr", length.alias("value_length"), F.lit(True).alias("is_complete"),
+        "str", F.when(F.col("str").isNotNull(), F.array("str")).alias("strs"), F.lit(None).cast("array<bigint>").alias("ints"), F.lit(None).cast("array<double>").alias("dbls"), "bin", F.lit(None).cast("string").alias("bulk_uri"), F.lit(False).alias("is_bulk"), F.lit(None).cast("long").alias("bulk_offset"),
+    )
+
+
 def wrap_documents(documents: DataFrame) -> DataFrame:
     """Element rows of an encapsulated-document object for each of documents(instance_id, mime_type, title, bytes); a text that is no known document becomes a secondary capture's comment-free copy of bytes."""
     uid = lambda name: deterministic_uid(F.concat(F.lit(name + "|"), F.col("instance_id")))
@@ -56,14 +71,7 @@ def wrap_documents(documents: DataFrame) -> DataFrame:
         (False, "StudyInstanceUID", "UI", uid("StudyInstanceUID"), none), (False, "SeriesInstanceUID", "UI", uid("SeriesInstanceUID"), none), (False, "SeriesNumber", "IS", F.lit("1"), none), (False, "InstanceNumber", "IS", F.lit("1"), none), (False, "BurnedInAnnotation", "CS", F.lit("YES"), none),
         (False, "DocumentTitle", "ST", F.coalesce("title", F.lit("")), none), (False, "EncapsulatedDocument", "OB", none, F.col("bytes")), (False, "MIMETypeOfEncapsulatedDocument", "LO", F.col("mime_type"), none), (False, "EncapsulatedDocumentLength", "UL", F.length("bytes").cast("string"), none),
     ]
-    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("ordinal"), F.lit(m).alias("is_meta"), F.lit(KEYWORDS[k]).alias("tag"), F.lit(vr).alias("vr"), s.cast("string").alias("str"), b.cast("binary").alias("bin")) for i, (m, k, vr, s, b) in enumerate(plan)))
-    e = documents.select("instance_id", F.explode(rows).alias("e")).select("instance_id", "e.*")
-    length = F.coalesce(F.length("bin"), F.octet_length("str"), F.lit(0)).cast("long")
-    path = F.array().cast("array<struct<tag:string,item:int>>")
-    return e.select(
-        "instance_id", "ordinal", path.alias("path"), F.lit("").alias("path_text"), F.lit(0).alias("depth"), "is_meta", "tag", "vr", length.alias("value_length"), F.lit(True).alias("is_complete"),
-        "str", F.when(F.col("str").isNotNull(), F.array("str")).alias("strs"), F.lit(None).cast("array<bigint>").alias("ints"), F.lit(None).cast("array<double>").alias("dbls"), "bin", F.lit(None).cast("string").alias("bulk_uri"), F.lit(False).alias("is_bulk"), F.lit(None).cast("long").alias("bulk_offset"),
-    )
+    return element_rows(documents, plan)
 
 
 def unwrap_documents(elements: DataFrame) -> DataFrame:
@@ -74,3 +82,33 @@ def unwrap_documents(elements: DataFrame) -> DataFrame:
     )
     name = F.concat(safe_name(F.coalesce(F.nullif("title", F.lit("")), "instance_id")), F.lit("."), mime_extension(F.col("mime_type")))
     return rows.filter("raw is not null").select("instance_id", "mime_type", "title", name.alias("file_name"), document_bytes(F.col("raw"), F.col("declared").try_cast("long")).alias("content"))
+
+
+def send_http(bodies: DataFrame, url: str, method: str = "POST", accepted: Collection[int] = (200, 201, 202, 204), headers: dict[str, str] | None = None, timeout: float = 30.0) -> DataFrame:
+    """batch_id, status, response, concern of each sent row of (batch_id, body, content_type), such as `multipart_body` gives.
+
+    Sending happens when the result is evaluated, at least once a row: a task that runs again sends again,
+    which stores keyed by instance UID accept. A status that is not accepted, or no answer, is a concern.
+    """
+    own, good = dict(headers or {}), frozenset(accepted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                status, answer, concern = None, None, None
+                request = urllib.request.Request(url, data=bytes(r.body or b""), method=method, headers={**own, "Content-Type": r.content_type})
+                try:
+                    with urllib.request.urlopen(request, timeout=timeout) as response:
+                        status, answer = response.status, response.read()
+                except urllib.error.HTTPError as e:
+                    status, answer = e.code, e.read()
+                except OSError as e:
+                    concern = f"{type(e).__name__}: {e}"
+                if status is not None and status not in good:
+                    concern = f"status {status}"
+                out.append((r.batch_id, status, answer, concern))
+            yield pd.DataFrame(out, columns=["batch_id", "status", "response", "concern"]).astype({"status": "Int32"})
+
+    kind = bodies.schema["batch_id"].dataType.simpleString()
+    return bodies.select("batch_id", "body", "content_type").mapInPandas(run, f"batch_id {kind}, status int, response binary, concern string")

@@ -566,10 +566,10 @@ def test_frames_to_and_from_baseline_jpeg(spark):
     grey = np.clip(np.add.outer(np.arange(32), np.arange(32)) * 4, 0, 255).astype(np.uint8)
     rgb = np.stack([grey, grey.T[::-1], 255 - grey], 2)
     rows = [
-        ("deep", 0, EXPLICIT, 32, 32, 1, 16, 12, False, "MONOCHROME1", 0, 1.0, 0.0, 2048.0, 4096.0, "CT", (grey.astype("<u2") * 16).tobytes(), None),
-        ("rgb", 0, EXPLICIT, 32, 32, 3, 8, 8, False, "RGB", 1, 1.0, 0.0, None, None, "US", rgb.transpose(2, 0, 1).tobytes(), None),
-        ("422", 0, codecs.JPEG_BASELINE, 32, 32, 3, 8, 8, False, "YBR_FULL_422", 0, 1.0, 0.0, None, None, "US", codecs.jpeg_file(rgb, 100), None),
-        ("bad", 0, codecs.JPEG_BASELINE, 32, 32, 1, 8, 8, False, "MONOCHROME2", 0, 1.0, 0.0, None, None, "US", b"\xff\xd8\xff", None),
+        ("deep", 0, EXPLICIT, 32, 32, 1, 16, 12, False, "MONOCHROME1", 0, 1.0, 0.0, 2048.0, 4096.0, "CT", None, 0, 16, (grey.astype("<u2") * 16).tobytes(), None),
+        ("rgb", 0, EXPLICIT, 32, 32, 3, 8, 8, False, "RGB", 1, 1.0, 0.0, None, None, "US", None, 0, 16, rgb.transpose(2, 0, 1).tobytes(), None),
+        ("422", 0, codecs.JPEG_BASELINE, 32, 32, 3, 8, 8, False, "YBR_FULL_422", 0, 1.0, 0.0, None, None, "US", None, 0, 16, codecs.jpeg_file(rgb, 100), None),
+        ("bad", 0, codecs.JPEG_BASELINE, 32, 32, 1, 8, 8, False, "MONOCHROME2", 0, 1.0, 0.0, None, None, "US", None, 0, 16, b"\xff\xd8\xff", None),
     ]
     f = spark.createDataFrame(rows, frames.FRAME)
     coded = frames.transcode(f, codecs.JPEG_BASELINE)
@@ -587,3 +587,92 @@ def test_frames_to_and_from_baseline_jpeg(spark):
     out = {r.instance_id: r for r in frames.redact_images(files, [{"x": 0, "y": 0, "width": 16, "height": 16}]).collect()}
     assert out["j"].concern is None and codecs.jpeg_picture(bytes(out["j"].content))[:16, :16].max() <= 2
     assert out["cut"].content is None and out["cut"].concern
+
+
+def test_palettes_reach_the_frames(spark):
+    def palette_object(segmented):
+        us = lambda *v: struct.pack(f"<{len(v)}H", *v)
+        body = element("0020000D", "UI", b"2.25.1") + element("00280002", "US", us(1)) + element("00280004", "CS", b"PALETTE COLOR") + element("00280010", "US", us(1)) + element("00280011", "US", us(4)) + element("00280100", "US", us(8)) + element("00280101", "US", us(8)) + element("00280103", "US", us(0))
+        body += b"".join(element(f"0028110{i}", "US", us(4, 10, 16)) for i in (1, 2, 3))
+        tables = {1: (0, 16384, 32768, 49152), 2: (256,) * 4, 3: (0, 0, 0, 65280)}
+        if segmented:
+            coded = {1: us(0, 1, 0, 1, 3, 49152), 2: us(0, 4, *tables[2]), 3: us(0, 3, 0, 0, 0, 0, 1, 65280)}
+            body += b"".join(element(f"0028122{i}", "OW", coded[i]) for i in (1, 2, 3))
+        else:
+            body += b"".join(element(f"0028120{i}", "OW", us(*tables[i])) for i in (1, 2, 3))
+        return body + element("7FE00010", "OW", bytes([9, 11, 12, 200]))
+
+    made = [(name, b"\0" * 128 + b"DICM" + element("00020010", "UI", EXPLICIT.encode()) + palette_object(seg)) for name, seg in (("plain", False), ("segmented", True))]
+    f = frames.extract_frames(part10.read_elements(objects.from_bytes(spark, made)))
+    want = [[0, 1, 0], [64, 1, 0], [128, 1, 0], [192, 1, 255]]
+    for r in frames.pictures(f, "rgba").collect():
+        assert r.concern is None and np.frombuffer(r.content, np.uint8).reshape(4, 4)[:, :3].tolist() == want, r.instance_id
+    drawn = frames.transcode(f, codecs.JPEG_BASELINE)
+    assert {(r.samples, r.photometric, r.palette) for r in drawn.collect()} == {(3, "YBR_FULL", None)}
+
+
+def test_mixed_objects_become_frames_or_captures(spark):
+    grey = np.add.outer(np.arange(6), np.arange(5)).astype(np.uint8)[:, :, None] * 10
+    deep = (grey.astype(np.uint16) * 300)
+    rgb = np.dstack([grey[:, :, 0], grey[:, :, 0] + 1, grey[:, :, 0] + 2]).astype(np.uint8)
+    made = [("dicom", part10_bytes()), ("png", codecs.png_encode(rgb)), ("tiff", codecs.tiff_encode(deep)), ("grey", codecs.png_encode(grey)), ("cut", codecs.png_encode(rgb)[:50])]
+    source = objects.from_bytes(spark, made)
+    p = Pipeline(spark).from_reader(lambda s: source).of("imaging")
+    got = {r.instance_id: r for r in p.with_normalization("frames", stretched=True).to_frames().build().collect()}
+    assert got["png"].bytes == rgb.tobytes() and got["tiff"].bytes == deep.astype("<u2").tobytes() and got["dicom"].bytes == PIXELS.astype("<u2").tobytes()
+    assert max(got["grey"].bytes) == 255 and got["cut"].bytes is None and got["cut"].concern
+    out = {r.instance_id: r for r in p.with_normalization("dicom").to_objects().build().collect()}
+    assert out["dicom"].content == made[0][1] and out["cut"].content is None and out["cut"].concern
+    back = frames.extract_frames(part10.read_elements(objects.from_bytes(spark, [(k, bytes(out[k].content)) for k in ("png", "tiff", "grey")])))
+    again = {r.instance_id: (r.rows, r.columns, r.samples, r.allocated, r.bytes) for r in back.collect()}
+    assert again == {"png": (6, 5, 3, 8, rgb.tobytes()), "tiff": (6, 5, 1, 16, deep.astype("<u2").tobytes()), "grey": (6, 5, 1, 8, grey.tobytes())}
+    odd = objects.from_bytes(spark, [("text", b"hello")])
+    with pytest.raises(Exception, match="neither DICOM"):
+        Pipeline(spark).from_reader(lambda s: odd).of("imaging").with_normalization("dicom").to_objects().build().collect()
+    kept = Pipeline(spark).from_reader(lambda s: odd).of("imaging").with_normalization("dicom", "passthrough").to_objects().build().first()
+    assert kept.content == b"hello" and kept.concern
+    with pytest.raises(BuildError):
+        Pipeline(spark).from_reader(lambda s: odd).of("dicom").with_normalization("dicom").to_objects().build()
+
+
+def test_bodies_are_sent(spark):
+    import http.server
+    import threading
+
+    seen = {}
+
+    class Store(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen[self.headers["Content-Type"]] = body
+            self.send_response(409 if b"refuse" in body else 200)
+            self.end_headers()
+            self.wfile.write(b"stored")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    parts = spark.createDataFrame([("one", "a", b"first"), ("one", "b", b"second"), ("two", "c", b"refuse")], "batch_id string, instance_id string, content binary")
+    out = {r.batch_id: r for r in packages.send_http(packages.multipart_body(parts), f"http://127.0.0.1:{server.server_port}/studies").collect()}
+    server.shutdown()
+    assert (out["one"].status, out["one"].response, out["one"].concern) == (200, b"stored", None) and (out["two"].status, out["two"].concern) == (409, "status 409")
+    lost = packages.send_http(packages.multipart_body(parts), "http://127.0.0.1:1/studies", timeout=2).collect()
+    assert all(r.status is None and r.concern for r in lost)
+
+
+def test_study_references(spark):
+    e = part10.read_elements(objects.from_bytes(spark, [("a", part10_bytes()), ("b", part10_bytes())]))
+    rows = fhir.records(e)
+    study = lambda **o: json.loads(fhir.imaging_study(rows, **o).first().resource)
+    plain = study()
+    assert "endpoint" not in plain and plain["subject"] == {"reference": "#patient"}
+    told = study(subject="reference", endpoints={"study": ["Endpoint/1"], "series": [{"identifier": {"system": "urn:x", "value": "7"}}]}, templates={"study": "Endpoint/{StudyInstanceUID}", "series": "Endpoint/{SOPInstanceUID}-{StudyID}", "subject": "Patient/p-{ PatientSex }"})
+    assert told["endpoint"] == [{"reference": "Endpoint/1"}, {"reference": "Endpoint/2.25.101"}]
+    assert told["series"][0]["endpoint"] == [{"identifier": {"system": "urn:x", "value": "7"}}]  # no StudyID: no templated reference
+    assert told["subject"] == {"reference": "Patient/p-F"} and "contained" not in told
+    assert study(subject={"reference": "Group/3", "display": "G"})["subject"] == {"reference": "Group/3", "display": "G"}
+    for bad in ({"subject": {"reference": "Endpoint/1"}}, {"subject": {}}, {"endpoints": {"study": ["Patient/1"]}}, {"endpoints": {"instance": []}}, {"endpoints": {"study": ["#e"]}}, {"subject": {"identifier": {"value": "1", "system": "no uri"}}}):
+        with pytest.raises(ValueError):
+            fhir.imaging_study(rows, **bad)
