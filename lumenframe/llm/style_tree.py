@@ -9,12 +9,15 @@ entropy of the blocks below it (in units of log m), with a tenth of weight on th
 variety of its presentation. Branches of low importance repeat from page to page
 and are removed, and so are branches whose element or class says that they are
 no article (menus, footers, adverts, forms, scripts, comments); if a page marks
-an article, the rest of it is removed too.
+an article, the rest of it is removed too. Within what is left, a block that more
+than half of the host's distinct articles repeat (exact copies of an article
+count once) is removed wherever it stands, paragraphs of a marked article too.
 
 Defined cases: a null page is empty; a null or unreadable url has the host "";
-nodes seen on fewer than 8 pages of a host keep their importance; paragraphs and
-headings inside a marked article are never removed for repeating on other pages
-(copies of an article); unclosed and misnested elements are closed as browsers do.
+nodes seen on fewer than 8 pages of a host keep their importance, and hosts of
+fewer than 8 distinct articles all their blocks; paragraphs and headings inside a
+marked article are not removed for the importance of their branch; an article of
+repeated blocks only stays whole (copies of an article); unclosed and misnested elements are closed as browsers do.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from lumenframe.llm.staging import BROADCAST_ROWS, Stages
 LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.2
 PRESENTATION_WEIGHT = 0.1
+#: Share of a host's distinct articles above which a block that they repeat is removed.
+MOST_SHARE = 0.5
 SALTS = 32
 
 # Element names of HTML, by how they are treated.
@@ -186,8 +191,14 @@ def path_key(path: tuple[str, ...]) -> int:
 _EVIDENCE = "host string, path long, kind int, feature long, pages long, chain array<long>"
 
 
+def candidates(blocks: list[Block]) -> list[Block]:
+    """The blocks that roles leave: those of the marked article, or else of the page."""
+    live = [b for b in blocks if not b.drop]
+    return [b for b in live if b.article] if any(b.article for b in live) else live
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pages: kind 0 of a node itself, 1 of a text block in it, 2 of its sequence of child elements."""
+    """Counts of pages: kind 0 of a node itself, 1 of a text block in it, 2 of its sequence of child elements, 3 of a text block in an article (path is the key of its whole text)."""
     for batch in batches:
         seen: Counter = Counter()
         chains: dict[int, list[int]] = {}
@@ -205,23 +216,39 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k = path_key(n.path)
                     chains.setdefault(k, [path_key(n.path[:i]) for i in range(1, len(n.path) + 1)])
                     own.update(((host, k, 0, 0), (host, k, 2, key64(" ".join(n.children)))))
+            texts = [b.text for b in candidates(blocks)]
+            article = key64("\n".join(texts))
+            own.update((host, article, 3, key64(t)) for t in texts)
             seen.update(own)
         rows = list(seen.items())
         cols = list(zip(*(r for r, _ in rows), strict=True)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array([n for _, n in rows], pa.int64()), pa.array([chains[r[1]] for r, _ in rows], pa.list_(pa.int64()))], ["host", "path", "kind", "feature", "pages", "chain"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array([n for _, n in rows], pa.int64()), pa.array([chains[r[1]] if r[2] != 3 else [] for r, _ in rows], pa.list_(pa.int64()))], ["host", "path", "kind", "feature", "pages", "chain"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance of every style node."""
+def evidence(pages: DataFrame) -> DataFrame:
+    """host, path, kind, feature, chain, k (pages) of all features; kept in a table, as it is read for nodes and for blocks."""
     spread = pages.select("page_id", "url", "html").mapInArrow(_evidence, _EVIDENCE).groupBy("host", "path", "kind", "feature", "chain").agg(F.sum("pages").alias("k"))
-    nodes = spread.groupBy("host", "path", "chain").agg(
+    return Stages(pages.sparkSession, "evidence").write(spread)
+
+
+def repeated_blocks(spread: DataFrame, least_articles: int = LEAST_PAGES, most_share: float = MOST_SHARE) -> DataFrame:
+    """host, block of every text block that more than most_share of the host's distinct articles have."""
+    shown = spread.filter("kind = 3")
+    articles = shown.select("host", "path").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles")).filter(F.col("articles") >= least_articles)
+    times = shown.groupBy("host", F.col("feature").alias("block")).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > most_share * least_articles)
+    return times.join(articles, "host").filter(F.col("times") > most_share * F.col("articles")).select("host", "block")
+
+
+def style_tree(spread: DataFrame) -> DataFrame:
+    """host, path, pages, importance of every style node in the evidence."""
+    nodes = spread.filter("kind < 3").groupBy("host", "path", "chain").agg(
         F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("m"),
         F.sum(F.when(F.col("kind") == 1, F.log("k"))).alias("spread"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("blocks"),
         F.sum(F.when(F.col("kind") == 2, F.col("k") * F.log("k"))).alias("same"),
         F.sum(F.when(F.col("kind") == 2, F.col("k"))).alias("shown"),
     )
-    nodes = Stages(pages.sparkSession, "nodes").write(nodes)  # read twice below
+    nodes = Stages(spread.sparkSession, "nodes").write(nodes)  # read twice below
     log_m = F.log(F.greatest(F.col("m"), F.lit(2)))
     nodes = nodes.withColumn("entropy", F.coalesce("spread", F.lit(0.0)) / log_m).withColumn("variety", F.when(F.col("shown") > 1, (F.log("shown") - F.col("same") / F.col("shown")) / log_m))
     below = nodes.select("host", F.explode("chain").alias("path"), "entropy", "blocks").groupBy("host", "path").agg(F.sum("entropy").alias("entropy"), F.sum("blocks").alias("blocks"))
@@ -231,38 +258,39 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return own.join(below, ["host", "path"]).select("host", "path", "pages", ((1 - w) * content + w * F.coalesce("variety", F.lit(0.0))).alias("importance"))
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The page's article; low: keys of style nodes of low importance on its host."""
+def main_text(page: str | None, low: frozenset[int] = frozenset(), repeated: frozenset[int] = frozenset()) -> str:
+    """The page's article; low: keys of style nodes of low importance on its host, repeated: of the text blocks that its articles repeat."""
     blocks, _ = parse(page or "")
-    live = [b for b in blocks if not b.drop]
-    if any(b.article for b in live):
-        live = [b for b in live if b.article]
+    live = candidates(blocks)
     if low:
         live = [b for b in live if (b.article and b.prose) or not any(path_key(b.path[:i]) in low for i in range(1, len(b.path) + 1))]
+    if repeated:
+        live = [b for b in live if key64(b.text) not in repeated] or live
     return "\n".join(b.text for b in live)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        low: dict[tuple, frozenset[int]] = {}
+        sets: dict[tuple, frozenset[int]] = {}
         texts = []
-        for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            key = tuple(paths or ())
-            texts.append(main_text(html, low.setdefault(key, frozenset(key))))
+        for html, *keys in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            low, repeated = (sets.setdefault(key, frozenset(key)) for key in (tuple(k or ()) for k in keys))
+            texts.append(main_text(html, low, repeated))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    tree = style_tree(base)
-    low = tree.filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    low = Stages(pages.sparkSession, "styles").write(low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")))
+    spread = evidence(base)
+    low = style_tree(spread).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path", F.lit(None).cast("long").alias("block"))
+    low = low.unionByName(repeated_blocks(spread, least_pages).select("host", F.lit(None).cast("long").alias("path"), "block"))
+    low = Stages(pages.sparkSession, "styles").write(low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"), F.array_sort(F.collect_set("block")).alias("repeated")))
     named = base.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)))
-    n, paths = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("low")), F.lit(0))).first()
+    n, paths = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("low") + F.size("repeated")), F.lit(0))).first()
     if n + paths <= BROADCAST_ROWS:
         found = named.join(F.broadcast(low), "host", "left")
     else:  # a host with many pages is dealt over SALTS tasks
         salted = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = named.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
-    return found.select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return found.select("page_id", "url", "html", "low", "repeated").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -470,6 +470,18 @@ def test_repeated_branches_of_a_site_are_removed(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_repeated_blocks_inside_marked_articles_are_removed(spark):
+    notice, advert = "Read our new terms of use.", "Ten issues for the price of five."
+    page = lambda i, more: f"<body><article><h1>Head {i}</h1><p>story {i}</p>{''.join(f'<p>{t}</p>' for t in more)}<p>end {i}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i, [notice] + [advert] * (i < 4))) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", page(1 if i < 30 else i, [notice] * (i < 30))) for i in range(40)]  # thirty copies are one article
+    rows += [(200 + i, f"http://c.example/{i}", page(i, [notice])) for i in range(7)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head {i}\nstory {i}" + (f"\n{advert}" if i < 4 else "") + f"\nend {i}" for i in range(12))
+    assert all(got[100 + i] == f"Head 1\nstory 1\n{notice}\nend 1" for i in range(30))
+    assert all(notice in got[200 + i] for i in range(7)), "too few articles to tell"
+
+
 def test_pages_keep_their_articles(spark, sf_dir):
     pages = {r.page_id: r for r in queries.table(spark, sf_dir, "pages").collect()}
     for r in queries.op5_style_tree(spark, sf_dir).collect():
