@@ -5,7 +5,10 @@ substituted word at an ignored place. Seeds of all benchmark items are joined
 with the seeds at every position of every document; each hit gives a diagonal
 (document position minus item position), along which all words are compared. A
 document leaks an item if half of the item's words, or 25 of them, agree on one
-diagonal.
+diagonal or on diagonals at most 8 apart (words inserted or deleted), or if 13 of
+16 consecutive words of a diagonal agree (an excerpt, with substitutions). On
+neighbouring diagonals only words in dense places count, three of five agreeing,
+and no word of the item or the document counts twice.
 
 Defined cases: null and empty texts have no words and leak nothing; items with
 fewer words than a mask spans are matched as a whole by a mask of their length,
@@ -26,6 +29,10 @@ MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8))
 LEAST_WORDS = 5
 COVERAGE = 0.5
 LEAST_RUN = 25
+#: Agreeing words, and the consecutive words of a diagonal in which they are an excerpt.
+EXCERPT, EXCERPT_SPAN = 13, 16
+#: How far apart diagonals may be whose agreeing words are taken together.
+BAND = 8
 
 
 def seeds(hashes: Column, mask: tuple[int, ...], tag: int) -> Column:
@@ -40,8 +47,21 @@ def _hits(df: DataFrame, key: str, masks: list[tuple[int, ...]], pos: str) -> Da
     return out.select(key, F.posexplode("_m.s").alias(pos, "seed"))
 
 
+def excerpted(at: Column) -> Column:
+    """Whether EXCERPT of the ascending positions lie within EXCERPT_SPAN."""
+    last = F.size(at) - EXCERPT
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.exists(starts, lambda j: F.get(at, j + (EXCERPT - 1)) - F.get(at, j) < EXCERPT_SPAN)
+
+
+def dense(at: Column) -> Column:
+    """The ascending positions that have two others at most two places away."""
+    near = lambda j, a, b: F.coalesce((F.abs(F.get(at, j + a) - F.get(at, j)) <= 2) & (F.abs(F.get(at, j + b) - F.get(at, j)) <= 2), F.lit(False))
+    return F.filter(at, lambda x, j: near(j, -2, -1) | near(j, -1, 1) | near(j, 1, 2))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, coverage: float = COVERAGE, least_run: int = LEAST_RUN) -> DataFrame:
-    """doc_id, item_id, doc_start (word), n_matched, n_words, coverage: the best diagonal of every leaked item of a document."""
+    """doc_id, item_id, doc_start (word), n_matched, n_words, coverage: the best diagonal of every leaked item of a document, with its neighbours where they add words."""
     stages = Stages(docs.sparkSession, "seeds")
     items = stages.write(benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= LEAST_WORDS))
     span = max(m[-1] + 1 for m in masks)
@@ -61,8 +81,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], .
     begin = F.greatest(F.col("diagonal"), F.lit(0))
     length = F.greatest(F.least(F.size("item_h") - skip, F.size("h") - begin), F.lit(0))
     agree = F.zip_with(F.slice("h", begin + 1, length), F.slice("item_h", skip + 1, length), lambda a, b: a == b)
-    near = near.select("doc_id", "item_id", "diagonal", F.size(F.filter(agree, lambda x: x)).cast("long").alias("n_matched"), F.size("item_h").cast("long").alias("n_words"))
+    at = F.filter(F.transform(agree, lambda x, i: F.when(x, i + skip)), lambda i: i.isNotNull())
+    near = near.select("doc_id", "item_id", "diagonal", F.size("item_h").cast("long").alias("n_words"), at.alias("at"))
+    one = F.size("at").cast("long")
+    spots = F.when(one < F.col("n_words"), dense(F.col("at"))).otherwise(F.array().cast("array<int>"))  # a whole copy gains nothing from its neighbours
+    near = near.select("doc_id", "item_id", "n_words", F.struct("diagonal", one.alias("one"), excerpted(F.col("at")).alias("excerpt"), spots.alias("at")).alias("d"))
+    near = near.groupBy("doc_id", "item_id", "n_words").agg(F.array_sort(F.collect_list("d")).alias("ds"))
+    # diagonals are distinct, so those up to BAND further are among the next BAND
+    with_next = F.transform("ds", lambda d, k: F.struct(d["diagonal"].alias("diagonal"), d["one"].alias("one"), d["excerpt"].alias("excerpt"), F.filter(F.slice(F.col("ds"), k + 1, BAND + 1), lambda x: x["diagonal"] <= d["diagonal"] + BAND).alias("next")))
+    near = near.select("doc_id", "item_id", "n_words", F.explode(with_next).alias("d")).select("doc_id", "item_id", "n_words", "d.*")
+    in_item = F.size(F.array_distinct(F.flatten("next.at")))
+    in_doc = F.size(F.array_distinct(F.flatten(F.transform("next", lambda x: F.transform(x["at"], lambda i: i + x["diagonal"])))))
+    near = near.select("doc_id", "item_id", "diagonal", "n_words", "one", "excerpt", F.greatest("one", F.least(in_item, in_doc).cast("long")).alias("n_matched"))
     share = F.col("n_matched") / F.col("n_words")
-    near = near.filter((share >= coverage) | (F.col("n_matched") >= least_run))
-    best = near.groupBy("doc_id", "item_id", "n_words").agg(F.max(F.struct("n_matched", (-F.col("diagonal")).alias("_d"))).alias("_b"))
+    near = near.filter((share >= coverage) | (F.col("n_matched") >= least_run) | F.col("excerpt"))
+    best = near.groupBy("doc_id", "item_id", "n_words").agg(F.max(F.struct("n_matched", "one", (-F.col("diagonal")).alias("_d"))).alias("_b"))
     return best.select("doc_id", "item_id", F.greatest(-F.col("_b._d"), F.lit(0)).cast("long").alias("doc_start"), "_b.n_matched", "n_words", (F.col("_b.n_matched") / F.col("n_words")).alias("coverage"))

@@ -426,6 +426,17 @@ def test_decontamination_finds_passages_with_substitutions(spark, empty):
     assert spaced_seed.leaks(empty, spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_decontamination_finds_excerpts_and_copies_with_inserted_words(spark):
+    item, long = [f"t{i}" for i in range(40)], [f"u{i}" for i in range(59)]
+    doc = lambda mid: " ".join([f"p{i}" for i in range(50)] + mid + [f"q{i}" for i in range(50)])
+    swap = lambda part, *at: [w if i not in at else "other" for i, w in enumerate(part)]
+    rows = [(1, doc(item[:13] + ["x"] + item[13:26] + ["y"] + item[26:])), (2, doc(item[:10] + item[11:20] + item[21:30] + item[31:])), (3, doc(long[20:44])), (4, doc(long[30:43])), (5, doc(swap(long[30:46], 5, 11))), (6, doc(long[30:42])), (7, doc(item[:6] + ["x"] + item[34:])), (8, doc((item[:9] + ["x"]) * 3)), (9, doc(item))]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {r.doc_id: r for r in spaced_seed.leaks(frame(rows, "doc_id"), frame([(10, " ".join(item)), (11, " ".join(long))], "item_id")).collect()}
+    assert {d: (r.item_id, r.n_matched) for d, r in got.items()} == {1: (10, 40), 2: (10, 37), 3: (11, 24), 4: (11, 13), 5: (11, 14), 9: (10, 40)}
+    assert got[1].doc_start == got[9].doc_start == 50 and got[1].coverage == 1.0
+
+
 def test_decontamination_finds_all_verbatim_items(spark, sf_dir, docs):
     items = {r.item_id: words(r.text) for r in queries.table(spark, "/root/testdata/sf0.01", "benchmark").collect()}
     rows = queries.table(spark, "/root/testdata/sf0.01", "documents").collect()
