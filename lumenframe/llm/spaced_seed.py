@@ -10,9 +10,9 @@ diagonal or on diagonals at most 8 apart (words inserted or deleted), or if 13 o
 neighbouring diagonals only words in dense places count, three of five agreeing,
 and no word of the item or the document counts twice.
 
-Defined cases: null and empty texts have no words and leak nothing; items with
-fewer words than a mask spans are matched as a whole by a mask of their length,
-if they have five words or more, and shorter ones match nothing; equal items are
+Defined cases: null and empty texts have no words and leak nothing; items of
+five to seven words are matched as a whole only, and shorter ones match nothing;
+equal items are
 all reported; repeated documents are all reported.
 """
 
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from lumenframe.llm.staging import Stages, small
 from lumenframe.llm.wordgrams import word_hashes
 
-#: Word offsets that a seed looks at.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8))
+#: Word offsets that a seed looks at. The first fits every item and survives each third to sixth word substituted, whatever the phase; all four
+#: together survive any five substitutions in 15 words.
+MASKS = ((0, 1, 3, 4), (0, 1, 5, 7), (0, 2, 9, 10), (0, 3, 5, 6))
 LEAST_WORDS = 5
+#: Words from which an item leaks by a part of it.
+PART_WORDS = 8
 COVERAGE = 0.5
 LEAST_RUN = 25
 #: Agreeing words, and the consecutive words of a diagonal in which they are an excerpt.
@@ -42,7 +45,7 @@ def seeds(hashes: Column, mask: tuple[int, ...], tag: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.lit(tag), *(F.get(hashes, i + o) for o in mask)))
 
 
-def _hits(df: DataFrame, key: str, masks: list[tuple[int, ...]], pos: str) -> DataFrame:
+def _hits(df: DataFrame, key: str, masks: tuple[tuple[int, ...], ...], pos: str) -> DataFrame:
     out = df.select(key, F.explode(F.array(*(F.struct(seeds(F.col("h"), m, t).alias("s")) for t, m in enumerate(masks)))).alias("_m"))
     return out.select(key, F.posexplode("_m.s").alias(pos, "seed"))
 
@@ -64,13 +67,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], .
     """doc_id, item_id, doc_start (word), n_matched, n_words, coverage: the best diagonal of every leaked item of a document, with its neighbours where they add words."""
     stages = Stages(docs.sparkSession, "seeds")
     items = stages.write(benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= LEAST_WORDS))
-    span = max(m[-1] + 1 for m in masks)
-    short = [r[0] for r in items.filter(F.size("h") < span).select(F.size("h").alias("n")).distinct().orderBy("n").collect()]  # at most span - 5 values
-    used = [*masks, *(tuple(range(n)) for n in short)]
-    marks = stages.write(_hits(items, "item_id", used, "item_pos").withColumnRenamed("seed", "mark"))
+    marks = stages.write(_hits(items, "item_id", masks, "item_pos").withColumnRenamed("seed", "mark"))
     n_marks = marks.count()
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
-    found = _hits(words, "doc_id", used, "pos").join(small(marks, n_marks), F.col("seed") == F.col("mark"))
+    found = _hits(words, "doc_id", masks, "pos").join(small(marks, n_marks), F.col("seed") == F.col("mark"))
     diagonals = stages.write(found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct())
     n_diagonals = diagonals.count()
     ids = diagonals.select("doc_id").distinct()
@@ -94,6 +94,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], .
     in_doc = F.size(F.array_distinct(F.flatten(F.transform("next", lambda x: F.transform(x["at"], lambda i: i + x["diagonal"])))))
     near = near.select("doc_id", "item_id", "diagonal", "n_words", "one", "excerpt", F.greatest("one", F.least(in_item, in_doc).cast("long")).alias("n_matched"))
     share = F.col("n_matched") / F.col("n_words")
-    near = near.filter((share >= coverage) | (F.col("n_matched") >= least_run) | F.col("excerpt"))
+    part = (F.col("n_words") >= PART_WORDS) & ((share >= coverage) | (F.col("n_matched") >= least_run) | F.col("excerpt"))
+    near = near.filter(part | (F.col("one") == F.col("n_words")))
     best = near.groupBy("doc_id", "item_id", "n_words").agg(F.max(F.struct("n_matched", "one", (-F.col("diagonal")).alias("_d"))).alias("_b"))
     return best.select("doc_id", "item_id", F.greatest(-F.col("_b._d"), F.lit(0)).cast("long").alias("doc_start"), "_b.n_matched", "n_words", (F.col("_b.n_matched") / F.col("n_words")).alias("coverage"))

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -437,6 +438,19 @@ def test_decontamination_finds_excerpts_and_copies_with_inserted_words(spark):
     assert got[1].doc_start == got[9].doc_start == 50 and got[1].coverage == 1.0
 
 
+def test_seeds_survive_substitutions_in_all_phases_and_any_five_of_fifteen(spark):
+    fits = [sum(1 << (o + i) for o in m) for m in spaced_seed.MASKS for i in range(15 - m[-1])]
+    assert all(any(not f & sum(1 << i for i in lost) for f in fits) for lost in combinations(range(15), 5))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    rng, rows, items = np.random.Generator(np.random.PCG64(3)), [], []
+    for i, (n, lost) in enumerate([(n, range(phase, n, period)) for n in (15, 40) for period in (3, 4, 5, 6) for phase in range(period)] + [(15, rng.permutation(15)[:5].tolist()) for _ in range(40)]):
+        items.append((i, " ".join(f"w{i}x{j}" for j in range(n))))
+        rows.append((i, " ".join(["before"] * 20 + ["other" if j in lost else f"w{i}x{j}" for j in range(n)] + ["after"] * 20)))
+    rows += [(1000, "a b c d x f"), (1001, "a b c d e f")]
+    got = {(r.doc_id, r.item_id) for r in spaced_seed.leaks(frame(rows, "doc_id"), frame([*items, (900, "a b c d e f")], "item_id")).collect()}
+    assert got == {(i, i) for i, _ in items} | {(1001, 900)}, "items of less than eight words as a whole only"
+
+
 def test_decontamination_finds_all_verbatim_items(spark, sf_dir, docs):
     items = {r.item_id: words(r.text) for r in queries.table(spark, "/root/testdata/sf0.01", "benchmark").collect()}
     rows = queries.table(spark, "/root/testdata/sf0.01", "documents").collect()
