@@ -2,7 +2,8 @@
 
 Texts are vectors of hashed letter trigrams, weighted by log count and inverse
 document frequency and normalised. Each language has several centroids, found by
-spherical k-means over a bounded sample of its labelled texts; document
+spherical k-means over a bounded sample of its labelled texts, drawn language by
+language so that rare ones are learned however large the table is; document
 frequencies are counted over all training texts. A text gets the language of its
 nearest centroid by cosine; one that is farther from it than nearly all training
 texts of that language is rejected.
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import textvec
 from lumenframe.llm.rule_quality import held_out
+from lumenframe.llm.staging import small
 
 DIMS = 4096
 CENTROIDS = 4
-#: Training texts that centroids are fitted on at most (about: drawn by a hash of doc_id).
+#: Training texts that centroids are fitted on at most (about: drawn by a hash of doc_id), and those of a language that are taken in any case.
 FIT_ROWS = 3000
+LEAST_ROWS = 32
+HASHES = 10**15
 REJECT_SHARE = 0.5
 #: Trigrams from which the full distance counts; shorter texts, whose vectors are noisy, are rejected less readily.
 FULL_TRIGRAMS = 400
@@ -101,8 +105,19 @@ def cluster(v: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def quota(counts: list[int], fit_rows: int) -> int:
+    """Texts to draw of a language at most: LEAST_ROWS, or more if all languages together then give no more than fit_rows."""
+    left = fit_rows
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return max(share, LEAST_ROWS)
+        left -= n
+    return max([LEAST_ROWS, *counts])
+
+
 def fit_on(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Centroids | None:
-    """Centroids of docs(doc_id, text, lang): all of them count for document frequency, about fit_rows are clustered."""
+    """Centroids of docs(doc_id, text, lang): all of them count for document frequency, about fit_rows are clustered, of each language alike."""
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
     counted = train.select("text").mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()  # DIMS + 1 rows
     if not counted:
@@ -112,8 +127,11 @@ def fit_on(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS
     df = np.zeros(DIMS)
     df[list(found)] = list(found.values())
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
-    share = 1_000_000 if n <= fit_rows else fit_rows * 1_000_000 // n
-    got = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share).mapInArrow(_sampled, "doc_id long, lang string, v binary").toArrow().sort_by([("doc_id", "ascending"), ("v", "ascending")])
+    rows = [(r["lang"], r["n"]) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row a language
+    most = quota([n for _, n in rows], fit_rows)
+    shares = docs.sparkSession.createDataFrame([(lang, HASHES if n <= most else most * HASHES // n) for lang, n in rows], "lang string, share long")
+    drawn = train.join(small(shares, len(rows)), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HASHES)) < F.col("share"))
+    got = drawn.select("doc_id", "lang", "text").mapInArrow(_sampled, "doc_id long, lang string, v binary").toArrow().sort_by([("doc_id", "ascending"), ("v", "ascending")])
     langs = np.array(got.column("lang").to_pylist())
     v = np.stack([np.frombuffer(x, np.float16) for x in got.column("v").to_pylist()]).astype(np.float32) * idf if len(langs) else np.zeros((0, DIMS), np.float32)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

@@ -390,6 +390,17 @@ def test_languages_on_held_out_documents(spark, edge, empty):
     assert centroid_langid.predict_languages(empty).collect() == []
 
 
+def test_rare_languages_are_learned_from_large_tables(spark):
+    assert [centroid_langid.quota(c, 3000) for c in ([10, 20], [10, 5000], [9000] * 4, [9000] * 200)] == [32, 2990, 750, 32]
+    text = {"en": "the weather of this week is cold and the night was long", "de": "das wetter dieser woche ist kalt und die nacht war lang", "it": "il tempo di questa settimana è freddo e la notte era lunga"}
+    rows = [(i, f"{text[lang]} {i}", lang) for i, lang in enumerate(["en", "de"] * 500 + ["it"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = centroid_langid.fit_on(docs, fit_rows=100)
+    assert set(model.langs) == {"de", "en", "it"}
+    got = {r.doc_id: r for r in centroid_langid.identify(docs, model).collect()}
+    assert all(got[i].lang_pred == lang and not got[i].rejected for i, _, lang in rows)
+
+
 def test_quality_on_held_out_documents(spark, edge, empty):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in queries.table(spark, sf, "labels").collect()}
