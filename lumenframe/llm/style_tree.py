@@ -7,8 +7,8 @@ counted. A block that is spread evenly over the m pages of its node has entropy
 log m, one that occurs once has none; a node's importance is 1 less the mean
 entropy of the blocks below it (in units of log m), with a tenth of weight on the
 variety of its presentation. Branches of low importance repeat from page to page
-and are removed, and so are branches whose element or class says that they are
-no article (menus, footers, adverts, forms, scripts, comments); if a page marks
+and are removed, and so are branches whose element or whole class, id or role
+says that they are no article (share-price and with-sidebar do not; menus, footers, adverts, forms, scripts, comments); if a page marks
 an article, the rest of it is removed too. Within what is left, a block that more
 than half of the host's distinct articles repeat (exact copies of an article
 count once) is removed wherever it stands, paragraphs of a marked article too.
@@ -48,9 +48,13 @@ RAW = frozenset("script style".split())
 NO_CONTENT = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object video audio dialog menu".split())
 ARTICLE = frozenset("article main".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption article main".split())
 # Words of class, id and role attributes that mark what is no article.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar toolbar related recommended recommendations trending share sharing social comment comments disqus respond reply replies pagination pager search complementary contentinfo alert".split())
+PAGE_NOISE = NOISE | {"header"}
+# Words that may stand beside them in a name (site-footer, related-posts) without changing what it is.
+PLACE = frozenset("site page main global top bottom left right upper lower primary secondary container wrapper wrap area list box block section inner outer bar links link item items form panel posts post articles stories slot unit".split())
 ARTICLE_NOISE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
@@ -79,6 +83,18 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source)}
 
 
+def _marked(tag: str, attrs: dict[str, str], words: frozenset[str]) -> bool:
+    """Whether a whole class, role or id says one of the words, with nothing but words of PLACE beside it; ids of headings name what they head."""
+    for name in ("class", "role", "id"):
+        if name == "id" and tag in HEADINGS:
+            continue
+        for token in attrs.get(name, "").lower().split():
+            found = set(_WORD.findall(token))
+            if found & words and found <= words | PLACE:
+                return True
+    return False
+
+
 def _hidden(attrs: dict[str, str]) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
 
@@ -150,13 +166,12 @@ def parse(page: str) -> tuple[list[Block], list[Node]]:
             continue
         attrs = _attributes(m["attrs"]) if m["attrs"] else {}
         up = stack[-1]
-        marks = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower()))
         article = up.article or tag in ARTICLE
         drop, soft = up.drop, up.soft
         if tag in ARTICLE:
-            soft = bool(marks & ARTICLE_NOISE) or (up.soft and up.article)
+            soft = _marked(tag, attrs, ARTICLE_NOISE) or (up.soft and up.article)
         elif tag not in ("html", "body"):
-            soft = soft or bool(marks & NOISE) or (not article and "header" in marks)
+            soft = soft or _marked(tag, attrs, NOISE if article else PAGE_NOISE)
         drop = drop or tag in NO_CONTENT or (tag == "header" and not article) or _hidden(attrs)
         label = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").lower().split()))
         node = Node(tag, label, up.path if tag in INLINE else (*up.path, label), drop, soft, article)

@@ -497,6 +497,13 @@ def test_main_text_of_a_page():
     assert style_tree.main_text("<p>a<!-- never closed <p>b") == "a"
 
 
+def test_only_whole_names_mark_what_is_no_article():
+    assert style_tree.main_text("<article><h2 id='related-work'>Related work</h2><h2 id='comments'>Comments</h2><section id='social-security'><p>law</p></section><div class='share-price'>12</div></article>") == "Related work\nComments\nlaw\n12"
+    assert style_tree.main_text("<div class='content no-sidebar'><p>a</p></div>") == style_tree.main_text("<div class='with-sidebar'><p>a</p></div>") == "a"
+    for gone in ("class='site-footer'", "class='x related-posts'", "id='sidebar-2'", "role='banner'", "class='nav__item'", "id='comments'", "class='site-header'"):
+        assert style_tree.main_text(f"<div><p>a</p><div {gone}><p>b</p></div></div>") == "a", gone
+
+
 def test_repeated_branches_of_a_site_are_removed(spark):
     page = lambda i: f"<body><div class='top'><span>Welcome to the site</span></div><div class='body'><p>story {i} begins</p><p>and {i * 7} ends</p></div><div class='bottom'><p>All rights</p><p>Contact us</p></div></body>"
     rows = [(i, f"http://a.example/{i}", page(i)) for i in range(20)] + [(100 + i, f"http://b.example/{i}", page(1)) for i in range(3)] + [(200, None, None)]
