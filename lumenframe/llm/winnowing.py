@@ -9,7 +9,8 @@ Defined cases: a null text is the empty text, whose fingerprint is the empty
 string; a text of one to four words has one hash of all its words at position 0;
 a text with fewer than 16 word groups has one window; two empty fingerprints
 have likeness 1, an empty and a full one 0; rows of equal doc_id follow each
-other by text. Positions count words and are exact up to 2**26 words.
+other by a hash of the text; a null doc_id comes after all others; any 64-bit
+doc_id may occur; rows equal in doc_id and text share a block. Positions count words and are exact up to 2**26 words.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from lumenframe.llm.wordgrams import shifted, word_hashes
 K = 5
 WINDOW = 16
 _POS_BITS = 26
-#: Documents of a neighbourhood block, and the most blocks: their first ids are broadcast, 16 MB at most.
+#: Documents of a neighbourhood block (about), the most blocks, and the keys sampled for each of their bounds: 34 MB at most.
 BLOCK_DOCS = 512
-MOST_BLOCKS = 1 << 20
+MOST_BLOCKS = 1 << 16
+BOUND_SAMPLES = 16
+#: Characters of text that a task of neighbours should hold.
+TASK_CHARS = 8_000_000
 
 
 def with_winnow(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -65,34 +69,57 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A string whose order is that of descending doc_id, nulls last, then of a hash of the text."""
+    down = F.bitwise_not(doc_id).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.coalesce(F.lpad(F.hex(down), 16, "0"), F.lit("G")), F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+
+
+def block_of(key: Column, bounds: list[str]) -> Column:
+    """How many of the ascending bounds are not above the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    listed, n = F.split(F.lit(",".join(bounds)), ","), len(bounds)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(listed, F.least(at + step, F.lit(n)) - 1) <= key), at + step).otherwise(at))
+
+
+def with_next(df: DataFrame, carried: list[str], block_docs: int = BLOCK_DOCS) -> DataFrame:
     """df(doc_id long, text, ...) with next_<c> for c in carried, of the next row by descending doc_id (after the last: of the first).
 
-    Rows are dealt into blocks of ids; a block's first row also goes, marked as a
-    copy, to the block before it, where it is the neighbour of the last row.
+    Rows are dealt into blocks by bounds taken from a sample of the order keys,
+    so blocks are even for any spread of ids and split rows of one id; a block's
+    first row also goes, marked as a copy, to the block before it, where it is
+    the neighbour of the last row. The sample decides about the blocks only.
     """
-    spark = df.sparkSession
-    stages = Stages(spark, "winnow")
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    n_blocks = max(1, min(MOST_BLOCKS, -(-(n or 0) // BLOCK_DOCS)))
-    width = ((high or 0) - (low or 0)) // n_blocks + 1
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    heads = df.groupBy(block.alias("_b")).agg(F.max("doc_id").alias("_head"))
-    down = Window.orderBy(F.col("_b").desc())
-    heads = heads.withColumn("_to", F.coalesce(F.lag("_b").over(down), F.min("_b").over(Window.partitionBy())))
+    stages = Stages(df.sparkSession, "winnow")
+    key = order_key(F.col("doc_id"), F.col("text"))
+    n, chars = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_blocks = max(1, min(MOST_BLOCKS, -(-n // block_docs)))
+    tasks = max(1, min(n_blocks, -(-chars // TASK_CHARS)))
+    scale = 1 << 30
+    share = min(scale, -(-scale * BOUND_SAMPLES * n_blocks // max(n, 1)))
+    seen = df.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(scale)) < share)
+    picks = F.transform(F.sequence(F.lit(1), F.lit(n_blocks)), lambda i: F.get("ks", (i * F.size("ks") / F.lit(n_blocks)).cast("int")))
+    bounds = seen.agg(F.array_sort(F.collect_set("k")).alias("ks")).select(F.array_distinct(F.array_compact(picks)).alias("b")).first()["b"]
+    df = df.withColumn("_key", key).withColumn("_b", block_of(F.col("_key"), bounds))
+    heads = df.groupBy("_b").agg(F.min("_key").alias("_head"))
+    heads = heads.withColumn("_to", F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(Window.partitionBy())))
     heads = stages.write(heads.select("_head", "_to"))
     own = F.array(F.struct(F.col("_b"), F.lit(False).alias("_copy")))
     both = F.array(F.struct(F.col("_b"), F.lit(False).alias("_copy")), F.struct(F.col("_to").alias("_b"), F.lit(True).alias("_copy")))
     dealt = (
-        df.withColumn("_b", block)
-        .join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+        df.join(F.broadcast(heads), F.col("_key") == F.col("_head"), "left")
         .withColumn("_at", F.explode(F.when(F.col("_to").isNull(), own).otherwise(both)))
-        .select(*df.columns, "_at._b", "_at._copy")
+        .drop("_b", "_head", "_to")
+        .select("*", "_at._b", "_at._copy")
+        .drop("_at")
+        .repartition(tasks, "_b")
     )
-    order = Window.partitionBy("_b").orderBy("_copy", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("_b").orderBy("_copy", "_key")
     for c in carried:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.filter(~F.col("_copy")).drop("_b", "_copy")
+    return dealt.filter(~F.col("_copy")).drop("_b", "_copy", "_key")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
