@@ -38,8 +38,7 @@ def op6_patience_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    staged = Stages(spark, "pii").write(weak_pii.with_spans(docs).select("doc_id", "base", "extra"))
+    staged = Stages(spark, "pii").write(weak_pii.spans_of(table(spark, sf_dir, "documents")))
     model = weak_pii.fit(staged.select(F.explode("extra").alias("s")).select("s.*"))
     spans = weak_pii.chosen(F.col("base"), F.col("extra"), model)
     counts = [weak_pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in weak_pii.BASE_KINDS]

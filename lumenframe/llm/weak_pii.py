@@ -9,7 +9,7 @@ train a logistic span classifier over discrete span features, which is compiled
 into a column expression and decides about the candidates.
 
 Defined cases: null and empty texts have no spans; a candidate that overlaps a
-base span or an earlier candidate is dropped; without any candidate the
+base span is dropped; without any candidate the
 classifier accepts nothing. Offsets are code points, ends exclusive.
 """
 
@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.scans import let, pieces_of, running_max, running_sum
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "ssn", "iban", "local_phone")
 KINDS = BASE_KINDS + EXTRA_KINDS
@@ -48,22 +50,38 @@ CUES = {
     "local_phone": r"(?i)(?:call|tel|phone|fax|mobile|contact|ring|appel|llam|ruf)",
 }
 CONTEXT_CHARS = 24
+#: No offset of a text.
+_FAR = -(1 << 31) + 1
 MAX_FEATURES = 4
 
 
+_FOUND = "array<struct<start:int,end:int,found:string,before:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,found>> of all matches, left to right, from the pieces between them."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    """array<struct<start,end,found,before>> of all matches, left to right, from the pieces between them; before: the CONTEXT_CHARS before the match."""
+    tail = lambda x: F.substring(x, F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS))
+
+    def placed(x: Column) -> Column:
+        pairs = F.zip_with(F.slice(x["pieces"], 1, F.size(x["found"])), x["found"], lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+
+        def spans(pairs: Column) -> Column:
+            ends = running_sum(F.transform(pairs, lambda v: F.length(v["p"]) + F.length(v["m"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["p"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("found")))).alias("out"))
+            def one(v: Column, i: Column) -> Column:
+                context = tail(F.concat(F.when(i > 0, tail(F.get(x["found"], i - 1))).otherwise(F.lit("")), v["p"]))
+                return F.struct((v["end"] - F.length(v["m"])).alias("start"), v["end"].alias("end"), v["m"].alias("found"), context.alias("before"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.aggregate(pairs, zero, step)["out"]
+            both = F.zip_with(pairs, F.slice(ends, 2, F.size(pairs)), lambda v, e: F.struct(v["p"].alias("p"), v["m"].alias("m"), e.alias("end")))
+            return F.transform(both, one)
+
+        return let(pairs, spans)
+
+    def some(found: Column) -> Column:
+        none = F.array().cast(_FOUND)
+        return F.when(F.size(found) > 0, let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces")), placed)).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
 
 
 def _digits(s: Column) -> Column:
@@ -89,7 +107,7 @@ def _part_ok(p: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start,kind,end>> of the base kinds, by start, then kind."""
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = F.array().cast(_FOUND)
     digits = text.rlike("[0-9]")
 
     def of(kind: str, when: Column, pattern: str, keep) -> Column:
@@ -122,7 +140,7 @@ def _kind(found: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<start,kind,end,strict,listed,cue,long>>: the labelers' votes (1 for, 0 against, null: abstains)."""
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = F.array().cast(_FOUND)
     found = F.when(text.rlike(r"[0-9=:]"), located(text, EXTRA)).otherwise(none)
 
     def votes(s: Column) -> Column:
@@ -139,8 +157,7 @@ def candidates(text: Column) -> Column:
             .when(kind == "iban", F.substring(t, 1, 2).isin(*IBAN_COUNTRIES))
             .when(kind == "local_phone", _digits(t).rlike("^[2-9][0-8][0-9]"))
         )
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        words = F.when(kind == "secret", F.concat(before, F.substring(t, 1, 12))).otherwise(before)
+        words = F.when(kind == "secret", F.concat(s["before"], F.substring(t, 1, 12))).otherwise(s["before"])
         cue = F.lit(False)
         for k, p in CUES.items():
             cue = F.when(kind == k, words.rlike(p)).otherwise(cue)
@@ -222,10 +239,27 @@ def fit(spans: DataFrame) -> SpanModel:
 
 
 def chosen(base: Column, extra: Column, model: SpanModel) -> Column:
-    """All spans as array<struct<start,kind,end>>: the base ones and accepted candidates that overlap no span before them."""
-    clear = F.filter(extra, lambda s: model.accept(s) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    short = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return F.array_sort(F.concat(base, short))
+    """All spans as array<struct<start,kind,end>>: the base ones and accepted candidates that overlap no base span.
+
+    Base spans are sorted by start, so a candidate overlaps one if the largest
+    end before it is beyond its start or the next base span starts before its end.
+    """
+    mark = lambda s, own: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+    def fitted(good: Column) -> Column:
+        both = F.array_sort(F.concat(F.transform(base, lambda s: mark(s, 0)), F.transform(good, lambda s: mark(s, 1))))
+
+        def clear(all_: Column) -> Column:
+            reach = running_max(F.transform(all_, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(F.lit(-1))))
+            # starts of base spans to come, as maxima of their negatives from the end
+            ahead = F.reverse(running_max(F.transform(F.reverse(all_), lambda s: F.when(s["own"] == 0, -s["start"]).otherwise(F.lit(_FAR))), _FAR))
+            judged = F.zip_with(all_, F.arrays_zip(reach.alias("reach"), ahead.alias("ahead")), lambda s, r: F.struct(s.alias("s"), r["reach"].alias("reach"), r["ahead"].alias("ahead")))
+            stay = F.filter(F.slice(judged, 1, F.size(all_)), lambda j: (j["s"]["own"] == 0) | ((j["reach"] <= j["s"]["start"]) & (-j["ahead"] >= j["s"]["end"])))
+            return F.array_sort(F.transform(stay, lambda j: F.struct(j["s"]["start"].alias("start"), j["s"]["kind"].alias("kind"), j["s"]["end"].alias("end"))))
+
+        return F.when(F.size(good) > 0, let(both, clear)).otherwise(base)
+
+    return let(F.filter(extra, lambda s: model.accept(s)), fitted)
 
 
 def joined(spans: Column) -> Column:
@@ -239,22 +273,39 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; what spans overlap is replaced once."""
+    """text with every span replaced by its kind in brackets; what spans overlap is replaced once, by the first."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] >= acc["at"], F.struct(new.alias("out"), s["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+    def cut(sorted_: Column) -> Column:
+        def gaps(reach: Column) -> Column:
+            first = F.filter(F.zip_with(sorted_, F.slice(reach, 1, F.size(sorted_)), lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda x: x["start"] >= x["at"])
+            starts = lambda f: F.concat(F.transform(f, lambda x: x["at"]), F.array(F.element_at(reach, -1)))
+            ends = lambda f: F.concat(F.transform(f, lambda x: x["start"]), F.array(F.length(text)))
+            tags = lambda f: F.concat(F.transform(f, lambda x: F.element_at(names, x["kind"] + 1)), F.array(F.lit("")))
+            return let(first, lambda f: F.array_join(F.zip_with(pieces_of(text, starts(f), ends(f)), tags(f), lambda p, t: F.concat(p, t)), ""))
+
+        return let(running_max(F.transform(sorted_, lambda s: s["end"]), 0), gaps)
 
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, let(spans, cut)).otherwise(text)
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base` and `extra` spans of a text column."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("base", base_spans(t)).withColumn("extra", candidates(t))
+def redact(docs: DataFrame, model: SpanModel) -> DataFrame:
+    """docs with personal data in text replaced; null texts stay null, and columns of any name stay as they are."""
+    held: list[str] = []
+    for name in ("_base", "_extra", "_spans"):
+        while name in docs.columns:
+            name += "_"
+        held.append(name)
+    base, extra, spans = held
+    t = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.withColumn(base, base_spans(t)).withColumn(extra, candidates(t)).withColumn(spans, chosen(F.col(base), F.col(extra), model))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col(spans)))).select(*docs.columns)
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
+    """doc_id, base, extra: the base spans and the candidates of docs(doc_id, text)."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(t).alias("base"), candidates(t).alias("extra"))
 
 
 def fit_on(docs: DataFrame) -> SpanModel:
