@@ -14,8 +14,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own if all runs in this process, else an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_dir and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables go there")
     return (set_dir or f"file://{tempfile.gettempdir()}/lumenframe-{os.getpid()}").rstrip("/") + "/stages"
 
 

@@ -327,9 +327,8 @@ def test_em_ranks_the_labelers():
 
 def test_redaction_replaces_spans_only(spark):
     df = spark.createDataFrame([(1, "hi 𝔘 me@x.org, 8.8.8.8!"), (2, "clean"), (3, None)], "doc_id long, text string")
-    found = weak_pii.with_spans(df)
-    out = found.select("doc_id", weak_pii.redacted(F.col("text"), weak_pii.chosen(F.col("base"), F.col("extra"), weak_pii.SpanModel())).alias("t")).collect()
-    assert {r.doc_id: r.t for r in out} == {1: "hi 𝔘 [EMAIL], [IP]!", 2: "clean", 3: None}
+    out = weak_pii.redact(df, weak_pii.SpanModel()).collect()
+    assert {r.doc_id: r.text for r in out} == {1: "hi 𝔘 [EMAIL], [IP]!", 2: "clean", 3: None}
 
 
 def test_language_model_base_score_and_likelihood(spark, sf_dir, docs, edge, empty):
