@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, and further ones that docs has, whatever their names.
+
+Defined cases: a null or empty text has no letter and goes in the first stage;
+rows of one doc_id go together where a stage rejects that doc_id; rows without
+doc_id cannot be named, so the first three stages keep them; equal texts are
+near copies, of which the smallest doc_id stays; personal data is replaced in
+every row; the last stage counts repeated rows as documents of their own. Empty
+tables and tables of one row pass all stages.
 """
 
 from __future__ import annotations
@@ -16,8 +23,11 @@ from lumenframe.llm.staging import Stages, small
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows of the given doc_ids."""
-    dropped = Stages(docs.sparkSession, "dropped").write(ids.select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(small(dropped), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    name = "_dropped"
+    while name in docs.columns:
+        name += "_"
+    dropped = Stages(docs.sparkSession, "dropped").write(ids.select(F.col("doc_id").cast("long").alias(name)).filter(F.col(name).isNotNull()).distinct())
+    return docs.join(small(dropped), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the text."""
-    model = weak_pii.fit_on(docs)
-    found = weak_pii.with_spans(docs)
-    spans = weak_pii.chosen(F.col("base"), F.col("extra"), model)
-    found = found.withColumn("spans", spans)
-    text = F.when(F.size("spans") > 0, weak_pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = weak_pii.redact(docs, weak_pii.fit_on(docs))
+    return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
