@@ -171,3 +171,22 @@ DEFAULT_MASK = {
     "00102154": "X", "00102155": "X", "00102160": "X", "00104000": "X", "00181000": "X/Z/D", "00181030": "X/D", "0020000D": "U", "0020000E": "U", "00200010": "Z", "00200052": "U", "00204000": "X",
     "00321032": "X", "00321060": "X/Z", "00380010": "X", "00400001": "X", "00400002": "X", "00400003": "X", "00400006": "X", "00400007": "X", "00400010": "X", "00400011": "X", "00400275": "X", "0040A123": "D", "0040A124": "U", "0040A730": "X", "00420010": "D", "00420011": "D", "00700084": "Z",
 }
+# Further elements of that table, by action.
+_MASK_MORE = {
+    "X": """00080096 0008009D 00081041 00081049 00081052 00081062 00081080 00081084 00081120 00181004 00181005 00181007 00181008 00181009 0018100A 00203401 00203404 00203406
+    00320012 00321020 00321030 00321033 00321067 00321070 00380004 00380011 00380014 0038001E 00380050 00380060 00380061 00380062 00380064 00380300 00380400 00380500
+    00400009 0040000B 00400012 00400242 00400243 00400253 00400254 00400600 004006FA 00401001 00401002 00401004 00401005 0040100A 00401011 00401103 00401104 00402001 00402009 00402010 00403001
+    00404025 00404027 00404028 00404030 00404034 00404035 00404036 0040A078 0040A07A 0040A07C 0040A354 00700086 00880200 00880904 00880910 00880912
+    04000402 04000403 04000404 04000550 04000551 04000561 30060004 30060085 300A0003 300A0196 300A01A6 40080042 40080111 40080118 4008011A 40080202 FFFAFFFA FFFCFFFC
+    0010XXXX 50XXXXXX 60XX3000 60XX4000""",
+    "Z": "0008009C 00400513 00400562 00400610 00402016 00402017 0040A088 30060026",
+    "D": "00400512 00400551 00401101 0040A027 0040A073 00700001 30060002 300A0002",
+    "X/D": "00081072 00181400 0018700A",
+    "X/Z": "00400555 300A00B2",
+    "Z/D": "00180010",
+    "X/Z/D": "00080082",
+    "K": "00080016 0008001A 0008001B 0008010C 00080117 00080118 00081150",
+}
+DEFAULT_MASK |= {t: action for action, tags in _MASK_MORE.items() for t in tags.split() if t not in DEFAULT_MASK}
+#: What becomes of elements that the table does not name, by VR: names, ages, dates and times, free text, addresses, and UIDs that are not the standard's own.
+DEFAULT_MASK_VRS = {"PN": "Z", "AS": "X", "DA": "X/D", "DT": "X/D", "TM": "X/D", "LT": "X", "ST": "X", "UT": "X", "UR": "X", "AE": "X", "UI": "U"}

@@ -1,14 +1,16 @@
-"""De-identification by action codes, as one broadcast join and a decision table."""
+"""De-identification by action codes, as a decision table over the columns of an element."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from collections.abc import Mapping as Map
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.dictionary import BYTE_VRS, DEFAULT_MASK, tag_of
+from lumenframe.dictionary import BYTE_VRS, DEFAULT_MASK, DEFAULT_MASK_VRS, tag_of
 from lumenframe.functions.dicom import deterministic_uid
+from lumenframe.schema import ELEMENT_NAMES
 
 ACTIONS = frozenset("D Z X K C U Z/D X/Z X/D X/Z/D X/Z/U".split())
 #: What a compound action does.
@@ -17,10 +19,21 @@ _NUMBERS = ("FL", "FD", "SL", "SS", "SV", "UL", "US", "UV", "IS", "DS")
 _CLEANED = ("LO", "LT", "SH", "ST", "UC", "UT", "UR", "AE", "CS")
 
 
+STANDARD_ROOT = "1.2.840.10008."
+_ODD = "13579BDF"
+
+
 class Mask:
-    """Actions by tag or keyword; a tag may have X for any digit. Values that are no action are literal replacements."""
+    """Actions by tag or keyword; a tag may have X for any digit. Values that are no action are literal replacements.
+
+    private: what becomes of private elements that no key names, removed (X) unless they are kept (K).
+    by_vr: actions of other elements that no key names; UIDs of the standard itself stay.
+    """
 
-    def __init__(self, actions: Map[str, str] | None = None):
+    def __init__(self, actions: Map[str, str] | None = None, private: str = "X", by_vr: Map[str, str] | None = None):
+        if private not in ("X", "K"):
+            raise ValueError("private is X or K")
+        self.private, self.by_vr = private, dict(by_vr or {})
         self.actions: dict[str, str] = {}
         for k, v in (actions or {}).items():
             self.actions[self._key(k)] = v
@@ -34,28 +47,60 @@ class Mask:
 
     @classmethod
     def default(cls) -> Mask:
-        return cls(DEFAULT_MASK)
+        return cls(DEFAULT_MASK, by_vr=DEFAULT_MASK_VRS)
+
+    def _like(self, actions: Map[str, str], private: str | None = None) -> Mask:
+        return Mask(actions, private or self.private, self.by_vr)
 
     def merge(self, other: Mask | Map[str, str]) -> Mask:
-        """Both masks; of equal keys the other's wins."""
-        return Mask({**self.actions, **(other.actions if isinstance(other, Mask) else Mask(other).actions)})
+        """Both masks; of equal keys the other's wins. Private elements are kept only if both masks keep them."""
+        both = other if isinstance(other, Mask) else Mask(other, self.private)
+        merged = self._like({**self.actions, **both.actions}, "K" if self.private == both.private == "K" else "X")
+        merged.by_vr |= both.by_vr
+        return merged
 
     def without(self, *names: str) -> Mask:
+        """The mask without these keys; what a rule by VR or a pattern would do to them, it does not."""
         gone = {self._key(n) for n in names}
-        return Mask({k: v for k, v in self.actions.items() if k not in gone})
+        return self._like({k: v for k, v in self.actions.items() if k not in gone} | {k: "K" for k in gone if "X" not in k and (self.by_vr or any("X" in p for p in self.actions))})
+
+    def keeping_private(self) -> Mask:
+        return self._like(self.actions, "K")
 
-    def column(self, tag: Column) -> Column:
-        """The action of a tag: exact keys first, then patterns; null without one."""
-        exact = {k: v for k, v in self.actions.items() if "X" not in k}
+    def column(self, tag: Column, vr: Column | None = None, value: Column | None = None) -> Column:
+        """The action of a tag: exact keys first, then patterns, then private elements, then rules by VR; null without one."""
         out = F.lit(None).cast("string")
+        if self.by_vr and vr is not None:
+            own = F.coalesce(F.startswith(value, F.lit(STANDARD_ROOT)), F.lit(False)) if value is not None else F.lit(False)
+            for kind, action in self.by_vr.items():
+                out = F.when((vr == kind) & (~own if kind == "UI" else F.lit(True)), action).otherwise(out)
+        if self.private == "X":
+            out = F.when(F.substring(tag, 4, 1).isin(*_ODD), "X").otherwise(out)
+        by_action: dict[str, list[str]] = {}
         for k, v in self.actions.items():
             if "X" in k:
                 out = F.when(tag.rlike("^" + k.replace("X", "[0-9A-F]") + "$"), v).otherwise(out)
-        if exact:
-            table = F.create_map(*(F.lit(x) for kv in exact.items() for x in kv))
-            out = F.coalesce(F.try_element_at(table, tag), out)
+            else:
+                by_action.setdefault(v, []).append(k)
+        for v, keys in by_action.items():  # one hashed lookup an action
+            out = F.when(tag.isin(*keys), v).otherwise(out)
         return out
 
+    def hides(self, path: Column) -> Column:
+        """Whether a path of sequences leads through one that is removed, emptied or replaced."""
+        emptied = {t for t, a in self.actions.items() if a.rstrip("*").upper() in ACTIONS - {"K"}}
+        exact, patterns = [t for t in emptied if "X" not in t], [t for t in emptied if "X" in t]
+        kept = [t for t in self.actions if "X" not in t and t not in emptied]
+
+        def gone(tag: Column) -> Column:
+            out = tag.isin(*exact) if exact else F.lit(False)
+            loose = F.substring(tag, 4, 1).isin(*_ODD) if self.private == "X" else F.lit(False)
+            if patterns:
+                loose = loose | tag.rlike("^(?:" + "|".join(t.replace("X", "[0-9A-F]") for t in sorted(patterns)) + ")$")
+            return out | (loose & ~tag.isin(*kept) if kept else loose)
+
+        return F.exists(F.coalesce(path, F.array().cast("array<struct<tag:string,item:int>>")), lambda p: gone(p["tag"]))
+
 
 def resolved(action: Column) -> Column:
     """One of D Z X K C U, or null for a literal."""
@@ -86,28 +131,46 @@ def masked_value(tag: Column, vr: Column, value: Column, action: Column, consist
     )
 
 
+def _changes(get: Callable[[str], Column], action: Column, consistent_uids: bool) -> dict[str, Column]:
+    """New values of an element's columns; get gives the old ones."""
+    vr = get("vr")
+    changed = action.isNotNull() & F.coalesce(resolved(action) != "K", F.lit(True))
+    new = masked_value(get("tag"), vr, get("str"), action, consistent_uids)
+    number = vr.isin(*_NUMBERS) & changed
+    return {
+        "strs": F.when(changed, F.when(new.isNotNull(), F.array(new))).otherwise(get("strs")),
+        "ints": F.when(changed, F.when(number & get("ints").isNotNull(), F.array(F.lit(0).cast("long")))).otherwise(get("ints")),
+        "dbls": F.when(changed, F.when(number & get("dbls").isNotNull(), F.array(F.lit(0.0)))).otherwise(get("dbls")),
+        "bin": F.when(changed & vr.isin(*BYTE_VRS), F.when(resolved(action) == "Z", F.lit(b"")).otherwise(F.lit(b"\x00"))).when(changed, F.lit(None)).otherwise(get("bin")),
+        "is_bulk": get("is_bulk") & ~changed,
+        "bulk_offset": F.when(~changed, get("bulk_offset")),
+        "bulk_uri": F.when(~changed, get("bulk_uri")),
+        "str": F.when(changed, new).otherwise(get("str")),
+    }
+
+
+def _stays(action: Column) -> Column:
+    return F.coalesce(resolved(action) != "X", F.lit(True))
+
+
 def deidentify(elements: DataFrame, mask: Mask | None = None, consistent_uids: bool = False) -> DataFrame:
-    """elements after the mask. File meta stays; elements inside a removed, emptied or replaced sequence go with it; bulk values are masked like others."""
+    """Element rows after the mask. File meta stays; elements inside a removed, emptied or replaced sequence go with it; bulk values are masked like others."""
     mask = mask or Mask.default()
-    df = elements.withColumn("_action", F.when(~F.col("is_meta"), mask.column(F.col("tag"))))
-    emptied = [t for t, a in mask.actions.items() if a.rstrip("*").upper() in ACTIONS - {"K"}]
-    inside = F.lit(False)
-    if emptied:
-        exact = [t for t in emptied if "X" not in t]
-        rules = "|".join(t.replace("X", "[0-9A-F]") for t in emptied if "X" in t) or "(?!)"
-        inside = F.exists(F.coalesce("path", F.array().cast("array<struct<tag:string,item:int>>")), lambda p: p["tag"].isin(*exact) | p["tag"].rlike(rules) if exact else p["tag"].rlike(rules))
-    df = df.filter(F.coalesce(resolved(F.col("_action")) != "X", F.lit(True)) & ~inside)
-    changed = F.col("_action").isNotNull() & F.coalesce(resolved(F.col("_action")) != "K", F.lit(True))
-    new = masked_value(F.col("tag"), F.col("vr"), F.col("str"), F.col("_action"), consistent_uids)
-    number = F.col("vr").isin(*_NUMBERS) & changed
-    out = {
-        "strs": F.when(changed, F.when(new.isNotNull(), F.array(new))).otherwise(F.col("strs")),
-        "ints": F.when(changed, F.when(number & F.col("ints").isNotNull(), F.array(F.lit(0).cast("long")))).otherwise(F.col("ints")),
-        "dbls": F.when(changed, F.when(number & F.col("dbls").isNotNull(), F.array(F.lit(0.0)))).otherwise(F.col("dbls")),
-        "bin": F.when(changed & F.col("vr").isin(*BYTE_VRS), F.when(resolved(F.col("_action")) == "Z", F.lit(b"")).otherwise(F.lit(b"\x00"))).when(changed, F.lit(None)).otherwise(F.col("bin")),
-        "is_bulk": F.col("is_bulk") & ~changed,
-        "bulk_offset": F.when(~changed, F.col("bulk_offset")),
-        "bulk_uri": F.when(~changed, F.col("bulk_uri")),
-        "str": F.when(changed, new).otherwise(F.col("str")),
-    }
+    vr, value = (F.col(c) if c in elements.columns else None for c in ("vr", "str"))
+    df = elements.withColumn("_action", F.when(~F.col("is_meta"), mask.column(F.col("tag"), vr, value)))
+    df = df.filter(_stays(F.col("_action")) & ~mask.hides(F.col("path")))
+    out = _changes(F.col, F.col("_action"), consistent_uids)
     return df.select(*(out[c].alias(c) if c in out else F.col(c) for c in elements.columns))
+
+
+def deidentify_objects(parsed: DataFrame, mask: Mask | None = None, consistent_uids: bool = False) -> DataFrame:
+    """Whole parsed objects after the mask, each in its own row."""
+    mask = mask or Mask.default()
+    judged = F.transform("elements", lambda e: F.struct(e.alias("e"), F.when(~e["is_meta"], mask.column(e["tag"], e["vr"], e["str"])).alias("action")))
+    kept = F.filter(judged, lambda j: _stays(j["action"]) & ~mask.hides(j["e"]["path"]))
+
+    def changed(j: Column) -> Column:
+        new = _changes(lambda c: j["e"][c], j["action"], consistent_uids)
+        return F.struct(*((new[c] if c in new else j["e"][c]).alias(c) for c in ELEMENT_NAMES))
+
+    return parsed.withColumn("elements", F.transform(kept, changed))

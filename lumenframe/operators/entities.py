@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.dictionary import ENTITY_CLASSES, ENTITY_MODALITIES, KEYWORDS
 from lumenframe.functions.dicom import clean, ds_values, image_bytes, is_values, last_value, photometric
+from lumenframe.operators.objects import value_of
 from lumenframe.operators.select import Selection, pivot_first
+from lumenframe.sources.rows import object_rows
 
 ENTITIES = (*ENTITY_CLASSES, "WorklistItem", "Image")
 
@@ -21,13 +23,24 @@ def entity_kind(sop_class: Column, modality: Column, worklist: Column) -> Column
     return out
 
 
+_WORKLIST = ("ScheduledProcedureStepSequence", "RequestedProcedureID")
+#: All tags that the classification reads.
+NEEDED = frozenset(KEYWORDS[t] for t in ("SOPClassUID", "Modality", *_WORKLIST))
+
+
 def classify(elements: DataFrame) -> DataFrame:
-    """instance_id, entity_kind."""
-    top = elements.filter("depth = 0 and not is_meta")
-    tags = ("SOPClassUID", "Modality")
-    has = F.max(F.col("tag").isin(KEYWORDS["ScheduledProcedureStepSequence"], KEYWORDS["RequestedProcedureID"]))
-    picked = [F.min_by(F.col("str"), F.when(F.col("tag") == KEYWORDS[t], F.col("ordinal"))).alias(t) for t in tags]
-    return top.groupBy("instance_id").agg(*picked, has.alias("_worklist")).select("instance_id", entity_kind(clean(F.col("SOPClassUID")), clean(F.col("Modality")), F.col("_worklist")).alias("entity_kind"))
+    """instance_id, entity_kind of element rows; objects with data set elements only."""
+    held = elements.filter("depth = 0 and not is_meta")
+    slim = held.select("instance_id", "ordinal", F.when(F.col("tag").isin(*NEEDED), F.col("tag")).alias("tag"), "depth", F.when(F.col("tag").isin(*NEEDED), F.col("str")).alias("str"))
+    first = slim.groupBy("instance_id", "tag").agg(F.min_by(F.struct("depth", "str"), "ordinal").alias("e"), F.min("ordinal").alias("ordinal"))
+    return classify_objects(object_rows(first.select("instance_id", "ordinal", "tag", "e.*")))
+
+
+def classify_objects(parsed: DataFrame) -> DataFrame:
+    """instance_id, entity_kind of whole parsed objects."""
+    worklist = F.exists("elements", lambda e: (e["depth"] == 0) & e["tag"].isin(*(KEYWORDS[t] for t in _WORKLIST)))
+    first = lambda t: clean(value_of(KEYWORDS[t]))
+    return parsed.filter("error_message is null").select("instance_id", entity_kind(first("SOPClassUID"), first("Modality"), worklist).alias("entity_kind"))
 
 
 # The elements of each module view.

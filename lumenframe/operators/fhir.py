@@ -6,18 +6,21 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.dictionary import KEYWORDS
 from lumenframe.functions.dicom import clean, contact_point, fhir_date, fhir_unsigned, gender, human_name, modality_list, non_blank, started, urn_oid, valid_uid
 from lumenframe.operators.mapping import Mapping
+from lumenframe.operators.objects import facts
 from lumenframe.operators.select import Selection, pivot_first
 
 TAGS = (
     "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "SOPClassUID", "Modality", "ModalitiesInStudy", "StudyID", "AccessionNumber", "StudyDate", "StudyTime", "SeriesDate", "SeriesTime", "TimezoneOffsetFromUTC",
     "StudyDescription", "SeriesDescription", "SeriesNumber", "InstanceNumber", "NumberOfStudyRelatedSeries", "NumberOfStudyRelatedInstances", "PatientID", "IssuerOfPatientID", "PatientName", "PatientBirthDate", "PatientSex", "PatientTelephoneNumbers", "PatientTelecomInformation",
 )
+#: The tags of the elements that a study is made of.
+NEEDED = frozenset(KEYWORDS[t] for t in TAGS)
 DCM = "http://dicom.nema.org/resources/ontology/DCM"
 
 
@@ -28,6 +31,11 @@ def records(elements: DataFrame) -> DataFrame:
     return wide.withColumn("seen", F.col("instance_id"))
 
 
+def object_records(parsed: DataFrame) -> DataFrame:
+    """Records of whole parsed objects, seen in the order of their source (path, then part)."""
+    return facts(parsed, Selection(*TAGS), ("instance_id", "seen"), last=True)
+
+
 def first_known(value: str | Column, order: str | Column = "seen") -> Column:
     """Aggregate: the earliest value that is not blank."""
     v = F.col(value) if isinstance(value, str) else value
@@ -41,58 +49,90 @@ def ordered_union(values: Column, order: str | Column = "seen") -> Column:
     return F.array_distinct(F.flatten(F.transform(pairs, lambda p: p["v"])))
 
 
+#: By kind of UID: its column, and the rule that one value of each other column for it is.
+_OWNED = {
+    "study": ("StudyInstanceUID", {"PatientID": "study of several patients", "IssuerOfPatientID": "study of several patient issuers", "NumberOfStudyRelatedSeries": "study with several series totals", "NumberOfStudyRelatedInstances": "study with several instance totals"}),
+    "series": ("SeriesInstanceUID", {"StudyInstanceUID": "series in several studies", "Modality": "series of several modalities"}),
+    "instance": ("SOPInstanceUID", {"SeriesInstanceUID": "instance in several series", "SOPClassUID": "instance of several classes"}),
+    "class": ("SOPClassUID", {}),
+}
+
+
 def integrity(rows: DataFrame) -> DataFrame:
-    """Violations (rule, uid) of records: one owner, class and patient for each UID, and valid UIDs and numbers."""
-
-    def grouped(key: str, rules: dict[str, str]) -> DataFrame:
-        """One aggregate per key for all its rules; values are compared by 64-bit hash, which keeps the aggregate in a hash map."""
-        several = []
-        for i, value in enumerate(rules):
-            h = F.when(F.col(value).isNotNull(), F.xxhash64(value))
-            several += [F.min(h).alias(f"_lo{i}"), F.max(h).alias(f"_hi{i}")]
-        broken = F.filter(F.array(*(F.when(F.col(f"_lo{i}") != F.col(f"_hi{i}"), rule) for i, rule in enumerate(rules.values()))), lambda r: r.isNotNull())
-        return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("uid")).agg(*several).select(F.explode(broken).alias("rule"), "uid")
-
-    def broken(condition: Column, rule: str, uid: str) -> Column:
-        return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.col(uid).alias("uid")))
-
-    each = [broken(~valid_uid(F.col(c)), f"invalid {c}", c) for c in ("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "SOPClassUID")]
-    each += [broken(non_blank(F.col(c)).isNotNull() & fhir_unsigned(F.col(c)).isNull(), f"invalid {c}", "SOPInstanceUID") for c in ("SeriesNumber", "InstanceNumber")]
-    each += [broken(non_blank(F.col(c)).isNotNull() & fhir_date(F.col(c)).isNull(), f"invalid {c}", "SOPInstanceUID") for c in ("StudyDate", "SeriesDate", "PatientBirthDate")]
-    single = rows.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("x.rule", "x.uid").distinct()
-    out = [
-        grouped("SeriesInstanceUID", {"StudyInstanceUID": "series in several studies", "Modality": "series of several modalities"}),
-        grouped("SOPInstanceUID", {"SeriesInstanceUID": "instance in several series", "SOPClassUID": "instance of several classes"}),
-        grouped("StudyInstanceUID", {"PatientID": "study of several patients", "IssuerOfPatientID": "study of several patient issuers", "NumberOfStudyRelatedSeries": "study with several series totals", "NumberOfStudyRelatedInstances": "study with several instance totals"}),
-        single,
-    ]
-    return reduce(DataFrame.unionByName, out)
+    """Violations (rule, uid) of records: one owner, class and patient for each UID, and valid UIDs and numbers.
+
+    One pass and one shuffle: each record gives a row for each of its UIDs, with
+    64-bit hashes of what must agree and a bit for each invalid value; these are
+    combined before the shuffle, and UIDs are tested once they are distinct.
+    """
+    wide = max(len(rules) for _, rules in _OWNED.values())
+    numbers, dates = ("SeriesNumber", "InstanceNumber"), ("StudyDate", "SeriesDate", "PatientBirthDate")
+    wrong = [(non_blank(F.col(c)).isNotNull() & fhir_unsigned(F.col(c)).isNull()) for c in numbers] + [(non_blank(F.col(c)).isNotNull() & fhir_date(F.col(c)).isNull()) for c in dates]
+    bits = reduce(Column.__add__, (F.when(F.coalesce(w, F.lit(False)), 1 << i).otherwise(0) for i, w in enumerate(wrong)))
+
+    def claim(kind: str) -> Column:
+        key, rules = _OWNED[kind]
+        values = [F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in rules] + [F.lit(None).cast("long")] * (wide - len(rules))
+        return F.struct(F.lit(kind).alias("kind"), F.col(key).alias("uid"), *(v.alias(f"h{i}") for i, v in enumerate(values)), (bits if kind == "instance" else F.lit(0)).cast("int").alias("bits"))
+
+    claims = rows.select(F.explode(F.array(*map(claim, _OWNED))).alias("c")).select("c.*")
+    held = claims.groupBy("kind", "uid").agg(*(f(f"h{i}").alias(f"{n}{i}") for i in range(wide) for f, n in ((F.min, "lo"), (F.max, "hi"))), F.bit_or("bits").alias("bits"))
+    found = []
+    for kind, (key, rules) in _OWNED.items():
+        own = F.col("kind") == kind
+        found += [F.when(own & F.col("uid").isNotNull() & (F.col(f"lo{i}") != F.col(f"hi{i}")), rule) for i, rule in enumerate(rules.values())]
+        found.append(F.when(own & ~valid_uid(F.col("uid")), f"invalid {key}"))
+    found += [F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, f"invalid {c}") for i, c in enumerate((*numbers, *dates))]
+    return held.select(F.explode(F.array_compact(F.array(*found))).alias("rule"), "uid")
+
+
+_HEAD = {
+    "study_id": "StudyID", "accession": "AccessionNumber", "description": "StudyDescription", "patient_id": "PatientID", "issuer": "IssuerOfPatientID", "patient_name": "PatientName", "sex": "PatientSex", "phone": "PatientTelephoneNumbers", "telecom": "PatientTelecomInformation",
+    "declared_series": "NumberOfStudyRelatedSeries", "declared_instances": "NumberOfStudyRelatedInstances",
+}
+
+
+def _earliest(value: Column) -> Column:
+    """What `first_known` takes the least of."""
+    return F.when(value.isNotNull() & (F.trim(value.cast("string")) != ""), F.struct("seen", value.alias("v")))
+
+
+def _first_texts(pairs: Column) -> Column:
+    """Of (seen, text) pairs the earliest of each text, in order."""
+    by_text = F.array_sort(F.transform(pairs, lambda p: F.struct(p["m"].alias("m"), p["seen"].alias("seen"))))
+    before = F.concat(F.array(F.lit(None)), F.transform(F.slice(by_text, 1, F.greatest(F.size(by_text) - 1, F.lit(0))), lambda p: F.struct(p["m"].alias("m"))))
+    first = F.filter(F.zip_with(by_text, before, lambda x, y: F.struct(x["seen"].alias("seen"), x["m"].alias("m"), x["m"].eqNullSafe(y["m"]).alias("again"), y.isNotNull().alias("held"))), lambda z: ~(z["held"] & z["again"]))
+    return F.array_sort(F.transform(first, lambda z: F.struct(z["seen"].alias("seen"), z["m"].alias("m"))))
 
 
 def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(instances, series, studies), deduplicated by UID; the first seen object of a UID wins. Two shuffles: by series, by study."""
-    one = Window.partitionBy("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID").orderBy("seen")
-    instances = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    """(instances, series, studies), deduplicated by UID; the first seen object of a UID wins.
+
+    Each level folds the one below: the earliest value of a study is the least
+    of the earliest values of its series. Three shuffles, each of less than the
+    one before, and no join; the records are read once.
+    """
+    head = {n: _earliest(F.col(c)) for n, c in _HEAD.items()} | {
+        "started": _earliest(started(F.col("StudyDate"), F.col("StudyTime"), F.col("TimezoneOffsetFromUTC"))), "birth_date": _earliest(fhir_date(F.col("PatientBirthDate"))),
+        "s_modality": _earliest(F.col("Modality")), "s_number": _earliest(fhir_unsigned(F.col("SeriesNumber"))), "s_description": _earliest(F.col("SeriesDescription")), "s_started": _earliest(started(F.col("SeriesDate"), F.col("SeriesTime"), F.col("TimezoneOffsetFromUTC"))),
+    }
+    own = F.min(F.struct(F.col("seen").alias("_o"), clean(F.col("SOPInstanceUID")).alias("uid"), clean(F.col("SOPClassUID")).alias("class"), fhir_unsigned(F.col("InstanceNumber")).alias("number"))).alias("instance")
+    text = F.collect_set(F.struct("seen", F.coalesce("ModalitiesInStudy", "Modality").alias("m")))
+    instances = rows.groupBy("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID").agg(own, *(F.min(c).alias(n) for n, c in head.items()), F.min("seen").alias("seen"), _first_texts(text).alias("texts"))
     series = instances.groupBy("StudyInstanceUID", "SeriesInstanceUID").agg(
-        first_known("Modality").alias("modality"),
-        first_known(fhir_unsigned(F.col("SeriesNumber"))).alias("number"),
-        first_known("SeriesDescription").alias("description"),
-        first_known(started(F.col("SeriesDate"), F.col("SeriesTime"), F.col("TimezoneOffsetFromUTC"))).alias("started"),
-        F.count(F.lit(1)).alias("n_instances"),
-        F.min("seen").alias("seen"),
-        F.array_sort(F.collect_list(F.struct(F.col("seen").alias("_o"), clean(F.col("SOPInstanceUID")).alias("uid"), clean(F.col("SOPClassUID")).alias("class"), fhir_unsigned(F.col("InstanceNumber")).alias("number")))).alias("instances"),
-    )
-    head = rows.groupBy("StudyInstanceUID").agg(
-        first_known("StudyID").alias("study_id"), first_known("AccessionNumber").alias("accession"), first_known("StudyDescription").alias("description"),
-        first_known(started(F.col("StudyDate"), F.col("StudyTime"), F.col("TimezoneOffsetFromUTC"))).alias("started"),
-        first_known("PatientID").alias("patient_id"), first_known("IssuerOfPatientID").alias("issuer"), first_known("PatientName").alias("patient_name"), first_known("PatientSex").alias("sex"),
-        first_known(fhir_date(F.col("PatientBirthDate"))).alias("birth_date"), first_known("PatientTelephoneNumbers").alias("phone"), first_known("PatientTelecomInformation").alias("telecom"),
-        first_known("NumberOfStudyRelatedSeries").alias("declared_series"), first_known("NumberOfStudyRelatedInstances").alias("declared_instances"),
+        *(F.min(n).alias(n) for n in head), F.count(F.lit(1)).alias("n_instances"), F.min("seen").alias("seen"), F.array_sort(F.collect_list("instance")).alias("instances"), _first_texts(F.flatten(F.collect_list("texts"))).alias("texts"),
     )
-    # One row per study and modality text first, so that a study's list never holds its instances.
-    texts = rows.groupBy("StudyInstanceUID", F.coalesce("ModalitiesInStudy", "Modality").alias("_m")).agg(F.min("seen").alias("seen"))
-    listed = texts.groupBy("StudyInstanceUID").agg(ordered_union(modality_list(F.col("_m"))).alias("modalities"))
-    return instances, series, head.join(listed, head["StudyInstanceUID"].eqNullSafe(listed["StudyInstanceUID"])).drop(listed["StudyInstanceUID"])
+    series = series.select("StudyInstanceUID", "SeriesInstanceUID", *(F.col(n) for n in head if not n.startswith("s_")), F.col("s_modality")["v"].alias("modality"), F.col("s_number")["v"].alias("number"), F.col("s_description")["v"].alias("s_description"), F.col("s_started")["v"].alias("s_started"), "n_instances", "seen", "instances", "texts")
+    return instances, series, studies_of(series)
+
+
+def studies_of(series: DataFrame, each: Column | None = None) -> DataFrame:
+    """Series of `hierarchy` folded to studies; each: what a study keeps of a series, in order of appearance."""
+    names = [*_HEAD, "started", "birth_date"]
+    listed = [F.array_sort(F.collect_list(each)).alias("series")] if each is not None else []
+    out = series.groupBy("StudyInstanceUID").agg(*(F.min(n)["v"].alias(n) for n in names), _first_texts(F.flatten(F.collect_list("texts"))).alias("texts"), F.count(F.lit(1)).alias("n_series"), F.sum("n_instances").alias("n_instances"), *listed)
+    modalities = F.array_distinct(F.flatten(F.transform("texts", lambda p: F.coalesce(modality_list(p["m"]), F.array().cast("array<string>")))))
+    return out.withColumn("modalities", modalities).drop("texts")
 
 
 def _pruned(s: Column) -> Column:
@@ -143,6 +183,19 @@ def _endpoints(df: DataFrame, rows: DataFrame, keys: list[str], given: list, tem
     return found, F.array_distinct(F.concat(*([F.array(*fixed)] if fixed else []), made))
 
 
+def coding(code: Column) -> Column:
+    return F.struct(F.lit(DCM).alias("system"), code.alias("code"))
+
+
+def _series_entry(endpoints: Column | None) -> Column:
+    """A series of the resource; `_o` orders them."""
+    return F.struct(
+        F.col("seen").alias("_o"), clean(F.col("SeriesInstanceUID")).alias("uid"), F.col("number"), coding(F.col("modality")).alias("modality"), _pruned(F.col("s_description")).alias("description"), F.col("n_instances").alias("numberOfInstances"), F.col("s_started").alias("started"),
+        *([F.when(F.size(endpoints) > 0, endpoints).alias("endpoint")] if endpoints is not None else []),
+        F.transform("instances", lambda i: F.struct(i["uid"].alias("uid"), F.struct(F.lit("urn:ietf:rfc:3986").alias("system"), F.concat(F.lit("urn:oid:"), i["class"]).alias("code")).alias("sopClass"), i["number"].alias("number"))).alias("instance"),
+    )
+
+
 def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict = "contained", endpoints: dict[str, list] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
     """study_uid, number_of_series, number_of_instances, modalities and the pruned resource as JSON.
 
@@ -158,7 +211,9 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict =
     if set(endpoints) - {"study", "series"} or set(templates) - {"study", "series", "subject"}:
         raise ValueError("endpoints are of study or series, templates also of subject")
     _, series, studies = hierarchy(rows)
-    coding = lambda c: F.struct(F.lit(DCM).alias("system"), c.alias("code"))
+    if profile == "full":
+        series, series_endpoints = _endpoints(series, rows, ["StudyInstanceUID", "SeriesInstanceUID"], endpoints.get("series", []), templates.get("series"))
+        studies = studies_of(series, _series_entry(series_endpoints))
     studies, study_endpoints = _endpoints(studies, rows, ["StudyInstanceUID"], endpoints.get("study", []), templates.get("study"))
     if isinstance(subject, dict):
         refers = _as_column(_reference(subject, "subject"))
@@ -168,14 +223,6 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict =
     else:
         refers = F.struct(F.lit("#patient").alias("reference"))
     if profile == "full":
-        series, series_endpoints = _endpoints(series, rows, ["StudyInstanceUID", "SeriesInstanceUID"], endpoints.get("series", []), templates.get("series"))
-        each = F.struct(
-            F.col("seen").alias("_o"), clean(F.col("SeriesInstanceUID")).alias("uid"), F.col("number"), coding(F.col("modality")).alias("modality"), _pruned(F.col("description")).alias("description"), F.col("n_instances").alias("numberOfInstances"), F.col("started"),
-            *([F.when(F.size(series_endpoints) > 0, series_endpoints).alias("endpoint")] if series_endpoints is not None else []),
-            F.transform("instances", lambda i: F.struct(i["uid"].alias("uid"), F.struct(F.lit("urn:ietf:rfc:3986").alias("system"), F.concat(F.lit("urn:oid:"), i["class"]).alias("code")).alias("sopClass"), i["number"].alias("number"))).alias("instance"),
-        )
-        grouped = series.groupBy("StudyInstanceUID").agg(F.count(F.lit(1)).alias("n_series"), F.sum("n_instances").alias("n_instances"), F.array_sort(F.collect_list(each)).alias("series"))
-        studies = studies.join(grouped, "StudyInstanceUID")
         listed = F.transform("series", lambda s: s.dropFields("_o"))
     else:
         studies = studies.withColumn("n_series", fhir_unsigned(F.col("declared_series")).cast("long")).withColumn("n_instances", fhir_unsigned(F.col("declared_instances")).cast("long"))

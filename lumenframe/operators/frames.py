@@ -11,20 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.dictionary import KEYWORDS, TRANSFER_SYNTAXES
-from lumenframe.operators.select import Selection, frame_indexes, pivot_first
+from lumenframe.operators.objects import facts, value_of
+from lumenframe.operators.select import Selection, frame_indexes
 from lumenframe.pixels import codecs, redact
 from lumenframe.sources.kinds import format_of
+from lumenframe.sources.rows import object_rows
 
 _READ = ("Rows", "Columns", "SamplesPerPixel", "BitsAllocated", "BitsStored", "PixelRepresentation", "PhotometricInterpretation", "PlanarConfiguration", "NumberOfFrames", "RescaleSlope", "RescaleIntercept", "WindowCenter", "WindowWidth", "Modality")
 FRAME = "instance_id string, frame_index int, transfer_syntax_uid string, rows int, columns int, samples int, allocated int, stored int, signed boolean, photometric string, planar int, slope double, intercept double, center double, width double, modality string, palette binary, palette_first int, palette_bits int, bytes binary, concern string"
 
 
-def _palettes(elements: DataFrame) -> DataFrame:
-    """instance_id and, of each colour, descriptor, plain and segmented table of the objects that have palettes."""
-    at = lambda name, c: F.min_by(c, F.when(F.col("tag") == KEYWORDS[name], F.col("ordinal")))
-    names = [(part + color + "PaletteColorLookupTable" + end, c, alias + color) for color in ("Red", "Green", "Blue") for part, end, c, alias in (("", "Descriptor", "ints", "descriptor"), ("", "Data", "bin", "plain"), ("Segmented", "Data", "bin", "segmented"))]
-    tables = elements.filter((F.col("depth") == 0) & F.col("tag").isin(*(KEYWORDS[n] for n, _, _ in names)))
-    return tables.groupBy("instance_id").agg(*(F.when(F.count(F.when(F.col("tag") == KEYWORDS[n], 1)) > 0, at(n, c)).alias(alias) for n, c, alias in names))
+_PALETTES = [(part + color + "PaletteColorLookupTable" + end, field, alias + color) for color in ("Red", "Green", "Blue") for part, end, field, alias in (("", "Descriptor", "ints", "descriptor"), ("", "Data", "bin", "plain"), ("Segmented", "Data", "bin", "segmented"))]
+#: All tags that frames are made of.
+NEEDED = frozenset(KEYWORDS[n] for n in (*_READ, "PixelData", *(n for n, _, _ in _PALETTES)))
 
 
 def _expanded(r) -> tuple[bytes | None, int, int]:
@@ -42,40 +41,56 @@ def _expanded(r) -> tuple[bytes | None, int, int]:
 
 
 def extract_frames(elements: DataFrame, selector: str | list[int] | dict = "all") -> DataFrame:
-    """One row per selected frame with what its bytes mean; objects that cannot be divided give one row with a concern."""
-    facts = pivot_first(elements.filter("depth = 0"), Selection(*_READ))
-    pixels = elements.filter((F.col("tag") == KEYWORDS["PixelData"]) & (F.col("depth") == 0)).select("instance_id", "transfer_syntax_uid", F.col("bin").alias("pixels"))
+    """Frames of element rows, which are first put together as objects by a shuffle of the tags that frames need."""
+    return object_frames(object_rows(elements.filter((F.col("depth") == 0) & F.col("tag").isin(*NEEDED))), selector)
+
+
+FRAME_NAMES = tuple(x.strip().split(" ")[0] for x in FRAME.split(","))
+
+
+def frame_facts(parsed: DataFrame, selector: str | list[int] | dict = "all", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per whole object with everything its frames are cut and drawn by; pixels is null for objects without any."""
     num = lambda c, kind, d: F.coalesce(F.element_at(F.split(c, r"\\"), -1 if kind == "int" else 1).try_cast(kind), F.lit(d).cast(kind)).alias(c)
     n = F.coalesce(F.trim("NumberOfFrames").try_cast("int"), F.lit(1))
-    rows = facts.join(pixels, "instance_id").join(_palettes(elements), "instance_id", "left")
-    tables = [c for c in rows.columns if c.startswith(("descriptor", "plain", "segmented"))]
-    rows = rows.select(
-        "instance_id", "transfer_syntax_uid", num("Rows", "int", 0), num("Columns", "int", 0), num("SamplesPerPixel", "int", 1), num("BitsAllocated", "int", 8), num("BitsStored", "int", None), num("PixelRepresentation", "int", 0),
+    held = ("instance_id", "transfer_syntax_uid", "pixels", *keep, *(alias for _, _, alias in _PALETTES))
+    known = parsed.select("*", value_of(KEYWORDS["PixelData"], "bin").alias("pixels"), *(value_of(KEYWORDS[name], field).alias(alias) for name, field, alias in _PALETTES))
+    return facts(known, Selection(*_READ), held).select(
+        *held, num("Rows", "int", 0), num("Columns", "int", 0), num("SamplesPerPixel", "int", 1), num("BitsAllocated", "int", 8), num("BitsStored", "int", None), num("PixelRepresentation", "int", 0),
         F.coalesce("PhotometricInterpretation", F.lit("MONOCHROME2")).alias("photometric"), num("PlanarConfiguration", "int", 0), num("RescaleSlope", "double", 1.0), num("RescaleIntercept", "double", 0.0), num("WindowCenter", "double", None), num("WindowWidth", "double", None),
-        F.coalesce("Modality", F.lit("")).alias("modality"), n.alias("n"), frame_indexes(n, selector).alias("wanted"), "pixels", *tables,
+        F.coalesce("Modality", F.lit("")).alias("modality"), n.alias("n"), frame_indexes(n, selector).alias("wanted"),
     )
 
+
+def frames_of(r) -> list[tuple]:
+    """The frame rows (FRAME) of a row of `frame_facts`."""
+    stored = r.BitsAllocated if pd.isna(r.BitsStored) else int(r.BitsStored)
+    im = codecs.Image(int(r.Rows), int(r.Columns), int(r.SamplesPerPixel), int(r.BitsAllocated), stored)
+    head = (r.instance_id, r.transfer_syntax_uid, im.rows, im.columns, im.samples, im.allocated, stored, bool(r.PixelRepresentation), r.photometric, int(r.PlanarConfiguration), r.RescaleSlope, r.RescaleIntercept, r.WindowCenter, r.WindowWidth, r.modality)
+    out, palette = [], (None, 0, 16)
+    try:
+        palette = _expanded(r) if r.photometric == "PALETTE COLOR" else palette
+        raw = bytes(r.pixels or b"")
+        packed = TRANSFER_SYNTAXES.get(r.transfer_syntax_uid)
+        all_frames = codecs.frames_of(raw, int(r.n)) if packed and packed.compressed else [raw[i * im.frame_bytes : (i + 1) * im.frame_bytes] for i in range(int(r.n))]
+        for i in r.wanted:
+            if i < len(all_frames):
+                short = not (packed and packed.compressed) and len(all_frames[i]) < im.frame_bytes
+                out.append((head[0], int(i), *head[1:], *palette, all_frames[i], "frame is cut off" if short else None))
+    except (ValueError, IndexError, struct.error) as e:  # damaged tables fail in many ways
+        out.append((head[0], -1, *head[1:], *palette, None, str(e)))
+    return out
+
+
+def object_frames(parsed: DataFrame, selector: str | list[int] | dict = "all") -> DataFrame:
+    """One row per selected frame of whole parsed objects with what its bytes mean; objects that cannot be divided give one row with a concern."""
+    with_pixels = parsed.filter(F.exists("elements", lambda e: (e["tag"] == KEYWORDS["PixelData"]) & (e["depth"] == 0)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                stored = r.BitsAllocated if pd.isna(r.BitsStored) else int(r.BitsStored)
-                im = codecs.Image(int(r.Rows), int(r.Columns), int(r.SamplesPerPixel), int(r.BitsAllocated), stored)
-                head = (r.instance_id, r.transfer_syntax_uid, im.rows, im.columns, im.samples, im.allocated, stored, bool(r.PixelRepresentation), r.photometric, int(r.PlanarConfiguration), r.RescaleSlope, r.RescaleIntercept, r.WindowCenter, r.WindowWidth, r.modality)
-                out, palette = [], (None, 0, 16)
-                try:
-                    palette = _expanded(r) if r.photometric == "PALETTE COLOR" else palette
-                    raw = bytes(r.pixels or b"")
-                    packed = TRANSFER_SYNTAXES.get(r.transfer_syntax_uid)
-                    all_frames = codecs.frames_of(raw, int(r.n)) if packed and packed.compressed else [raw[i * im.frame_bytes : (i + 1) * im.frame_bytes] for i in range(int(r.n))]
-                    for i in r.wanted:
-                        if i < len(all_frames):
-                            short = not (packed and packed.compressed) and len(all_frames[i]) < im.frame_bytes
-                            out.append((head[0], int(i), *head[1:], *palette, all_frames[i], "frame is cut off" if short else None))
-                except (ValueError, IndexError, struct.error) as e:  # damaged tables fail in many ways
-                    out.append((head[0], -1, *head[1:], *palette, None, str(e)))
-                yield pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in FRAME.split(",")])
+                yield pd.DataFrame(frames_of(r), columns=list(FRAME_NAMES))
 
-    return rows.mapInPandas(run, FRAME)
+    return frame_facts(with_pixels, selector).mapInPandas(run, FRAME)
 
 
 def _image(r) -> codecs.Image:
@@ -113,38 +128,36 @@ def _facts(im: codecs.Image) -> dict:
     return {**spent, "samples": im.samples, "allocated": im.allocated, "stored": im.stored, "signed": im.signed, "photometric": photometric, "planar": im.planar, "slope": im.slope, "intercept": im.intercept, "center": im.center, "width": im.width}
 
 
-def transcode(frames: DataFrame, target: str, fallback: str = "passthrough") -> DataFrame:
-    """Frames in another transfer syntax. Without a codec: passthrough (with a concern), skip (dropped) or fail."""
+def transcode(frames: DataFrame, target: str, fallback: str = "passthrough", registry: codecs.Registry | None = None) -> DataFrame:
+    """Frames in another transfer syntax. Without a codec: passthrough (with a concern), skip (dropped) or fail. Frames with other concerns stay."""
     if fallback not in ("passthrough", "skip", "fail"):
         raise ValueError("fallback is passthrough, skip or fail")
+    known = registry or codecs.Registry()
 
     def change(r, im: codecs.Image) -> dict:
         if r.transfer_syntax_uid == target:
             return {}
-        decode, encode = codecs.DECODERS.get(r.transfer_syntax_uid), codecs.ENCODERS.get(target)
-        if decode is None or encode is None:
+        if not known.converts(r.transfer_syntax_uid, target):
             if fallback == "fail":
                 raise ValueError(f"no codec from {r.transfer_syntax_uid} to {target}")
-            return {"concern": f"no codec from {r.transfer_syntax_uid} to {target}"}
-        native = decode(bytes(r.bytes), im)
+            return {"concern": f"{codecs.NO_CODEC} from {r.transfer_syntax_uid} to {target}"}
+        native = known.decode(r.transfer_syntax_uid, bytes(r.bytes), im)
         if target == codecs.JPEG_BASELINE:
             native, im = codecs.eight_bit(native, im)
-        return {"bytes": encode(native, im), "transfer_syntax_uid": target, **_facts(im)}
+        return {"bytes": known.encoders[target](native, im), "transfer_syntax_uid": target, **_facts(im)}
 
     out = _each(frames, change)
-    return out.filter("concern is null") if fallback == "skip" else out
+    return out.filter(~F.coalesce(F.startswith("concern", F.lit(codecs.NO_CODEC)), F.lit(False))) if fallback == "skip" else out
 
 
-def redact_frames(frames: DataFrame, regions: list[dict] | None = None, mode: str = "pixel", action: str = "black", constant: int = 0, detect: bool = False) -> DataFrame:
+def redact_frames(frames: DataFrame, regions: list[dict] | None = None, mode: str = "pixel", action: str = "black", constant: int = 0, detect: bool = False, registry: codecs.Registry | None = None) -> DataFrame:
     """Native frames with regions (given, or detected text) filled in their own depth; the result is native."""
     if action not in ("black", "white", "constant"):
         raise ValueError("action is black, white or constant")
+    known = registry or codecs.Registry()
 
     def change(r, im: codecs.Image) -> dict:
-        decode = codecs.DECODERS.get(r.transfer_syntax_uid)
-        if decode is None:
-            raise codecs.CodecError(f"no codec for {r.transfer_syntax_uid}")
-        native = decode(bytes(r.bytes), im)
+        native = known.decode(r.transfer_syntax_uid, bytes(r.bytes), im)
         found = redact.boxes(regions or [], im.columns, im.rows, mode)
         if detect:
             found += redact.text_regions(codecs.rgba(native, im))
@@ -199,10 +212,17 @@ def _native(uid: str) -> str:
     return "1.2.840.10008.1.2.1" if known is None or known.compressed or not known.little else uid
 
 
-def pictures(frames: DataFrame, kind: str = "png") -> DataFrame:
-    """instance_id, frame_index, kind, content, concern: frames as png, tiff, jpeg or raw RGBA pictures."""
-    if kind not in ("png", "tiff", "jpeg", "rgba"):
-        raise ValueError("kind is png, tiff, jpeg or rgba")
+def picture_of(r, kind: str, registry: codecs.Registry) -> bytes:
+    """A frame row as a picture; raises CodecError."""
+    im = _image(r)
+    return registry.pictures[kind](codecs.rgba(registry.decode(r.transfer_syntax_uid, bytes(r.bytes), im), im))
+
+
+def pictures(frames: DataFrame, kind: str = "png", registry: codecs.Registry | None = None) -> DataFrame:
+    """instance_id, frame_index, kind, content, concern: frames as png, tiff, jpeg or raw RGBA pictures, or of a kind of the registry's own."""
+    known = registry or codecs.Registry()
+    if kind not in known.pictures:
+        raise ValueError(f"kind is one of {tuple(known.pictures)}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,12 +230,7 @@ def pictures(frames: DataFrame, kind: str = "png") -> DataFrame:
             for r in batch.itertuples(index=False):
                 content, concern = None, r.concern
                 try:
-                    im = _image(r)
-                    decode = codecs.DECODERS.get(r.transfer_syntax_uid)
-                    if decode is None:
-                        raise codecs.CodecError(f"no codec for {r.transfer_syntax_uid}")
-                    px = codecs.rgba(decode(bytes(r.bytes), im), im)
-                    content = {"png": codecs.png_encode, "tiff": codecs.tiff_encode, "jpeg": codecs.jpeg_file, "rgba": np.ndarray.tobytes}[kind](px)
+                    content = picture_of(r, kind, known)
                 except (codecs.CodecError, TypeError) as e:
                     concern = concern or str(e)
                 out.append((r.instance_id, r.frame_index, kind, content, concern))

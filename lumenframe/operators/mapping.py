@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.dictionary import KEYWORDS, TAGS, tag_of
+from lumenframe.operators.objects import value_of
 
 _TOKEN = re.compile(r"\{([^{}]+)\}")
 POLICIES = ("error", "blank", "omit")
@@ -129,6 +130,12 @@ class Mapping:
         rows = elements.groupBy(*keys).agg(*last) if last else elements.select(*keys).distinct()  # unfiltered: objects without any of the tags stay
         return rows.select(*keys, *(c.alias(n) for n, c in self.columns({t: F.col(f"_{t}") for t in tags})))
 
+    def apply_objects(self, parsed: DataFrame) -> DataFrame:
+        """One row per whole parsed object with a column per property, without a shuffle."""
+        tags = self.needed_tags()
+        rows = parsed.filter("error_message is null").select("instance_id", *(value_of(t, last=True, top=False).alias(f"_{t}") for t in tags))
+        return rows.select("instance_id", *(c.alias(n) for n, c in self.columns({t: F.col(f"_{t}") for t in tags})))
+
     def nested(self, row: DataFrame, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
         """Dotted property columns folded into structs."""
         tree: dict = {}

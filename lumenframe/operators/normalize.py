@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.dictionary import EXPLICIT, SECONDARY_CAPTURE
 from lumenframe.functions.dicom import deterministic_uid
-from lumenframe.operators.frames import FRAME, extract_frames, stretch
+from lumenframe.operators.frames import FRAME, NEEDED, object_frames, stretch
 from lumenframe.pixels import codecs
 from lumenframe.sinks import packages
 from lumenframe.sinks import part10 as writer
@@ -82,7 +82,7 @@ def normalize(objects: DataFrame, mode: str = "frames", unknown: str = "fail", s
     drawn = image_frames(of("image"), stretched)
     if mode == "frames":
         lost = [F.lit("unknown kind of object").alias("concern") if c == "concern" else F.col("content").alias("bytes") if c == "bytes" else F.col("instance_id") if c == "instance_id" else F.lit(-1 if c == "frame_index" else None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in FRAME.split(","))]
-        return extract_frames(part10.read_elements(of("dicom"))).unionByName(drawn).unionByName(of("unknown").select(*lost))
+        return object_frames(part10.read_objects(of("dicom"), part10.Options(bulk="materialize", wanted=NEEDED))).unionByName(drawn).unionByName(of("unknown").select(*lost))
     none = F.lit(None).cast("string").alias("concern")
     made = writer.write_bytes(capture(drawn.filter("concern is null"))).select("instance_id", "content", none)
     failed = drawn.filter("concern is not null").select("instance_id", F.col("bytes").alias("content"), "concern")

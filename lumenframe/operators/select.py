@@ -24,12 +24,12 @@ class Selection:
 
     @property
     def max_tag(self) -> str | None:
-        """The last tag in data set order; a reader may stop after it."""
+        """The last tag in data set order; a reader of top-level elements may stop after it."""
         return max(self.tags, default=None)
 
 
 def select_elements(elements: DataFrame, selection: Selection) -> DataFrame:
-    """Rows of the selected tags, also those inside sequences; a filter that reaches the scan."""
+    """Rows of the selected tags, also those inside sequences. The builder hands the tags to the parser as well (`part10.Options.wanted`), which then decodes no others."""
     return elements.filter(F.col("tag").isin(*selection.tags)) if selection.tags else elements.limit(0)
 
 

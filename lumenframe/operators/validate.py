@@ -94,6 +94,73 @@ def validate(elements: DataFrame, objects: DataFrame | None = None) -> DataFrame
     return reduce(DataFrame.unionByName, found)
 
 
+_ISSUE = "array<struct<ordinal:bigint,severity:string,code:string,message:string,event:string,path_text:string,tag:string>>"
+
+
+def _issue(e: Column | None, severity: str, code: str, message: Column | str, event: str, tag: Column | None = None, path: Column | None = None) -> Column:
+    none = F.lit(None)
+    held = (none, none, none) if e is None else (e["ordinal"], e["path_text"], e["tag"])
+    text = F.lit(message) if isinstance(message, str) else message
+    fields = (held[0].cast("long").alias("ordinal"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), text.alias("message"), F.lit(event).alias("event"))
+    return F.struct(*fields, (held[1] if path is None else path).cast("string").alias("path_text"), (held[2] if tag is None else tag).cast("string").alias("tag"))
+
+
+def _pairs(values: Column) -> Column:
+    """Each value with the one before it (null for the first)."""
+    before = F.concat(F.array(F.lit(None)), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))))
+    return F.zip_with(values, before, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+
+def object_concerns(parsed: DataFrame) -> DataFrame:
+    """parsed with `concerns`: those of all rules, found in each object's own row, without a shuffle."""
+    e = F.col("elements")
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    is_false = lambda c: F.coalesce(c, F.lit(False))
+    group2 = lambda x: F.startswith(x["tag"], F.lit("0002"))
+    bad_tag = lambda x: F.coalesce(x["tag"].isNull() | ~x["tag"].rlike("^[0-9A-F]{8}$"), F.lit(True))
+    bad_vr = lambda x: is_false(x["vr"].isNotNull() & ~x["vr"].isin(*VR_SIZE, "NONE"))
+    each = lambda keep, *what: F.transform(F.filter(e, lambda x: is_false(keep(x))), lambda x: _issue(x, *what[:2], what[2](x) if callable(what[2]) else what[2], what[3]))
+    scopes = F.array_sort(F.transform(F.filter(e, lambda x: ~x["tag"].isin(*CONTROL_TAGS)), lambda x: F.struct(x["is_meta"].alias("m"), F.coalesce(x["path_text"], F.lit("")).alias("p"), x["tag"].alias("tag"), x["ordinal"].alias("ordinal"), x["path_text"].alias("path_text"))))
+    again = let(scopes, lambda s: F.filter(_pairs(s), lambda z: is_false(z["x"]["m"].eqNullSafe(z["y"]["m"]) & (z["x"]["p"] == z["y"]["p"]) & (z["x"]["tag"] == z["y"]["tag"]))))
+    duplicated = F.transform(again, lambda z: _issue(z["x"], "warning", "DuplicateAttribute", F.concat(F.lit("element "), z["x"]["tag"], F.lit(" repeats in its scope")), "onStartAttribute"))
+    required = F.array(*map(F.lit, REQUIRED_META))
+    held = F.transform(F.filter(e, lambda x: is_false(x["is_meta"])), lambda x: x["tag"])
+    lacking = F.when(F.exists(e, lambda x: is_false(x["is_meta"])), F.array_except(required, held)).otherwise(F.array().cast("array<string>"))
+    missing = F.transform(lacking, lambda t: _issue(None, "error", "MissingRequiredMetaAttribute", F.concat(F.lit("required file meta element "), t, F.lit(" is missing")), "onEndMetaSet", t))
+    above = lambda x: F.regexp_replace(x["path_text"], r"[0-9A-F]{8}\[\d+\]/$", "")
+    inner = F.transform(F.filter(e, lambda x: x["depth"] > 0), lambda x: F.struct(x["ordinal"].alias("ordinal"), x["path_text"].alias("path_text"), x["tag"].alias("tag"), F.concat(above(x), F.lit("|"), F.try_element_at(x["path"], F.lit(-1))["tag"]).alias("owner")))
+    owners = F.transform(F.filter(e, lambda x: x["vr"] == "SQ"), lambda x: F.concat(F.coalesce(x["path_text"], F.lit("")), F.lit("|"), x["tag"]))
+    orphans = let(inner, lambda i: let(F.array_except(F.transform(i, lambda x: x["owner"]), owners), lambda lost: F.when(F.size(lost) > 0, F.filter(i, lambda x: F.array_contains(lost, x["owner"]))).otherwise(F.filter(i, lambda x: F.lit(False)))))
+    homeless = F.transform(orphans, lambda x: _issue(x, "error", "SequenceMismatch", "the item belongs to no open sequence", "onStartItem"))
+    items = F.array_sort(F.array_distinct(F.transform(F.filter(e, lambda x: x["depth"] > 0), lambda x: F.struct(F.regexp_replace(x["path_text"], r"\[\d+\]/$", "").alias("seq"), F.try_element_at(x["path"], F.lit(-1))["item"].alias("item"), x["path_text"].alias("path_text")))))
+    gaps = let(items, lambda s: F.filter(_pairs(s), lambda z: z["x"]["item"] - F.when(is_false(z["x"]["seq"] == z["y"]["seq"]), z["y"]["item"]).otherwise(F.lit(-1)) > 1))
+    left_out = F.transform(gaps, lambda z: _issue(None, "warning", "SequenceItemMismatch", "an item number is left out", "onStartItem", path=z["x"]["path_text"]))
+    unread = F.array(_issue(None, "error", "ParserError", F.col("error_message"), "onError"))
+    found = [
+        each(lambda x: x["is_meta"].isNull(), "error", "MissingScope", "an element stands outside of meta set, data set and item", "onStartAttribute"),
+        each(lambda x: bad_tag(x) | bad_vr(x), "error", "InvalidAttribute", "no valid data element tag or VR", "onStartAttribute"),
+        duplicated,
+        each(lambda x: (group2(x) & ~x["is_meta"]) | (~group2(x) & x["is_meta"]), "error", "InvalidMetaTagPlacement", lambda x: F.concat(F.lit("element "), x["tag"], F.lit(" is in the wrong set")), "onStartAttribute"),
+        missing,
+        each(lambda x: ~x["is_complete"], "error", "IncompleteAttribute", "the value is shorter than declared", "onEndAttribute"),
+        homeless,
+        left_out,
+    ]
+    return parsed.withColumn("concerns", F.when(F.col("error_message").isNull(), F.concat(*(x.cast(_ISSUE) for x in found))).otherwise(unread.cast(_ISSUE)))
+
+
+def concern_rows(judged: DataFrame) -> DataFrame:
+    """One row per concern of `object_concerns`, as `validate` gives."""
+    return judged.select("instance_id", F.explode("concerns").alias("c")).select("instance_id", "c.*")
+
+
+def strict_objects(judged: DataFrame) -> DataFrame:
+    """Objects of `object_concerns`, raising when one with a warning or an error is read."""
+    bad = F.filter("concerns", lambda c: c["severity"].isin("warning", "error"))
+    broken = F.raise_error(F.concat(F.lit("validation failed: "), F.coalesce(F.get(bad, F.lit(0))["message"], F.lit("")))).cast("boolean")
+    return judged.filter(F.when(F.size(bad) > 0, broken).otherwise(F.lit(True))).drop("concerns")
+
+
 def strict(elements: DataFrame, concerns: DataFrame) -> DataFrame:
     """elements, raising when they are read if any warning or error is among the concerns."""
     bad = concerns.filter("severity in ('warning', 'error')").agg(F.count(F.lit(1)).alias("_n"), F.min("message").alias("_m"))

@@ -1,4 +1,4 @@
-"""Frame codecs in NumPy: native samples, RLE, JPEG (lossless, baseline, extended), PNG, TIFF."""
+"""Frame codecs in NumPy: native samples, RLE, JPEG (lossless, baseline, extended), JPEG-LS, PNG, TIFF, and their registry."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from lumenframe.dictionary import BIG, EXPLICIT, IMPLICIT, RLE
-from lumenframe.pixels import jpeg
+from lumenframe.pixels import jpeg, jpegls
 
 
 class CodecError(ValueError):
@@ -346,11 +346,11 @@ def tiff_decode(data: bytes) -> np.ndarray:
     return 255 - a if tags.get(262, [1])[0] == 0 and bits == 8 else a
 
 
-def jpeg_lossless_decode(data: bytes, im: Image) -> bytes:
-    """A native little-endian frame of a lossless JPEG frame."""
+def _whole_samples(decode: Callable[[bytes], tuple[np.ndarray, int]], data: bytes, im: Image) -> bytes:
+    """A native little-endian frame of a picture of samples as they are stored."""
     try:
-        px, bits = jpeg.decode_lossless(data)
-    except jpeg.JpegError as e:
+        px, bits = decode(data)
+    except (jpeg.JpegError, jpegls.JpegLsError) as e:
         raise CodecError(str(e)) from e
     if px.shape != (im.rows, im.columns, im.samples) or bits > im.allocated or im.allocated not in (8, 16):
         raise CodecError(f"picture of {px.shape} and {bits} bits is not what the object declares")
@@ -358,6 +358,36 @@ def jpeg_lossless_decode(data: bytes, im: Image) -> bytes:
     return px.astype(f"<u{im.allocated // 8}").tobytes()
 
 
+def jpeg_lossless_decode(data: bytes, im: Image) -> bytes:
+    return _whole_samples(jpeg.decode_lossless, data, im)
+
+
+def jpeg_ls_decode(data: bytes, im: Image) -> bytes:
+    return _whole_samples(jpegls.decode, data, im)
+
+
+def _stored(native: bytes, im: Image) -> tuple[np.ndarray, int]:
+    """Samples as unsigned numbers of the bits that are coded: the stored ones, or all of the cell if some are set above."""
+    if im.allocated not in (8, 16):
+        raise CodecError(f"samples of {im.allocated} bits")
+    px = samples_of(native, im) & ((1 << im.allocated) - 1)
+    return px, im.stored if int(px.max(initial=0)) < 1 << im.stored else im.allocated
+
+
+def jpeg_lossless_encode(native: bytes, im: Image) -> bytes:
+    try:
+        return jpeg.encode_lossless(*_stored(native, im))
+    except jpeg.JpegError as e:
+        raise CodecError(str(e)) from e
+
+
+def jpeg_ls_encode(native: bytes, im: Image) -> bytes:
+    try:
+        return jpegls.encode(*_stored(native, im))
+    except jpegls.JpegLsError as e:
+        raise CodecError(str(e)) from e
+
+
 def jpeg_dct_decode(data: bytes, im: Image) -> bytes:
     """A native little-endian frame of a baseline or extended JPEG frame, in the declared colours at full resolution."""
     try:
@@ -420,11 +450,71 @@ def jpeg_file(picture: np.ndarray, quality: int = 90) -> bytes:
 
 JPEG_BASELINE, JPEG_EXTENDED = "1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.51"
 JPEG_LOSSLESS = ("1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
+JPEG_LS, JPEG_LS_NEAR = "1.2.840.10008.1.2.4.80", "1.2.840.10008.1.2.4.81"
 #: Decoders to native little-endian frames by transfer syntax; others pass through with a concern.
 DECODERS: dict[str, Callable[[bytes, Image], bytes]] = {
     IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_decode, **dict.fromkeys((JPEG_BASELINE, JPEG_EXTENDED), jpeg_dct_decode), **dict.fromkeys(JPEG_LOSSLESS, jpeg_lossless_decode),
+    **dict.fromkeys((JPEG_LS, JPEG_LS_NEAR), jpeg_ls_decode),
 }
-ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode, JPEG_BASELINE: jpeg_baseline_encode}
+ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode, JPEG_BASELINE: jpeg_baseline_encode, JPEG_LOSSLESS[1]: jpeg_lossless_encode, JPEG_LS: jpeg_ls_encode}
+#: Pictures of frames: RGBA samples (rows, columns, 4) to the bytes of a file.
+PICTURES: dict[str, Callable[[np.ndarray], bytes]] = {"png": png_encode, "tiff": tiff_encode, "jpeg": jpeg_file, "rgba": np.ndarray.tobytes}
+
+
+@dataclass(frozen=True)
+class Registry:
+    """Codecs by transfer syntax and pictures by kind; immutable, each with_* gives a new one. It is sent to the executors with the functions that use it.
+
+    A decoder takes (bytes, Image) and gives a native little-endian frame, an encoder the reverse; both raise CodecError.
+    """
+
+    decoders: dict[str, Callable[[bytes, Image], bytes]] = field(default_factory=lambda: dict(DECODERS))
+    encoders: dict[str, Callable[[bytes, Image], bytes]] = field(default_factory=lambda: dict(ENCODERS))
+    pictures: dict[str, Callable[[np.ndarray], bytes]] = field(default_factory=lambda: dict(PICTURES))
+
+    @classmethod
+    def empty(cls) -> Registry:
+        return cls({}, {}, {})
+
+    def _with(self, name: str, key: str, codec: Callable | None, replace_: bool) -> Registry:
+        held = dict(getattr(self, name))
+        if not isinstance(key, str) or not key.strip():
+            raise ValueError("a codec needs a transfer syntax or kind")
+        if codec is None:
+            held.pop(key, None)
+        elif not callable(codec):
+            raise TypeError(f"codec of {key} cannot be called")
+        elif key in held and not replace_:
+            raise ValueError(f"{key} has a codec already")
+        else:
+            held[key] = codec
+        return replace(self, **{name: held})
+
+    def with_decoder(self, syntax: str, codec: Callable[[bytes, Image], bytes], replace: bool = False) -> Registry:
+        return self._with("decoders", syntax, codec, replace)
+
+    def with_encoder(self, syntax: str, codec: Callable[[bytes, Image], bytes], replace: bool = False) -> Registry:
+        return self._with("encoders", syntax, codec, replace)
+
+    def with_picture(self, kind: str, codec: Callable[[np.ndarray], bytes], replace: bool = False) -> Registry:
+        return self._with("pictures", kind, codec, replace)
+
+    def without(self, key: str) -> Registry:
+        out = self
+        for name in ("decoders", "encoders", "pictures"):
+            out = out._with(name, key, None, True)
+        return out
+
+    def decode(self, syntax: str, data: bytes, im: Image) -> bytes:
+        if syntax not in self.decoders:
+            raise CodecError(f"{NO_CODEC} for {syntax}")
+        return self.decoders[syntax](data, im)
+
+    def converts(self, source: str, target: str) -> bool:
+        return source in self.decoders and target in self.encoders
+
+
+NO_CODEC = "no codec"
 
 
 def swap(raw: bytes, width: int) -> bytes:

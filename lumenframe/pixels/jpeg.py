@@ -1,4 +1,4 @@
-"""JPEG with Huffman coding (ITU-T T.81) in NumPy: lossless pictures (process 14), baseline and extended sequential DCT pictures (1, 2, 4), a baseline encoder."""
+"""JPEG with Huffman coding (ITU-T T.81) in NumPy: lossless pictures (process 14), baseline and extended sequential DCT pictures (1, 2, 4), a baseline encoder and a lossless one."""
 
 from __future__ import annotations
 
@@ -287,6 +287,49 @@ def _code_lengths(counts: Counter, most: int = 16) -> dict[int, int]:
     return dict(lengths)
 
 
+def _tables(counts: dict[int, Counter]) -> tuple[dict[tuple[int, int], str], bytes]:
+    """The code of each symbol of each table, and the segment that says so."""
+    codes: dict[tuple[int, int], str] = {}
+    huffman = b""
+    for t, c in sorted(counts.items()):
+        lengths = _code_lengths(c)
+        order, code, at = sorted(lengths, key=lambda s: (lengths[s], s)), 0, 0
+        for s in order:
+            code <<= lengths[s] - at
+            at = lengths[s]
+            codes[t, s] = format(code, f"0{at}b")
+            code += 1
+        per = Counter(lengths.values())
+        huffman += bytes([t]) + bytes(per[i] for i in range(1, 17)) + bytes(order)
+    return codes, huffman
+
+
+def _stuffed(text: str) -> bytes:
+    text += "1" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def _segment(mark: int, body: bytes) -> bytes:
+    return struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
+
+
+def encode_lossless(px: np.ndarray, bits: int) -> bytes:
+    """A lossless picture (first-order prediction from the left) of (rows, columns, components) samples, with a Huffman table of its own."""
+    rows, columns, n = px.shape
+    if not 2 <= bits <= 16 or not 0 < rows < 65536 or not 0 < columns < 65536 or not 0 < n < 5:
+        raise JpegError("a lossless picture has 2 to 16 bits, at most four components and sides under 65536")
+    guess = np.empty_like(px, dtype=np.int64)
+    guess[:, 1:], guess[1:, 0], guess[0, 0] = px[:, :-1], px[:-1, 0], 1 << (bits - 1)
+    d = (px.astype(np.int64) - guess) % 65536
+    flat = np.where(d > 32768, d - 65536, d).ravel()
+    sizes = [abs(x).bit_length() for x in flat.tolist()]
+    codes, huffman = _tables({0: Counter(sizes)})
+    text = "".join(codes[0, size] + (format(x if x > 0 else x + (1 << size) - 1, f"0{size}b") if 0 < size < 16 else "") for x, size in zip(flat.tolist(), sizes, strict=True))
+    frame = struct.pack(">BHHB", bits, rows, columns, n) + b"".join(bytes((k + 1, 0x11, 0)) for k in range(n))
+    scan = bytes([n]) + b"".join(bytes((k + 1, 0)) for k in range(n)) + b"\x01\0\0"
+    return b"\xff\xd8" + _segment(0xC3, frame) + _segment(0xC4, huffman) + _segment(0xDA, scan) + _stuffed(text) + b"\xff\xd9"
+
+
 def encode_baseline(picture: np.ndarray, quality: int = 90) -> bytes:
     """A baseline picture of (rows, columns, 1 or 3) uint8 samples as they are, without subsampling, with Huffman tables of its own.
 
@@ -327,23 +370,10 @@ def encode_baseline(picture: np.ndarray, quality: int = 90) -> bytes:
     counts: dict[int, Counter] = {}
     for t, symbol, _, _ in out:
         counts.setdefault(t, Counter())[symbol] += 1
-    codes: dict[tuple[int, int], str] = {}
-    huffman = b""
-    for t, c in sorted(counts.items()):
-        lengths = _code_lengths(c)
-        order, code, at = sorted(lengths, key=lambda s: (lengths[s], s)), 0, 0
-        for s in order:
-            code <<= lengths[s] - at
-            at = lengths[s]
-            codes[t, s] = format(code, f"0{at}b")
-            code += 1
-        per = Counter(lengths.values())
-        huffman += bytes([t]) + bytes(per[i] for i in range(1, 17)) + bytes(order)
+    codes, huffman = _tables(counts)
     text = "".join(codes[t, s] + (format(v, f"0{size}b") if size else "") for t, s, v, size in out)
-    text += "1" * (-len(text) % 8)
-    body = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
-    segment = lambda mark, b: struct.pack(">BBH", 0xFF, mark, len(b) + 2) + b
+    body = _stuffed(text)
     frame = struct.pack(">BHHB", 8, rows, columns, n) + b"".join(bytes((k + 1, 0x11, 0)) for k in range(n))
     scan = bytes([n]) + b"".join(bytes((k + 1, 0x11 * min(k, 1))) for k in range(n)) + b"\0\x3f\0"
     quant = bytes([0]) + bytes(step.ravel()[ZIGZAG].tolist())
-    return b"\xff\xd8" + segment(0xDB, quant) + segment(0xC0, frame) + segment(0xC4, huffman) + segment(0xDA, scan) + body + b"\xff\xd9"
+    return b"\xff\xd8" + _segment(0xDB, quant) + _segment(0xC0, frame) + _segment(0xC4, huffman) + _segment(0xDA, scan) + body + b"\xff\xd9"

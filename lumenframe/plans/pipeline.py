@@ -13,12 +13,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import deid, entities, fhir, frames, normalize, validate
+from lumenframe.operators import assets, deid, entities, fhir, frames, normalize, validate
 from lumenframe.operators.mapping import Mapping
 from lumenframe.operators.select import Selection, select_elements
+from lumenframe.pixels.codecs import Registry
+from lumenframe.plans import outputs
+from lumenframe.schema import ELEMENT_NAMES
 from lumenframe.sinks import packages
 from lumenframe.sinks import part10 as writer
 from lumenframe.sources import metadata, objects, part10
+from lumenframe.sources.rows import element_rows, object_rows
 
 ELEMENT_FORMATS = ("dicom", "dicom-json", "dicom-xml")
 FORMATS = (*ELEMENT_FORMATS, "bytes", "image", "imaging", "json", "xml")
@@ -39,9 +43,10 @@ class Pipeline:
     goal: str | None = None
     mask: deid.Mask | None = None
     consistent_uids: bool = False
-    pixels: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    pixels: tuple[Callable[[DataFrame, Registry | None], DataFrame], ...] = ()
     normalization: dict[str, Any] | None = None
     handlers: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    codecs: Registry | None = None
     target: str | None = None
     argument: Any = None
 
@@ -59,10 +64,10 @@ class Pipeline:
         return replace(self, source=lambda: objects.from_bytes(self.spark, items, content_type))
 
     def from_parts(self, items: list[tuple[str, bytes]], content_type: str) -> Pipeline:
-        return replace(self, source=lambda: objects.demux(objects.from_bytes(self.spark, items, content_type)).filter("content is not null").drop("error_message"))
+        return replace(self, source=lambda: objects.demux(objects.from_bytes(self.spark, items, content_type)))
 
     def from_http(self, urls: list[str], **options: Any) -> Pipeline:
-        return replace(self, source=lambda: objects.demux(objects.read_http(self.spark, urls, **options)).filter("content is not null").drop("error_message"))
+        return replace(self, source=lambda: objects.demux(objects.read_http(self.spark, urls, **options)))
 
     def from_dicomweb(self, base: str, mode: str = "qido-search", timeout: float = 30.0, **query: Any) -> Pipeline:
         return self.from_http([objects.dicomweb_url(base, mode, **query)], accept=objects.ACCEPT[mode], timeout=timeout)
@@ -90,11 +95,15 @@ class Pipeline:
     def with_deidentification(self, mask: deid.Mask | None = None, consistent_uids: bool = False) -> Pipeline:
         return replace(self, mask=mask or deid.Mask.default(), consistent_uids=consistent_uids)
 
+    def with_codecs(self, registry: Registry) -> Pipeline:
+        """The codecs of all pixel filters and pictures, wherever in the chain this is called."""
+        return replace(self, codecs=registry)
+
     def with_transcoding(self, target: str, fallback: str = "passthrough") -> Pipeline:
-        return replace(self, pixels=(*self.pixels, lambda df: frames.transcode(df, target, fallback)))
+        return replace(self, pixels=(*self.pixels, lambda df, known: frames.transcode(df, target, fallback, known)))
 
     def with_burned_in_redaction(self, **options: Any) -> Pipeline:
-        return replace(self, pixels=(*self.pixels, lambda df: frames.redact_frames(df, **options)))
+        return replace(self, pixels=(*self.pixels, lambda df, known: frames.redact_frames(df, **options, registry=known)))
 
     def with_normalization(self, mode: str = "frames", unknown: str = "fail", stretched: bool = False) -> Pipeline:
         if mode not in ("frames", "dicom") or unknown not in ("fail", "passthrough"):
@@ -140,12 +149,55 @@ class Pipeline:
     def to_documents(self) -> Pipeline:
         return self._to("documents")
 
+    def to_wrapped_documents(self, mime_type: str | None = None, title: str | None = None) -> Pipeline:
+        """Objects of documents (the bytes and json formats): mime_type and title, where the source does not tell."""
+        return self._to("wrapped", (mime_type, title))
+
+    def to_assets(self, mapping: Mapping | None = None, selector: Any = "all", encode: str = "png") -> Pipeline:
+        return self._to("assets", (mapping, selector, encode))
+
+    def to_asset_archive(self, mapping: Mapping | None = None, selector: Any = "all", encode: str = "png", manifest: bool = True) -> Pipeline:
+        return self._to("archive", (mapping, selector, encode, manifest))
+
     def to_structured_value(self) -> Pipeline:
         return self._to("structured")
 
     def to_objects(self) -> Pipeline:
         return self._to("objects")
 
+    # outputs
+    def _into(self, sink: Callable[[DataFrame], DataFrame]) -> outputs.Output:
+        return outputs.Output(self.build(), sink)
+
+    def into_byte_buffer(self) -> outputs.Output:
+        """instance_id, file_name, content of every payload."""
+        return self._into(lambda df: outputs.payloads(df, self.target))
+
+    def into_part_buffer(self, content_type: str = "application/dicom", boundary: str = "lumenframe-part", per_body: int = 1000) -> outputs.Output:
+        """Multipart bodies of the payloads."""
+        return self._into(lambda df: outputs.to_parts(df, self.target, content_type, boundary, per_body))
+
+    def into_files(self, folder: str) -> outputs.Output:
+        """A file for every payload."""
+        return self._into(lambda df: outputs.to_files(df, folder, self.target))
+
+    def into_table(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> outputs.Output:
+        """The target's rows as a table; the answer is its row count."""
+
+        def write(df: DataFrame) -> DataFrame:
+            df.write.format(fmt).mode(mode).save(path)
+            return self.spark.read.format(fmt).load(path).agg(F.count(F.lit(1)).alias("n"))
+
+        return self._into(write)
+
+    def into_http(self, url: str, method: str = "POST", content_type: str = "application/dicom", per_body: int = 1000, **options: Any) -> outputs.Output:
+        """Multipart bodies sent to a store; status and answer of each."""
+        return self._into(lambda df: packages.send_http(outputs.to_parts(df, self.target, content_type, "lumenframe-part", per_body), url, method, **options))
+
+    def into_writer(self, write: Callable) -> outputs.Output:
+        """A writer of (file name, bytes) pairs on the executors, called for each partition."""
+        return self._into(lambda df: outputs.to_writer(df, write, self.target))
+
     def check(self) -> None:
         """Raises BuildError unless source, format, filters and target fit."""
         if self.source is None:
@@ -162,36 +214,63 @@ class Pipeline:
                 raise BuildError("normalisation needs the imaging format")
             if self.target not in (("frames", "pictures") if self.normalization["mode"] == "frames" else ("objects",)):
                 raise BuildError("normalisation gives frames or pictures, or with mode dicom objects")
+        elif self.target == "wrapped":
+            if self.format not in ("bytes", "json"):
+                raise BuildError("documents to wrap are bytes or json")
         elif self.target not in ("objects", "structured") and not elementwise:
             raise BuildError(f"{self.target} needs a format of elements, not {self.format}")
         if (self.goal or self.mask) and not elementwise:
             raise BuildError("validation and de-identification need elements")
-        if (self.pixels or self.target in ("frames", "pictures", "dicom")) and self.format != "dicom" and not self.normalization:
+        if (self.pixels or self.target in ("frames", "pictures", "dicom", "assets", "archive")) and self.format != "dicom" and not self.normalization:
             raise BuildError("frames and binary objects need the dicom format")
         if self.pixels and self.target not in ("frames", "pictures"):
             raise BuildError("pixel filters need frames or pictures as the target")
 
-    def elements(self) -> DataFrame:
-        read = self.source()
+    def _wanted(self) -> tuple[frozenset[str] | None, str | None]:
+        """The tags that the target reads (None: all), and the one after which it reads none."""
+        if self.goal or self.handlers:
+            return None, None
+        if self.target == "selection":  # also of elements inside later sequences
+            return frozenset(self.argument.tags), None
+        if self.target == "mapping":
+            return frozenset(self.argument.needed_tags()), None
+        if self.target in ("assets", "archive"):
+            return assets.needed(self.argument[0]), None
+        tags = {"imaging_study": fhir.NEEDED, "entities": entities.NEEDED, "documents": packages.DOCUMENT_TAGS, "frames": frames.NEEDED, "pictures": frames.NEEDED}.get(self.target)
+        return tags, max(tags) if tags else None
+
+    def _read(self, source: DataFrame, options: part10.Options) -> DataFrame:
         if self.format == "dicom":
-            wanted = self.argument.max_tag if self.target == "selection" and self.mask is None and self.goal is None else None
-            found = part10.read_elements(read, replace(self.options, stop_after=wanted) if wanted else self.options)
-        else:
-            text = read.select("instance_id", F.col("content").cast("string").alias("text"))
-            found = (metadata.read_json if self.format == "dicom-json" else metadata.read_xml)(text, "text").withColumn("transfer_syntax_uid", F.lit(None).cast("string"))
+            return part10.read_objects(source, options)
+        text = source.withColumn("text", F.col("content").cast("string"))
+        return (metadata.read_json_objects if self.format == "dicom-json" else metadata.read_xml_objects)(text, "text")
+
+    def parsed(self) -> DataFrame:
+        """Whole objects (schema.PARSED) after validation, de-identification and handlers. Each object is read and parsed once, whatever the target."""
+        wanted, last = self._wanted()
+        options = replace(self.options, wanted=wanted, stop_after=last)
+        if options.bulk == "auto" and self.target in ("frames", "pictures", "documents", "dicom", "assets", "archive"):
+            options = replace(options, bulk="materialize")  # these targets are made of the bytes
+        found = self._read(self.source(), options)
         if self.goal == "strict":
-            found = validate.strict(found, validate.validate(found.filter("ordinal >= 0"), part10.statuses(found)))
-        found = found.filter("ordinal >= 0")
+            found = validate.strict_objects(validate.object_concerns(found))
         if self.mask is not None:
-            found = deid.deidentify(found, self.mask, self.consistent_uids)
-        for handler in self.handlers:
-            found = handler(found)
+            found = deid.deidentify_objects(found, self.mask, self.consistent_uids)
+        if self.handlers:
+            rows = element_rows(found, "seen").filter("ordinal >= 0")
+            for handler in self.handlers:
+                rows = handler(rows)
+            found = object_rows(rows)
         return found
 
+    def elements(self) -> DataFrame:
+        return element_rows(self.parsed()).filter("ordinal >= 0")
+
     def concerns(self) -> DataFrame:
-        """All validation concerns of what the source gives."""
-        found = part10.read_elements(self.source(), self.options)
-        return validate.validate(found.filter("ordinal >= 0"), part10.statuses(found))
+        """All validation concerns of what the source gives, in its format."""
+        if self.source is None or self.format not in ELEMENT_FORMATS:
+            raise BuildError("concerns need a source and a format of elements")
+        return validate.concern_rows(validate.object_concerns(self._read(self.source(), self.options)))
 
     def build(self) -> DataFrame:
         self.check()
@@ -203,31 +282,40 @@ class Pipeline:
                 raise BuildError("normalised objects give all frames")
             out = normalize.normalize(self.source(), **self.normalization)
             for change in self.pixels:
-                out = change(out)
-            return frames.pictures(out, kind) if kind else out
+                out = change(out, self.codecs)
+            return frames.pictures(out, kind, self.codecs) if kind else out
         if self.target == "structured":
             text = self.source().select("instance_id", F.col("content").cast("string").alias("text"))
-            return text.select("instance_id", F.try_parse_json("text").alias("value")) if self.format == "json" else metadata.read_xml(text, "text")
-        found = self.elements()
+            return metadata.structured_values(text, self.format)
+        if self.target == "wrapped":
+            mime, title = self.argument
+            given = F.lit(mime) if mime else F.coalesce("content_type", F.lit("application/json" if self.format == "json" else "application/octet-stream"))
+            held = self.source().select("instance_id", given.alias("mime_type"), F.lit(title).cast("string").alias("title"), F.col("content").alias("bytes"))
+            return writer.write_bytes(packages.wrap_documents(held))
         if self.target == "elements":
-            return found
+            return self.elements()
+        if self.target == "selection":
+            return select_elements(self.elements(), self.argument)
+        found = self.parsed()
         if self.target == "instances":
-            fields = [c for c in found.columns if c not in ("instance_id", "transfer_syntax_uid")]
-            return found.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", *(c for c in fields if c != "ordinal")))).alias("elements"))
+            order = ("ordinal", *(c for c in ELEMENT_NAMES if c != "ordinal"))
+            return found.filter("error_message is null").select("instance_id", F.transform("elements", lambda e: F.struct(*(e[c].alias(c) for c in order))).alias("elements"))
         if self.target == "entities":
-            return entities.classify(found)
-        if self.target == "selection":
-            return select_elements(found, self.argument)
+            return entities.classify_objects(found)
         if self.target == "mapping":
-            return self.argument.apply(found)
+            return self.argument.apply_objects(found)
         if self.target == "imaging_study":
-            return fhir.imaging_study(fhir.records(found), *self.argument)
+            return fhir.imaging_study(fhir.object_records(found), *self.argument)
         if self.target == "dicom":
-            return writer.write_bytes(found, self.argument)
+            return writer.write_objects(found, self.argument)
         if self.target == "documents":
-            return packages.unwrap_documents(found)
+            return packages.unwrap_objects(found)
+        if self.target == "assets":
+            return assets.assets(found, *self.argument, registry=self.codecs)
+        if self.target == "archive":
+            return assets.archives(found, *self.argument, registry=self.codecs)
         kind, selector = self.argument if self.target == "pictures" else (None, self.argument)
-        out = frames.extract_frames(found, selector)
+        out = frames.object_frames(found, selector)
         for change in self.pixels:
-            out = change(out)
-        return frames.pictures(out, kind) if kind else out
+            out = change(out, self.codecs)
+        return frames.pictures(out, kind, self.codecs) if kind else out

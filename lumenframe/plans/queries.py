@@ -235,11 +235,6 @@ def q_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dicom.fhir_date(s).alias("partial"), dicom.started(s, F.date_format("o_orderdate", "HHmmss"), F.lit("+0200")).alias("started"), day.alias("day"))
 
 
-@registered("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def q_json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @registered("""SELECT event_type AS study_uid, count(DISTINCT user_id) AS n_series, count(DISTINCT event_id) AS n_instances, string_agg(DISTINCT (user_id%3)::VARCHAR, ',' ORDER BY (user_id%3)::VARCHAR) AS modalities FROM events GROUP BY 1""")
 def q_json_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenframe.sources.metadata import studies_of_json
@@ -294,7 +289,10 @@ def q_session_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", F.unix_micros(F.col("start").cast("timestamp")).alias("since"))
 
 
-@registered("""WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) SELECT user_id, count(*) AS n FROM g WHERE b IS NULL OR ts > b + INTERVAL 1 HOUR GROUP BY 1""")
+@registered(
+    """WITH RECURSIVE kept AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1 UNION ALL SELECT e.user_id, min(e.ts) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 1 HOUR GROUP BY e.user_id)
+    SELECT user_id, count(*) AS n FROM kept GROUP BY 1"""
+)
 def q_dedupe_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drop_repeats(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 

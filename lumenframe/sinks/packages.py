@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.dictionary import EXPLICIT, KEYWORDS, SECONDARY_CAPTURE
 from lumenframe.functions.dicom import deterministic_uid, document_bytes, mime_extension, mime_sop_class, safe_name
+from lumenframe.operators.objects import value_of
+from lumenframe.sources.rows import object_rows
 
 
 def zip_by(objects: DataFrame, key: str, manifest: bool = True) -> DataFrame:
@@ -44,7 +46,7 @@ def multipart_body(objects: DataFrame, boundary: str = "lumenframe-part", conten
     crlf = "\r\n"
     head = F.concat(F.lit(f"--{boundary}{crlf}Content-Type: {content_type}{crlf}{crlf}").cast("binary"), F.col("content"), F.lit(crlf).cast("binary"))
     parts = F.array_sort(F.collect_list(F.struct("instance_id", head.alias("part"))))
-    body = F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p["part"]))
+    body = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["part"])), ""))  # one pass; appending would copy the body for each part
     return objects.groupBy("batch_id").agg(F.concat(body, F.lit(f"--{boundary}--{crlf}").cast("binary")).alias("body"), F.lit(f'multipart/related; boundary={boundary}; type="{content_type}"').alias("content_type"))
 
 
@@ -74,12 +76,20 @@ def wrap_documents(documents: DataFrame) -> DataFrame:
     return element_rows(documents, plan)
 
 
+_DOCUMENT = ("EncapsulatedDocument", "MIMETypeOfEncapsulatedDocument", "DocumentTitle", "EncapsulatedDocumentLength")
+#: All tags that an encapsulated document is made of.
+DOCUMENT_TAGS = frozenset(KEYWORDS[t] for t in _DOCUMENT)
+
+
 def unwrap_documents(elements: DataFrame) -> DataFrame:
+    """Documents of element rows, which are first put together as objects."""
+    return unwrap_objects(object_rows(elements.filter((F.col("depth") == 0) & F.col("tag").isin(*DOCUMENT_TAGS))))
+
+
+def unwrap_objects(parsed: DataFrame) -> DataFrame:
     """instance_id, mime_type, title, file_name, content of every encapsulated document, cut to its declared length."""
-    at = lambda t, c: F.min_by(c, F.when(F.col("tag") == KEYWORDS[t], F.col("ordinal")))
-    rows = elements.filter("depth = 0").groupBy("instance_id").agg(
-        at("EncapsulatedDocument", "bin").alias("raw"), at("MIMETypeOfEncapsulatedDocument", "str").alias("mime_type"), at("DocumentTitle", "str").alias("title"), at("EncapsulatedDocumentLength", "str").alias("declared")
-    )
+    fields = zip(_DOCUMENT, ("bin", "str", "str", "str"), ("raw", "mime_type", "title", "declared"), strict=True)
+    rows = parsed.select("instance_id", *(value_of(KEYWORDS[t], field).alias(name) for t, field, name in fields))
     name = F.concat(safe_name(F.coalesce(F.nullif("title", F.lit("")), "instance_id")), F.lit("."), mime_extension(F.col("mime_type")))
     return rows.filter("raw is not null").select("instance_id", "mime_type", "title", name.alias("file_name"), document_bytes(F.col("raw"), F.col("declared").try_cast("long")).alias("content"))
 

@@ -6,9 +6,12 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumenframe.dictionary import BIG, BYTE_VRS, EXPLICIT, IMPLICIT, LONG_VRS, NUMBER_FORMATS, TRANSFER_SYNTAXES, VR_SIZE
+from lumenframe.sources.rows import object_rows
 
 _SWAP = {"OW": 2, "OF": 4, "OL": 4, "OD": 8, "OV": 8}
 
@@ -95,23 +98,31 @@ def serialise(rows: list[dict], syntax: str, part10: bool = True, from_syntax: s
 
 
 def write_bytes(elements: DataFrame, syntax: str | None = None, part10: bool = True) -> DataFrame:
-    """instance_id, content for each object; syntax: the target, else that of the object's file meta (or explicit little endian). Bulk values left out on reading cannot be written and raise."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        if pdf["is_bulk"].any():
-            raise ValueError(f"object {key[0]} has bulk values that were not read")
-        rows = pdf.to_dict("records")
-        for r in rows:
-            r["bin"] = bytes(r["bin"]) if isinstance(r["bin"], (bytes, bytearray, memoryview)) else None
-            r["str"] = r["str"] if isinstance(r["str"], str) else None
+    """Bytes of the objects of element rows, which are first put together by a shuffle."""
+    return write_objects(object_rows(elements.filter("ordinal >= 0")), syntax, part10)
+
+
+def write_objects(parsed: DataFrame, syntax: str | None = None, part10: bool = True) -> DataFrame:
+    """instance_id, content for each whole parsed object; syntax: the target, else that of the object's file meta (or explicit little endian). Bulk values left out on reading cannot be written and raise."""
+
+    def one(instance: str, rows: list[dict]) -> bytes:
+        if any(r["is_bulk"] for r in rows):
+            raise ValueError(f"object {instance} has bulk values that were not read")
         own = next((r["str"] for r in rows if r["tag"] == "00020010"), None) or EXPLICIT
         target = syntax or own
         if TRANSFER_SYNTAXES.get(own, TRANSFER_SYNTAXES[EXPLICIT]).compressed and target in (IMPLICIT, EXPLICIT, BIG) and target != own and any(r["value_length"] == 0xFFFFFFFF for r in rows):
             raise ValueError("encapsulated pixel data has to be decoded before it can be written natively")
-        return pd.DataFrame({"instance_id": [key[0]], "content": [serialise(rows, target, part10, own)]})
+        return serialise(rows, target, part10, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # an object at a time: its bytes and its elements are held, not the batch's
+                instance = batch.column(0)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([instance], pa.string()), pa.array([one(instance, batch.column(1)[i].as_py())], pa.binary())], ["instance_id", "content"])
 
-    return elements.filter("ordinal >= 0").groupBy("instance_id").applyInPandas(run, "instance_id string, content binary")
+    fields = ("tag", "vr", "str", "bin", "is_meta", "path", "value_length", "is_bulk")
+    slim = F.transform("elements", lambda e: F.struct(*(e[c].alias(c) for c in fields)))
+    return parsed.filter("error_message is null").select("instance_id", slim.alias("elements")).mapInArrow(run, "instance_id string, content binary")
 
 
 def write_files(objects: DataFrame, folder: str, extension: str = "dcm") -> int:

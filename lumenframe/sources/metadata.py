@@ -7,13 +7,15 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.dictionary import BYTE_VRS, KEYWORDS, vr_of
-from lumenframe.schema import ELEMENTS
+from lumenframe.schema import PARSED
+from lumenframe.sources import rows as parsed_rows
 
 _INTS, _DBLS = frozenset("US SS UL SL SV UV IS".split()), frozenset("FL FD DS".split())
 JSON_SCHEMA = "array<map<string,struct<vr:string,Value:array<string>,InlineBinary:string,BulkDataURI:string>>>"
@@ -117,35 +119,104 @@ def _typed(v: str, vr: str):
     return v if got is None or vr == "IS" else got
 
 
-def _elements(rows_of: Callable[[str, str], Iterator[tuple]]):
-    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", ELEMENTS)]
+def _objects(documents: DataFrame, text: str, objects_of: Callable[[str, str], Iterator[tuple[str, list[tuple]]]]) -> DataFrame:
+    """Whole parsed objects of documents(instance_id, text): objects_of gives the name and element rows of each object in a text."""
+    failed = F.col("error_message") if "error_message" in documents.columns else F.lit(None).cast("string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for instance, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                try:
-                    rows += list(rows_of(instance, text or ""))
-                except (ValueError, ET.ParseError) as e:
-                    rows.append((instance, -1, [], "", 0, None, None, None, 0, False, str(e), None, None, None, None, None, False, None))
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for instance, seen, error, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    found = []
+                    if error is None:
+                        try:
+                            found = list(objects_of(instance, body or ""))
+                        except (ValueError, AttributeError, TypeError, ET.ParseError) as e:
+                            error = str(e)
+                    if error is not None:
+                        yield instance, seen, None, error, []
+                    for i, (name, rows) in enumerate(found):
+                        yield name, f"{seen}#{i:010d}", None, None, rows
 
-    return run
+        return parsed_rows.batches_of(each())
 
+    return documents.select("instance_id", parsed_rows.order_of(documents), failed, F.col(text).cast("string")).mapInArrow(run, PARSED)
 
-def read_json(documents: DataFrame, text: str = "json") -> DataFrame:
-    """Element rows of DICOM JSON text, sequences included; text that does not parse gives one row of ordinal -1 with the message."""
 
-    def rows_of(instance: str, body: str) -> Iterator[tuple]:
+def read_json_objects(documents: DataFrame, text: str = "json") -> DataFrame:
+    """Whole parsed objects of DICOM JSON text, sequences included; text that does not parse gives a message."""
+
+    def objects_of(instance: str, body: str) -> Iterator[tuple[str, list[tuple]]]:
         found = json.loads(body)
-        return json_rows(instance, found if isinstance(found, list) else [found])
+        found = found if isinstance(found, list) else [found]
+        for i, one in enumerate(found):
+            name = instance if len(found) == 1 else f"{instance}#{i}"
+            yield name, list(json_rows(name, [one]))
+
+    return _objects(documents, text, objects_of)
+
 
-    return documents.select("instance_id", text).mapInPandas(_elements(rows_of), ELEMENTS)
+def read_xml_objects(documents: DataFrame, text: str = "xml") -> DataFrame:
+    """Whole parsed objects of native-model XML text; values by their number, inline binaries decoded."""
+    return _objects(documents, text, lambda instance, body: iter([(instance, list(xml_rows(instance, body)))]))
+
+
+def read_json(documents: DataFrame, text: str = "json") -> DataFrame:
+    """Element rows of DICOM JSON text; text that does not parse gives one row of ordinal -1 with the message."""
+    return parsed_rows.element_rows(read_json_objects(documents, text)).drop("transfer_syntax_uid")
 
 
 def read_xml(documents: DataFrame, text: str = "xml") -> DataFrame:
-    """Element rows of native-model XML text; values by their number, inline binaries decoded."""
-    return documents.select("instance_id", text).mapInPandas(_elements(xml_rows), ELEMENTS)
+    """Element rows of native-model XML text."""
+    return parsed_rows.element_rows(read_xml_objects(documents, text)).drop("transfer_syntax_uid")
+
+
+def _xml_tree(body: str) -> dict:
+    """A document node with its elements and texts in order; adjacent texts are one, comments and instructions are left out."""
+    document: dict = {"type": "document", "children": []}
+    stack = [document]
+    parser = expat.ParserCreate()
+    parser.ordered_attributes = True
+
+    def begin(name: str, attributes: list[str]) -> None:
+        prefix, _, local = name.rpartition(":")
+        node = {"type": "element", "name": name, "prefix": prefix or None, "localName": local, "attributes": dict(zip(attributes[::2], attributes[1::2], strict=True)), "children": []}
+        stack[-1]["children"].append(node)
+        stack.append(node)
+
+    def words(text: str) -> None:
+        held = stack[-1]["children"]
+        if held and held[-1]["type"] == "text":
+            held[-1]["text"] += text
+        elif len(stack) > 1:
+            held.append({"type": "text", "text": text})
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, lambda _: stack.pop(), words
+    parser.Parse(body, True)
+    return document
+
+
+def structured_values(documents: DataFrame, kind: str, text: str = "text") -> DataFrame:
+    """instance_id, value (VARIANT), concern of JSON or XML text; what does not parse has no value and a concern."""
+    if kind == "json":
+        value = F.try_parse_json(text)
+        concern = F.when(value.isNull(), F.lit("malformed JSON"))
+        return documents.select("instance_id", value.alias("value"), concern.alias("concern"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, concerns = [], []
+            for body in batch.column(1).to_pylist():
+                try:
+                    values.append(json.dumps(_xml_tree(body or "")))
+                    concerns.append(None)
+                except (expat.ExpatError, RecursionError) as e:
+                    values.append(None)
+                    concerns.append(f"malformed XML: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string()), pa.array(concerns, pa.string())], ["instance_id", "value", "concern"])
+
+    found = documents.select("instance_id", F.col(text).cast("string")).mapInArrow(run, "instance_id string, value string, concern string")
+    return found.select("instance_id", F.try_parse_json("value").alias("value"), "concern")
 
 
 def parse_dump(lines: DataFrame, text: str = "line") -> DataFrame:

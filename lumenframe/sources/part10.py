@@ -1,4 +1,4 @@
-"""Part-10 objects and raw data sets as element rows: one Arrow batch of objects in, rows out."""
+"""Part-10 objects and raw data sets: Arrow batches of objects in, whole parsed objects out, each parsed once."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.dictionary import BIG, BYTE_VRS, DEFLATED, EXPLICIT, IMPLICIT, LONG_VRS, NUMBER_FORMATS, TAGS, TEXT_VRS, TRANSFER_SYNTAXES, VR_SIZE, vr_of
-from lumenframe.schema import ELEMENTS
+from lumenframe.schema import PARSED
+from lumenframe.sources import rows as parsed_rows
 
 BULK_THRESHOLD = 1 << 20
 BULK_CAP = 16 << 20
@@ -27,11 +28,16 @@ class ParseError(ValueError):
 
 @dataclass(frozen=True)
 class Options:
-    """bulk: materialize, auto (values over the threshold are left out) or stream (all byte values are). stop_after: tag after which a reader may stop."""
+    """bulk: materialize, auto (values over the threshold are left out) or stream (all byte values are).
+
+    wanted: the only tags, at any depth, whose elements are kept; others are passed over without decoding their values.
+    stop_after: a top-level tag after which nothing is read. Ordinals are those of a full read.
+    """
 
     bulk: str = "auto"
     strict: bool = False
     stop_after: str | None = None
+    wanted: frozenset[str] | None = None
     inflate: bool = False
 
 
@@ -62,6 +68,8 @@ class _Reader:
     def __init__(self, instance: str, data: bytes, options: Options):
         self.id, self.data, self.options = instance, data, options
         self.rows: list[tuple] = []
+        self.n = 0
+        self.syntax = ""
         self.charset = "ascii"
         self.stopped = False
 
@@ -87,6 +95,10 @@ class _Reader:
         return tag, vr, struct.unpack_from(order + "H", self.data, at + 6)[0], at + 8
 
     def add(self, path: list, meta: bool, tag: str, vr: str, value: bytes, length: int, order: str, offset: int, complete: bool = True) -> None:
+        ordinal, self.n = self.n, self.n + 1
+        wanted = self.options.wanted is None or tag in self.options.wanted
+        if not wanted and tag not in ("00080005", "00020010"):
+            return
         bulk = vr in BYTE_VRS and (self.options.bulk == "stream" or (self.options.bulk == "auto" and len(value) >= BULK_THRESHOLD))
         if vr in BYTE_VRS and not bulk and len(value) > BULK_CAP and self.options.bulk != "materialize":
             bulk = True
@@ -96,6 +108,8 @@ class _Reader:
             text = value.decode(code if vr not in ("UI", "DA", "TM", "CS", "AE") else "latin-1", "replace").replace("\x00", "").strip()
             if tag == "00080005":
                 self.charset = _CHARSETS.get(text.split("\\")[0], "latin-1")
+            elif tag == "00020010" and meta:
+                self.syntax = text
             strs = text.split("\\") if vr not in ("LT", "ST", "UT") else [text]
             if vr in ("IS", "DS"):
                 kind = int if vr == "IS" else float
@@ -120,8 +134,10 @@ class _Reader:
             text = "\\".join(strs)
         elif vr in BYTE_VRS and not bulk:
             raw = value
+        if not wanted:
+            return
         path_text = "".join(f"{t}[{i}]/" for t, i in path)
-        self.rows.append((self.id, len(self.rows), [{"tag": t, "item": i} for t, i in path], path_text, len(path), meta, tag, vr, length, complete, text, strs, ints, dbls, raw, None, bulk, offset if bulk else None))
+        self.rows.append((self.id, ordinal, [{"tag": t, "item": i} for t, i in path], path_text, len(path), meta, tag, vr, length, complete, text, strs, ints, dbls, raw, None, bulk, offset if bulk else None))
 
     def encapsulated(self, at: int, order: str) -> int:
         """The end of an encapsulated value, after checking its items."""
@@ -200,7 +216,7 @@ def parse(instance: str, data: bytes, options: Options = Options()) -> tuple[lis
     syntax, at = "", 0
     if data[128:132] == b"DICM" and data[132:134] == b"\x02\x00":
         at = r.elements(132, None, [], True, "<", True)
-        syntax = next((x[10] for x in r.rows if x[6] == "00020010"), "") or IMPLICIT
+        syntax = r.syntax or IMPLICIT
     else:
         syntax = guess_syntax(data)
     known = TRANSFER_SYNTAXES.get(syntax)
@@ -213,24 +229,31 @@ def parse(instance: str, data: bytes, options: Options = Options()) -> tuple[lis
     return r.rows, syntax
 
 
-_NAMES = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", ELEMENTS)]
+def read_objects(objects: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """Whole parsed objects (schema.PARSED) of objects(instance_id, content, ...), in one pass; one that does not parse, or came with an error_message, has a message and no partial result."""
+    failed = F.col("error_message") if "error_message" in objects.columns else F.lit(None).cast("string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    instance, seen, error, content = (batch.column(k)[i].as_py() for k in range(4))
+                    rows, syntax = [], None
+                    if error is None:
+                        try:
+                            rows, syntax = parse(instance, content or b"", options)
+                        except ParseError as e:
+                            error = str(e)
+                    yield instance, seen, syntax, error, rows
+
+        return parsed_rows.batches_of(each())
+
+    return objects.select("instance_id", parsed_rows.order_of(objects), failed, "content").mapInArrow(run, PARSED)
 
 
 def read_elements(objects: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Element rows and transfer_syntax_uid of objects(instance_id, content); an object that does not parse gives one row of ordinal -1 whose str is the message, and no partial result."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for instance, content in zip(batch["instance_id"], batch["content"], strict=True):
-                try:
-                    rows, syntax = parse(instance, bytes(content or b""), options)
-                except ParseError as e:
-                    rows, syntax = [(instance, -1, [], "", 0, None, None, None, 0, False, str(e), None, None, None, None, None, False, None)], None
-                out = pd.DataFrame(rows, columns=_NAMES)
-                out["transfer_syntax_uid"] = syntax
-                yield out
-
-    return objects.select("instance_id", "content").mapInPandas(run, ELEMENTS + ", transfer_syntax_uid string")
+    """Element rows and transfer_syntax_uid; an object that does not parse gives one row of ordinal -1 whose str is the message."""
+    return parsed_rows.element_rows(read_objects(objects, options))
 
 
 def statuses(elements: DataFrame) -> DataFrame:
