@@ -199,9 +199,10 @@ def _xml_tree(body: str) -> dict:
 def structured_values(documents: DataFrame, kind: str, text: str = "text") -> DataFrame:
     """instance_id, value (VARIANT), concern of JSON or XML text; what does not parse has no value and a concern."""
     if kind == "json":
-        value = F.try_parse_json(text)
-        concern = F.when(value.isNull(), F.lit("malformed JSON"))
-        return documents.select("instance_id", value.alias("value"), concern.alias("concern"))
+        # The parser stops at the end of a value: an element after it shows that nothing else follows.
+        pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(',"end"]'))), "$", "array<variant>")
+        whole = F.coalesce(F.size(pair) == 2, F.lit(False))
+        return documents.select("instance_id", F.when(whole, F.get(pair, F.lit(0))).alias("value"), F.when(~whole, F.lit("malformed JSON")).alias("concern"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

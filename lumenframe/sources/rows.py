@@ -80,7 +80,7 @@ def object_rows(elements: DataFrame) -> DataFrame:
     syntax = F.max("transfer_syntax_uid") if "transfer_syntax_uid" in have else F.lit(None).cast("string")
     rows = elements.groupBy("instance_id").agg(
         F.coalesce(F.min("seen") if "seen" in have else F.lit(None).cast("string"), F.first("instance_id")).alias("seen"),
-        F.max(F.when(F.col("ordinal") < 0, F.coalesce("str", F.lit("unreadable")))).alias("error_message"), syntax.alias("transfer_syntax_uid"),
+        F.max(F.when(F.col("ordinal") < 0, F.coalesce("str", F.lit("unreadable")) if "str" in have else F.lit("unreadable"))).alias("error_message"), syntax.alias("transfer_syntax_uid"),
         F.array_sort(F.collect_list(F.when(F.col("ordinal") >= 0, fields))).alias("elements"),
     )
     return rows.select("instance_id", "seen", "transfer_syntax_uid", "error_message", "elements")

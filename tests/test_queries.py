@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lumenframe.plans import queries
+from lumenframe.plans import object_queries, queries  # noqa: F401
 
 
 def rows(columns, data):
