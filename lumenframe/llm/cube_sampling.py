@@ -10,8 +10,10 @@ until one block a source is left, whose last two documents are landed by the
 choice that comes nearest to both totals.
 
 Defined cases: a null text has size 0; a null source is a source of its own and
-comes last; documents of size 0 are never taken twice and count nothing; an
-empty table gives an empty result; repeated rows are separate documents.
+comes last; documents of size 0 are drawn like others of their source and add no
+words, however often; an empty table gives an empty result; repeated rows are
+separate documents, also those of one doc_id or of none, which are dealt to
+blocks by their texts. Targets are found in one task, over a row a source.
 """
 
 from __future__ import annotations
@@ -106,13 +108,13 @@ def land(sizes: list[int], pis: list[float]) -> list[float]:
 
 def _flight(seed: int, last: bool):
     def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        block = block.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("tie", "ascending")])
         cols = block.to_pydict()
         rng = random.Random(f"{seed}|{cols['source'][0]}|{cols['_block'][0]}|{last}")
         pis = fly(cols["size"], cols["pi"], rng)
         if last or cols["_blocks"][0] == 1:
             pis = land(cols["size"], pis)
-        return block.select(["doc_id", "source", "size"]).append_column("pi", pa.array(pis, pa.float64()))
+        return block.select(["doc_id", "source", "size", "tie"]).append_column("pi", pa.array(pis, pa.float64()))
 
     return run
 
@@ -125,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
     """
     spark = docs.sparkSession
     stages = Stages(spark, "cube")
-    sized = stages.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    sized = stages.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
     sources = stages.write(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, cap))
     n_sources, most = sources.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -135,15 +137,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
 
     def blocks(df: DataFrame, n: Column) -> DataFrame:
         n = F.greatest(F.lit(1), F.ceil(n / F.lit(block_docs))).cast("long")
-        return df.withColumn("_blocks", n).withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n))
+        return df.withColumn("_blocks", n).withColumn("_block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), n))
 
-    schema = "doc_id long, source string, size long, pi double"
-    flown = stages.write(blocks(planned, F.col("n_docs")).select("doc_id", "source", "size", "pi", "_blocks", "_block").groupBy("source", "_block").applyInArrow(_flight(seed, False), schema))
+    schema = "doc_id long, source string, size long, tie long, pi double"
+    flown = stages.write(blocks(planned, F.col("n_docs")).select("doc_id", "source", "size", "tie", "pi", "_blocks", "_block").groupBy("source", "_block").applyInArrow(_flight(seed, False), schema))
     done, rest_n = [flown.filter("pi = 0 or pi = 1")], 2 * -(-(most or 0) // block_docs)
     rest = flown.filter("pi > 0 and pi < 1")
     while rest_n > 2:
         n_blocks = -(-rest_n // block_docs)
-        fly_again = rest.withColumn("_blocks", F.lit(n_blocks).cast("long")).withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_blocks).cast("long")))
+        fly_again = rest.withColumn("_blocks", F.lit(n_blocks).cast("long")).withColumn("_block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(n_blocks).cast("long")))
         landed = stages.write(fly_again.groupBy("source", "_block").applyInArrow(_flight(seed, n_blocks == 1), schema))
         done.append(landed.filter("pi = 0 or pi = 1"))
         if n_blocks == 1:
