@@ -123,14 +123,16 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int, stages: Stages) ->
     n = dealt.count()
     rows = texts.join(small(wanted, n), "id").select("a", "part", "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    return stages.write(rows.mapInArrow(_confirm(percent), "a long, b long"))
+    out = stages.write(rows.mapInArrow(_confirm(percent), "a long, b long"))
+    stages.drop(dealt)
+    return out
 
 
-def components(edges: DataFrame, stages: Stages, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stages: Stages) -> DataFrame:
     """doc_id, component: the least doc_id reachable, for every end of an edge (a, b). Labels are cut to shorter ones until none changes."""
     both = stages.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stages.write(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
         step = step.join(labels.select(F.col("doc_id").alias("_l"), F.col("component").alias("_far")), F.col("component") == F.col("_l"), "left")
@@ -140,10 +142,7 @@ def components(edges: DataFrame, stages: Stages, rounds: int = 60) -> DataFrame:
         labels = after.select("doc_id", "component")
         labels._stage_path = after._stage_path
         if not after.filter("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+            return labels
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -264,6 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return stages.write(df.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node", "n"))
 
     open_ = stages.write(known.join(mixed(known), "node").join(classes, "doc").select("node", "doc", "component", "tokens", "n"))
+    stages.drop(nodes, met, known, classes)
     ready = [open_.filter(F.col("n") <= NODE).drop("n").withColumn("side", F.lit(0))]
     large = open_.filter(F.col("n") > NODE)
     for level in range(1, len(BRANCHES) + 1):
@@ -292,6 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     full = texts.join(small(near), "doc").select("node", "side", "doc", "component", "text")
     more = stages.write(full.repartition("node").sortWithinPartitions("node", "side", "doc").mapInArrow(_links(percent), "a long, b long"))
     labels = components(links.unionByName(more), stages)
+    stages.drop(open_, near, more, links)
     out = sigs.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").join(labels.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
