@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import centroid_langid, chosen_path, cube_sampling, hmm_lm, patience_license, rule_quality, spaced_seed, style_tree, weak_pii, winnowing
+from lumenframe.llm import centroid_langid, chosen_path, cube_sampling, hmm_lm, oracles, patience_license, rule_quality, spaced_seed, style_tree, weak_pii, winnowing
 from lumenframe.llm.staging import Stages
 
 
@@ -60,5 +60,29 @@ def op10_spaced_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_winnowing, op3_rule_quality, op4_chosen_path, op5_style_tree, op6_patience_license, op7_weak_pii, op8_hmm_lm, op9_centroid_langid, op10_spaced_seed)}
 
-#: None of the operators' full results can be said in SQL; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1_cube_mix."""
+    return op1_cube_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def llm_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_winnowing."""
+    return op2_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def llm_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7_weak_pii."""
+    return op7_weak_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def llm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8_hmm_lm."""
+    return op8_hmm_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+QUERIES |= {f.__name__: f for f in (llm_mix_targets, llm_edited_texts, llm_base_spans, llm_base_scores)}
+
+#: What cannot be said in SQL is held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {"op4_chosen_path": oracles.NEAR_DUPLICATES, "llm_mix_targets": oracles.MIX_TARGETS, "llm_edited_texts": oracles.EDITED_TEXTS, "llm_base_spans": oracles.BASE_SPANS, "llm_base_scores": oracles.BASE_SCORES}
