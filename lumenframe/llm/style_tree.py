@@ -14,8 +14,9 @@ than half of the host's distinct articles repeat.
 Roles are the prior. Elements and names that can only be menus, adverts, forms
 or comments are removed without evidence, as page-specific comments look like
 text to the tree; so is all beside a marked article. Names that may also name a
-subject (share, related, alert) only lower what the tree is asked for: such a
-branch stays if the host has shown it to be page-specific text. A name counts
+subject (share, related, search) only lower what the tree is asked for: such a
+branch stays if 32 distinct articles of the host have shown it to be page-specific
+text. A name counts
 only as a whole (share-price and with-sidebar are no role).
 
 Defined cases: a null page is empty; a null or unreadable url has the host "";
@@ -43,6 +44,8 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.2
 #: Importance from which a branch stays although its name is often that of a widget.
 TEXT_IMPORTANCE = 0.9
+#: Distinct articles in which it has to be seen for that.
+TEXT_PAGES = 32
 #: Levels of nesting that the style tree tells apart.
 LEVELS = 64
 PRESENTATION_WEIGHT = 0.1
@@ -63,10 +66,10 @@ CLOSED_BY_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 KIN = (("dt", "dd"), ("td", "th"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role attributes that mark what is no article.
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comments comment disqus pagination pager complementary contentinfo".split())
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comments comment respond reply replies disqus pagination pager complementary contentinfo".split())
 PAGE_NOISE = NOISE | {"header"}
 # Words that name widgets as well as subjects.
-WEAK = frozenset("share sharing social related recommended recommendations trending search alert notice notices overlay widget widgets toolbar topbar promo respond reply replies".split())
+WEAK = frozenset("share sharing social related recommended recommendations trending search overlay widget widgets toolbar topbar".split())
 # Words that may stand beside them in a name (site-footer, related-posts) without changing what it is.
 PLACE = frozenset("site page main global top bottom left right upper lower primary secondary container wrapper wrap area list box block section inner outer bar links link item items form panel posts post articles stories slot unit".split())
 ARTICLE_NOISE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
@@ -344,7 +347,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance:
     known = style_tree(spread).filter(F.col("articles") >= least_pages)
     none = F.lit(None).cast("long")
     low = known.filter(F.col("importance") < least_importance).select("host", F.col("path").alias("low"), none.alias("block"), none.alias("text"))
-    text_like = known.filter(F.col("doubtful") & (F.col("importance") >= TEXT_IMPORTANCE)).select("host", none.alias("low"), none.alias("block"), F.col("path").alias("text"))
+    text_like = known.filter(F.col("doubtful") & (F.col("articles") >= TEXT_PAGES) & (F.col("importance") >= TEXT_IMPORTANCE)).select("host", none.alias("low"), none.alias("block"), F.col("path").alias("text"))
     found = low.unionByName(text_like).unionByName(repeated_blocks(spread, least_pages).select("host", none.alias("low"), "block", none.alias("text")))
     sets = [F.array_sort(F.collect_set(c)).alias(name) for c, name in (("low", "low"), ("block", "repeated"), ("text", "text_like"))]
     found = Stages(pages.sparkSession, "styles").write(found.groupBy("host").agg(*sets))

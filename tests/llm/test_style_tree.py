@@ -64,9 +64,9 @@ def test_the_tree_decides_about_prose_of_marked_articles(spark):
 
 def test_names_in_doubt_are_asked_of_the_tree(spark):
     page = lambda i: f"<body><div class='text'><p>story {i}</p></div><div class='search'><p>results of study {i}</p><p>method {i}</p></div><div class='social'><p>Follow us</p><p>Tell a friend</p></div><div class=comments><p>reader {i}</p></div></body>"
-    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)] + [(100 + i, f"http://b.example/{i}", page(i)) for i in range(3)]
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://b.example/{i}", page(i)) for i in range(3)]
     got = texts(spark, rows)
-    assert all(got[i] == f"story {i}\nresults of study {i}\nmethod {i}" for i in range(12))
+    assert all(got[i] == f"story {i}\nresults of study {i}\nmethod {i}" for i in range(40))
     assert all(got[100 + i] == f"story {i}" for i in range(3)), "without evidence the name decides"
 
 
