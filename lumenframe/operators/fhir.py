@@ -117,7 +117,8 @@ def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "s_modality": _earliest(F.col("Modality")), "s_number": _earliest(fhir_unsigned(F.col("SeriesNumber"))), "s_description": _earliest(F.col("SeriesDescription")), "s_started": _earliest(started(F.col("SeriesDate"), F.col("SeriesTime"), F.col("TimezoneOffsetFromUTC"))),
     }
     own = F.min(F.struct(F.col("seen").alias("_o"), clean(F.col("SOPInstanceUID")).alias("uid"), clean(F.col("SOPClassUID")).alias("class"), fhir_unsigned(F.col("InstanceNumber")).alias("number"))).alias("instance")
-    text = F.collect_set(F.struct("seen", F.coalesce("ModalitiesInStudy", "Modality").alias("m")))
+    said = F.struct(F.coalesce("ModalitiesInStudy", "Modality").alias("modality"), F.col("PatientName").alias("name"), F.col("PatientTelephoneNumbers").alias("phone"), F.col("PatientTelecomInformation").alias("telecom"), non_blank(F.col("NumberOfStudyRelatedSeries")).alias("n_series"), non_blank(F.col("NumberOfStudyRelatedInstances")).alias("n_instances"))
+    text = F.collect_set(F.struct("seen", said.alias("m")))
     instances = rows.groupBy("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID").agg(own, *(F.min(c).alias(n) for n, c in head.items()), F.min("seen").alias("seen"), _first_texts(text).alias("texts"))
     series = instances.groupBy("StudyInstanceUID", "SeriesInstanceUID").agg(
         *(F.min(n).alias(n) for n in head), F.count(F.lit(1)).alias("n_instances"), F.min("seen").alias("seen"), F.array_sort(F.collect_list("instance")).alias("instances"), _first_texts(F.flatten(F.collect_list("texts"))).alias("texts"),
@@ -131,8 +132,14 @@ def studies_of(series: DataFrame, each: Column | None = None) -> DataFrame:
     names = [*_HEAD, "started", "birth_date"]
     listed = [F.array_sort(F.collect_list(each)).alias("series")] if each is not None else []
     out = series.groupBy("StudyInstanceUID").agg(*(F.min(n)["v"].alias(n) for n in names), _first_texts(F.flatten(F.collect_list("texts"))).alias("texts"), F.count(F.lit(1)).alias("n_series"), F.sum("n_instances").alias("n_instances"), *listed)
-    modalities = F.array_distinct(F.flatten(F.transform("texts", lambda p: F.coalesce(modality_list(p["m"]), F.array().cast("array<string>")))))
-    return out.withColumn("modalities", modalities).drop("texts")
+    union = lambda values: F.array_distinct(F.array_compact(values))
+    said = lambda f: F.transform("texts", lambda p: f(p["m"]))
+    unions = {
+        "modalities": union(F.flatten(said(lambda m: F.coalesce(modality_list(m["modality"]), F.array().cast("array<string>"))))), "names": union(said(lambda m: human_name(m["name"]))),
+        "telecoms": union(F.flatten(said(lambda m: F.array(contact_point(m["phone"]), contact_point(m["telecom"]))))),
+        "totals": F.greatest(F.size(union(said(lambda m: m["n_series"]))), F.size(union(said(lambda m: m["n_instances"])))),
+    }
+    return out.withColumns(unions).drop("texts")
 
 
 def _pruned(s: Column) -> Column:
@@ -196,17 +203,20 @@ def _series_entry(endpoints: Column | None) -> Column:
     )
 
 
-def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict = "contained", endpoints: dict[str, list] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict = "contained", endpoints: dict[str, list] | None = None, templates: dict[str, str] | None = None, conflicts: str = "error") -> DataFrame:
     """study_uid, number_of_series, number_of_instances, modalities and the pruned resource as JSON.
 
-    subject: contained, reference, or a Reference of its own. endpoints: lists of References (or their texts) for study and series.
+    study-summary: totals are those that objects declare; conflicting ones raise, unless conflicts is first.
+    subject: contained, reference, none, or a Reference of its own. endpoints: lists of References (or their texts) for study and series.
     templates: texts with {Keyword} tokens for study and series endpoints and, in reference mode, the subject
     (Patient/{PatientID} if not given); a record that lacks a token gives no reference.
     """
     if profile not in ("full", "study-summary"):
         raise ValueError("profile is full or study-summary")
-    if not isinstance(subject, dict) and subject not in ("contained", "reference"):
-        raise ValueError("a resource needs a subject: contained, reference or a Reference")
+    if conflicts not in ("error", "first"):
+        raise ValueError("conflicts is error or first")
+    if not isinstance(subject, dict) and subject not in ("contained", "reference", "none"):
+        raise ValueError("subject is contained, reference, none or a Reference")
     endpoints, templates = endpoints or {}, templates or {}
     if set(endpoints) - {"study", "series"} or set(templates) - {"study", "series", "subject"}:
         raise ValueError("endpoints are of study or series, templates also of subject")
@@ -226,6 +236,9 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict =
         listed = F.transform("series", lambda s: s.dropFields("_o"))
     else:
         studies = studies.withColumn("n_series", fhir_unsigned(F.col("declared_series")).cast("long")).withColumn("n_instances", fhir_unsigned(F.col("declared_instances")).cast("long"))
+        if conflicts == "error":
+            broken = F.raise_error(F.concat(F.lit("conflicting totals in study "), F.coalesce("StudyInstanceUID", F.lit("")))).cast("boolean")
+            studies = studies.filter(F.when(F.col("totals") > 1, broken).otherwise(F.lit(True)))
         listed = None
     identifiers = F.filter(
         F.array(
@@ -238,8 +251,8 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict =
     patient = F.struct(
         F.lit("Patient").alias("resourceType"), F.lit("patient").alias("id"),
         F.when(F.col("patient_id").isNotNull(), F.array(F.struct(F.col("patient_id").alias("value"), F.when(F.col("issuer").isNotNull(), F.struct(F.col("issuer").alias("display"))).alias("assigner")))).alias("identifier"),
-        F.when(human_name(F.col("patient_name")).isNotNull(), F.array(human_name(F.col("patient_name")))).alias("name"),
-        F.nullif(F.filter(F.array(contact_point(F.col("phone")), contact_point(F.col("telecom"))), lambda x: x.isNotNull()), F.array().cast("array<struct<system:string,value:string>>")).alias("telecom"),
+        F.when(F.size("names") > 0, F.col("names")).alias("name"),
+        F.when(F.size("telecoms") > 0, F.col("telecoms")).alias("telecom"),
         F.when(F.col("sex").isNotNull(), gender(F.col("sex"))).alias("gender"), F.col("birth_date").alias("birthDate"),
     )
     fields = [
@@ -248,7 +261,7 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict =
         identifiers.alias("identifier"),
         F.lit("available").alias("status"),
         F.when(F.size("modalities") > 0, F.transform("modalities", lambda m: coding(m))).alias("modality"),
-        refers.alias("subject"),
+        *([refers.alias("subject")] if subject != "none" else []),
         *([F.when(F.size(study_endpoints) > 0, study_endpoints).alias("endpoint")] if study_endpoints is not None else []),
         F.col("started"),
         F.col("n_series").alias("numberOfSeries"),

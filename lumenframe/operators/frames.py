@@ -102,8 +102,8 @@ def _image(r) -> codecs.Image:
     return im
 
 
-def _each(frames: DataFrame, change, schema: str = FRAME) -> DataFrame:
-    """change(row, image) -> dict of new values; a codec error is kept as the row's concern."""
+def _each(frames: DataFrame, change, hold_back: bool = False) -> DataFrame:
+    """change(row, image) -> dict of new values; a codec error is kept as the row's concern, and with hold_back the frame's bytes are not."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,12 +113,14 @@ def _each(frames: DataFrame, change, schema: str = FRAME) -> DataFrame:
                 if r.bytes is not None:
                     try:
                         new |= change(r, _image(r))
-                    except codecs.CodecError as e:
+                    except (codecs.CodecError, redact.RegionError) as e:
                         new["concern"] = str(e)
+                        if hold_back:
+                            new["bytes"] = None
                 out.append(new)
             yield pd.DataFrame(out, columns=batch.columns)
 
-    return frames.mapInPandas(run, schema)
+    return frames.mapInPandas(run, FRAME)
 
 
 def _facts(im: codecs.Image) -> dict:
@@ -151,7 +153,7 @@ def transcode(frames: DataFrame, target: str, fallback: str = "passthrough", reg
 
 
 def redact_frames(frames: DataFrame, regions: list[dict] | None = None, mode: str = "pixel", action: str = "black", constant: int = 0, detect: bool = False, registry: codecs.Registry | None = None) -> DataFrame:
-    """Native frames with regions (given, or detected text) filled in their own depth; the result is native."""
+    """Native frames with regions (given, or detected text) filled in their own depth; the result is native. A frame that cannot be redacted has null bytes and a concern."""
     if action not in ("black", "white", "constant"):
         raise ValueError("action is black, white or constant")
     known = registry or codecs.Registry()
@@ -162,7 +164,9 @@ def redact_frames(frames: DataFrame, regions: list[dict] | None = None, mode: st
         if detect:
             found += redact.text_regions(codecs.rgba(native, im))
         facts = {"transfer_syntax_uid": _native(r.transfer_syntax_uid), **_facts(im)}
-        if not found or im.allocated not in (8, 16):
+        if found and im.allocated not in (8, 16):
+            raise codecs.CodecError(f"samples of {im.allocated} bits cannot be filled")
+        if not found:
             return {"bytes": native, **facts}
         dark, light = (-(1 << (im.stored - 1)), (1 << (im.stored - 1)) - 1) if im.signed else (0, (1 << im.stored) - 1)
         value = constant if action == "constant" else (light if (action == "white") != (im.photometric == "MONOCHROME1") else dark)
@@ -173,13 +177,13 @@ def redact_frames(frames: DataFrame, regions: list[dict] | None = None, mode: st
         px = px.transpose(2, 0, 1) if im.samples > 1 and im.planar == 1 else px
         return {"bytes": px.astype(f"<u{im.allocated // 8}").tobytes(), **facts}
 
-    return _each(frames, change)
+    return _each(frames, change, hold_back=True)
 
 
 def redact_images(objects: DataFrame, regions: list[dict] | None = None, mode: str = "pixel", action: str = "black", constant: int = 0, detect: bool = False) -> DataFrame:
     """instance_id, format, content, concern: PNG, TIFF and JPEG files with regions (given, or detected text) filled, in their own format (JPEG pictures are coded anew as baseline ones).
 
-    What cannot be decoded (progressive or lossless JPEG, damaged files, null content) has null content and a concern, so no unredacted file passes.
+    What cannot be decoded (lossless JPEG, damaged files, null content) has null content and a concern, so no unredacted file passes.
     """
     if action not in ("black", "white", "constant"):
         raise ValueError("action is black, white or constant")

@@ -1,4 +1,4 @@
-"""Frame codecs in NumPy: native samples, RLE, JPEG (lossless, baseline, extended), JPEG-LS, PNG, TIFF, and their registry."""
+"""Frame codecs in NumPy: native samples, RLE, JPEG (lossless, baseline, extended), JPEG-LS, JPEG 2000, PNG, TIFF, and their registry."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from lumenframe.dictionary import BIG, EXPLICIT, IMPLICIT, RLE
-from lumenframe.pixels import jpeg, jpegls
+from lumenframe.pixels import jpeg, jpeg2000, jpegls
 
 
 class CodecError(ValueError):
@@ -350,7 +350,7 @@ def _whole_samples(decode: Callable[[bytes], tuple[np.ndarray, int]], data: byte
     """A native little-endian frame of a picture of samples as they are stored."""
     try:
         px, bits = decode(data)
-    except (jpeg.JpegError, jpegls.JpegLsError) as e:
+    except (jpeg.JpegError, jpegls.JpegLsError, jpeg2000.Jpeg2000Error) as e:
         raise CodecError(str(e)) from e
     if px.shape != (im.rows, im.columns, im.samples) or bits > im.allocated or im.allocated not in (8, 16):
         raise CodecError(f"picture of {px.shape} and {bits} bits is not what the object declares")
@@ -366,6 +366,13 @@ def jpeg_ls_decode(data: bytes, im: Image) -> bytes:
     return _whole_samples(jpegls.decode, data, im)
 
 
+def jpeg_2000_decode(data: bytes, im: Image) -> bytes:
+    """Colours come out as RGB, whatever the object says of their transform."""
+    out = _whole_samples(jpeg2000.decode, data, im)
+    im.photometric = "RGB" if im.photometric in ("YBR_RCT", "YBR_ICT") else im.photometric
+    return out
+
+
 def _stored(native: bytes, im: Image) -> tuple[np.ndarray, int]:
     """Samples as unsigned numbers of the bits that are coded: the stored ones, or all of the cell if some are set above."""
     if im.allocated not in (8, 16):
@@ -388,6 +395,16 @@ def jpeg_ls_encode(native: bytes, im: Image) -> bytes:
         raise CodecError(str(e)) from e
 
 
+def jpeg_2000_encode(native: bytes, im: Image) -> bytes:
+    """Lossless; three components are coded with the reversible colour transform."""
+    try:
+        out = jpeg2000.encode(*_stored(native, im))
+    except jpeg2000.Jpeg2000Error as e:
+        raise CodecError(str(e)) from e
+    im.photometric = "YBR_RCT" if im.photometric == "RGB" else im.photometric
+    return out
+
+
 def jpeg_dct_decode(data: bytes, im: Image) -> bytes:
     """A native little-endian frame of a baseline or extended JPEG frame, in the declared colours at full resolution."""
     try:
@@ -451,12 +468,13 @@ def jpeg_file(picture: np.ndarray, quality: int = 90) -> bytes:
 JPEG_BASELINE, JPEG_EXTENDED = "1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.51"
 JPEG_LOSSLESS = ("1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
 JPEG_LS, JPEG_LS_NEAR = "1.2.840.10008.1.2.4.80", "1.2.840.10008.1.2.4.81"
+JPEG_2000 = ("1.2.840.10008.1.2.4.90", "1.2.840.10008.1.2.4.91")
 #: Decoders to native little-endian frames by transfer syntax; others pass through with a concern.
 DECODERS: dict[str, Callable[[bytes, Image], bytes]] = {
     IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_decode, **dict.fromkeys((JPEG_BASELINE, JPEG_EXTENDED), jpeg_dct_decode), **dict.fromkeys(JPEG_LOSSLESS, jpeg_lossless_decode),
-    **dict.fromkeys((JPEG_LS, JPEG_LS_NEAR), jpeg_ls_decode),
+    **dict.fromkeys((JPEG_LS, JPEG_LS_NEAR), jpeg_ls_decode), **dict.fromkeys(JPEG_2000, jpeg_2000_decode),
 }
-ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode, JPEG_BASELINE: jpeg_baseline_encode, JPEG_LOSSLESS[1]: jpeg_lossless_encode, JPEG_LS: jpeg_ls_encode}
+ENCODERS: dict[str, Callable[[bytes, Image], bytes]] = {IMPLICIT: lambda b, im: b, EXPLICIT: lambda b, im: b, BIG: lambda b, im: swap(b, im.allocated // 8), RLE: rle_encode, JPEG_BASELINE: jpeg_baseline_encode, JPEG_LOSSLESS[1]: jpeg_lossless_encode, JPEG_LS: jpeg_ls_encode, JPEG_2000[0]: jpeg_2000_encode}
 #: Pictures of frames: RGBA samples (rows, columns, 4) to the bytes of a file.
 PICTURES: dict[str, Callable[[np.ndarray], bytes]] = {"png": png_encode, "tiff": tiff_encode, "jpeg": jpeg_file, "rgba": np.ndarray.tobytes}
 

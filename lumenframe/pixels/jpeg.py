@@ -1,4 +1,4 @@
-"""JPEG with Huffman coding (ITU-T T.81) in NumPy: lossless pictures (process 14), baseline and extended sequential DCT pictures (1, 2, 4), a baseline encoder and a lossless one."""
+"""JPEG with Huffman coding (ITU-T T.81) in NumPy: lossless pictures (process 14), baseline, extended sequential and progressive DCT pictures (1, 2, 4, 10), a baseline encoder and a lossless one."""
 
 from __future__ import annotations
 
@@ -76,12 +76,14 @@ def _predicted(d: np.ndarray, predictor: int, first: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _segments(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(marker, body, entropy-coded bytes that follow a scan's header) of a picture; ends with an error, as readers stop at their last scan."""
+def _segments(data: bytes, may_end: list | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+    """(marker, body, entropy-coded bytes that follow a scan's header) of a picture; its end is an error, as readers stop at their last scan, unless may_end has something in it."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("no JPEG picture")
     at = 2
     while True:
+        if may_end and data[at : at + 2] == b"\xff\xd9":
+            return
         if at + 4 > len(data) or data[at] != 0xFF:
             raise JpegError("marker expected")
         mark = data[at + 1]
@@ -200,14 +202,103 @@ def _blocks(data: bytes, plan: list[tuple[int, list, list]], n: int) -> list[lis
     return out
 
 
+class _Bits:
+    """Single bits and codes of entropy-coded data, for progressive scans."""
+
+    def __init__(self, data: bytes):
+        self.data = data.replace(b"\xff\x00", b"\xff")
+        self.whole, self.held, self.left, self.at = 8 * len(self.data), 0, 0, 0
+
+    def take(self, n: int) -> int:
+        if not n:
+            return 0
+        while self.left < 32:
+            self.held = (self.held & ((1 << self.left) - 1)) << 64 | int.from_bytes(self.data[self.at : self.at + 8].ljust(8, b"\0"), "big")
+            self.left, self.at = self.left + 64, self.at + 8
+        self.left -= n
+        if 8 * self.at - self.left > self.whole:
+            raise JpegError("entropy-coded data are cut off")
+        return self.held >> self.left & ((1 << n) - 1)
+
+    def symbol(self, table: list[tuple[int, int]]) -> int:
+        if self.left < 32:
+            self.take(1)
+            self.left += 1
+        length, value = table[self.held >> (self.left - 16) & 65535]
+        if not length:
+            raise JpegError("entropy-coded data are damaged")
+        self.take(length)
+        return value
+
+    def value(self, size: int) -> int:
+        low = self.take(size)
+        return low if not size or low >> (size - 1) else low - (1 << size) + 1
+
+
+def _progress(data: bytes, plan: list[tuple[int, list, list]], blocks: list[list[int]], band: tuple[int, int], high: int, low: int) -> None:
+    """One restart interval of a progressive scan into blocks (coefficients as coded), in the order of the plan's units. band: first and last coefficient; high: bits that earlier scans gave; low: bits left out."""
+    bits = _Bits(data)
+    first, last = band
+    one, skip = 1 << low, 0
+    before = dict.fromkeys((k for k, _, _ in plan), 0)
+
+    def refine(block: list[int], i: int) -> None:
+        if bits.take(1) and not abs(block[i]) & one:
+            block[i] += one if block[i] > 0 else -one
+
+    for at, block in enumerate(blocks):
+        k, dc, ac = plan[at % len(plan)]
+        if not first:
+            if high:
+                block[0] |= bits.take(1) << low
+            else:
+                before[k] += bits.value(bits.symbol(dc))
+                block[0] = before[k] << low
+            continue
+        i = first
+        if not skip:
+            while i <= last:
+                run, size = divmod(bits.symbol(ac), 16)
+                if not size and run < 15:
+                    skip = (1 << run) + bits.take(run)
+                    break
+                if not high:
+                    i += run
+                    if i > last:
+                        raise JpegError("a block has too many coefficients")
+                    if size:
+                        block[i] = bits.value(size) << low
+                    i += 1
+                    continue
+                new = (one if bits.take(1) else -one) if size else 0
+                while i <= last:
+                    if block[i]:
+                        refine(block, i)
+                    else:
+                        run -= 1
+                        if run < 0:
+                            break
+                    i += 1
+                if new and i <= last:
+                    block[i] = new
+                i += 1
+        if skip:
+            if high:
+                for j in range(i, last + 1):
+                    if block[j]:
+                        refine(block, j)
+            skip -= 1
+
+
 def decode_dct(data: bytes) -> tuple[np.ndarray, int, int | None]:
-    """(rows x columns x components, bits of a sample, colour transform of an Adobe or JFIF marker) of a sequential DCT picture; subsampled components are repeated."""
+    """(rows x columns x components, bits of a sample, colour transform of an Adobe or JFIF marker) of a sequential or progressive DCT picture; subsampled components are repeated."""
     tables: dict[int, list[tuple[int, int]]] = {}
     steps: dict[int, np.ndarray] = {}
     restart, parts, transform, jfif, ids = 0, [], None, False, []
     done: set[int] = set()
+    progressive: list[int] = []
     try:
-        for mark, body, coded in _segments(data):
+        for mark, body, coded in _segments(data, progressive):
             if mark == 0xC4:
                 _read_huffman(body, tables)
             elif mark == 0xDB:
@@ -221,7 +312,9 @@ def decode_dct(data: bytes) -> tuple[np.ndarray, int, int | None]:
                 jfif = jfif or body[:5] == b"JFIF\0"
             elif mark == 0xEE and body[:5] == b"Adobe":
                 transform = body[11]
-            elif mark in (0xC0, 0xC1):
+            elif mark in (0xC0, 0xC1, 0xC2):
+                if mark == 0xC2:
+                    progressive.append(mark)
                 bits, rows, columns, n = struct.unpack_from(">BHHB", body)
                 ids = [body[6 + 3 * i] for i in range(n)]
                 across, down, quant = ([f(body[7 + 3 * i + j]) for i in range(n)] for f, j in ((lambda b: b >> 4, 0), (lambda b: b & 15, 0), (int, 1)))
@@ -238,7 +331,10 @@ def decode_dct(data: bytes) -> tuple[np.ndarray, int, int | None]:
                 if not parts:
                     raise JpegError("scan before frame")
                 own = [ids.index(body[1 + 2 * i]) for i in range(body[0])]
-                used = [(tables[body[2 + 2 * i] >> 4], tables[16 | body[2 + 2 * i] & 15]) for i in range(body[0])]
+                used = [(tables.get(body[2 + 2 * i] >> 4), tables.get(16 | body[2 + 2 * i] & 15)) for i in range(body[0])]
+                first, last, high_bits, low_bits = body[1 + 2 * body[0]], body[2 + 2 * body[0]], body[3 + 2 * body[0]] >> 4, body[3 + 2 * body[0]] & 15
+                if any((dc is None and not first and not (progressive and high_bits)) or (ac is None and (first or not progressive)) for dc, ac in used):
+                    raise JpegError("a scan lacks its tables")
                 if len(own) == 1:  # blocks of the component alone, without those that only fill units
                     k = own[0]
                     wide, high = -(-(-(-columns * across[k] // most_x)) // 8), -(-(-(-rows * down[k] // most_y)) // 8)
@@ -253,13 +349,24 @@ def decode_dct(data: bytes) -> tuple[np.ndarray, int, int | None]:
                 runs = re.split(rb"\xff+[\xd0-\xd7]", coded) if restart else [coded]
                 if not own or len(runs) < -(-total // step):
                     raise JpegError("restart intervals are missing")
-                found = [b for lo, run in zip(range(0, total, step), runs, strict=False) for b in _blocks(run, plan, min(step, total - lo))]
+                if progressive:
+                    if first > last or last > 63 or (first == 0) != (last == 0) or (first and len(own) > 1) or low_bits > 13:
+                        raise JpegError("scan parameters not supported")
+                    views = [parts[k][y : high * grow[k][0] : grow[k][0], x : wide * grow[k][1] : grow[k][1]] for k, y, x in inside]
+                    blocks = np.stack(views, 2).reshape(-1, 64).tolist()
+                    for lo, run in zip(range(0, total, step), runs, strict=False):
+                        _progress(run, plan, blocks[lo * len(plan) : min(lo + step, total) * len(plan)], (first, last), high_bits, low_bits)
+                    found = blocks
+                else:
+                    found = [b for lo, run in zip(range(0, total, step), runs, strict=False) for b in _blocks(run, plan, min(step, total - lo))]
                 each = np.array(found, np.int64).reshape(high, wide, len(inside), 64)
                 for j, (k, y, x) in enumerate(inside):
                     parts[k][y : high * grow[k][0] : grow[k][0], x : wide * grow[k][1] : grow[k][1]] = each[:, :, j]
                 done |= set(own)
-                if len(done) == len(ids):
+                if len(done) == len(ids) and not progressive:
                     break
+        if len(done) < len(ids):
+            raise JpegError("scans are missing")
         planes = []
         for k, part in enumerate(parts):
             natural = np.zeros(part.shape)

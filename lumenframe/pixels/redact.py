@@ -38,6 +38,10 @@ def fill(picture: np.ndarray, found: list[Box], value: int | tuple[int, ...]) ->
     return out
 
 
+class RegionError(ValueError):
+    """More text than is looked at."""
+
+
 @dataclass(frozen=True)
 class TextOptions:
     bright_share: float = 0.975
@@ -97,11 +101,13 @@ def components(mask: np.ndarray, most: int) -> list[tuple[int, int, int, int, in
     for i, (a, b, y) in enumerate(runs):
         c = out.setdefault(top(i), [a, y, b, y + 1, 0])
         c[0], c[2], c[3], c[4] = min(c[0], a), max(c[2], b), max(c[3], y + 1), c[4] + b - a
-    return [tuple(c) for c in out.values()][:most]
+    if len(out) > most:
+        raise RegionError(f"{len(out)} bright components, {most} at most are looked at")
+    return [tuple(c) for c in out.values()]
 
 
 def text_regions(picture: np.ndarray, o: TextOptions = TextOptions()) -> list[Box]:  # noqa: B008
-    """Boxes of bright text near the borders of an RGBA picture."""
+    """Boxes of bright text near the borders of an RGBA picture. RegionError if there are more than the limits: the picture is then held back, as text would stay in it."""
     rows, columns = picture.shape[:2]
     if not rows or not columns:
         return []
@@ -149,4 +155,13 @@ def text_regions(picture: np.ndarray, o: TextOptions = TextOptions()) -> list[Bo
             box = (max(0, a - o.pad_x), max(0, b - o.pad_y), min(columns, c + o.pad_x), min(rows, d + o.pad_y))
             if (box[2] - box[0]) * (box[3] - box[1]) >= o.least_area:
                 out.append(box)
-    return sorted(out, key=lambda b: (b[1], b[0]))[: o.most_regions]
+    if len(out) > o.most_regions:
+        raise RegionError(f"{len(out)} text regions, {o.most_regions} at most are filled")
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def top_colours(picture: np.ndarray, box: Box | None = None, k: int = 3) -> list[tuple[tuple[int, ...], int]]:
+    """The k most common colours of a picture's box with their counts; of equally common ones the darker first."""
+    x0, y0, x1, y1 = box or (0, 0, picture.shape[1], picture.shape[0])
+    found, n = np.unique(picture[y0:y1, x0:x1].reshape(-1, picture.shape[2]), axis=0, return_counts=True)
+    return [(tuple(found[i].tolist()), int(n[i])) for i in np.lexsort((np.arange(len(n)), -n))[:k]]

@@ -6,11 +6,11 @@ was read, then de-identification, then pixels, then the target.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.operators import assets, deid, entities, fhir, frames, normalize, validate
@@ -22,14 +22,18 @@ from lumenframe.schema import ELEMENT_NAMES
 from lumenframe.sinks import packages
 from lumenframe.sinks import part10 as writer
 from lumenframe.sources import metadata, objects, part10
-from lumenframe.sources.rows import element_rows, object_rows
+from lumenframe.sources.rows import custom_objects, element_rows, object_rows
 
-ELEMENT_FORMATS = ("dicom", "dicom-json", "dicom-xml")
+ELEMENT_FORMATS = ("dicom", "dicom-json", "dicom-xml", "custom")
 FORMATS = (*ELEMENT_FORMATS, "bytes", "image", "imaging", "json", "xml")
 
 
 class BuildError(ValueError):
-    """A pipeline whose stages do not fit together."""
+    """A pipeline whose stages do not fit together; code says what is wrong, for programs."""
+
+    def __init__(self, message: str, code: str = "InvalidBuildState"):
+        super().__init__(message)
+        self.code = code
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,7 @@ class Pipeline:
     spark: SparkSession
     source: Callable[[], DataFrame] | None = None
     format: str | None = None
+    parser: Callable[[str, bytes], Iterable[dict]] | None = None
     options: part10.Options = part10.Options()
     goal: str | None = None
     mask: deid.Mask | None = None
@@ -47,6 +52,7 @@ class Pipeline:
     normalization: dict[str, Any] | None = None
     handlers: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     codecs: Registry | None = None
+    progress: Observation | None = None
     target: str | None = None
     argument: Any = None
 
@@ -69,18 +75,23 @@ class Pipeline:
     def from_http(self, urls: list[str], **options: Any) -> Pipeline:
         return replace(self, source=lambda: objects.demux(objects.read_http(self.spark, urls, **options)))
 
-    def from_dicomweb(self, base: str, mode: str = "qido-search", timeout: float = 30.0, **query: Any) -> Pipeline:
-        return self.from_http([objects.dicomweb_url(base, mode, **query)], accept=objects.ACCEPT[mode], timeout=timeout)
+    def from_dicomweb(self, base: str, mode: str = "qido-search", timeout: float = 30.0, each: Sequence[dict] = ({},), **query: Any) -> Pipeline:
+        """each: a request for every dict of UIDs, level or query, besides what they all share."""
+        return self.from_http([objects.dicomweb_url(base, mode, **query, **one) for one in each], accept=objects.ACCEPT[mode], timeout=timeout)
 
     def from_reader(self, read: Callable[[SparkSession], DataFrame]) -> Pipeline:
         return replace(self, source=lambda: read(self.spark))
 
     # formats
     def of(self, fmt: str, options: part10.Options | None = None) -> Pipeline:
-        if fmt not in FORMATS:
-            raise BuildError(f"unknown format {fmt!r}")
+        if fmt not in FORMATS or fmt == "custom":
+            raise BuildError(f"unknown format {fmt!r}", "InvalidParser")
         return replace(self, format=fmt, options=options or self.options)
 
+    def of_parser(self, parse: Callable[[str, bytes], Iterable[dict]]) -> Pipeline:
+        """A format of the user's own: a function of (instance, bytes) that gives its elements."""
+        return replace(self, format="custom", parser=parse)
+
     # transforms
     def with_bulk_policy(self, policy: str) -> Pipeline:
         if policy not in ("materialize", "auto", "stream"):
@@ -110,6 +121,10 @@ class Pipeline:
             raise BuildError("mode is frames or dicom, unknown is fail or passthrough")
         return replace(self, normalization={"mode": mode, "unknown": unknown, "stretched": stretched})
 
+    def with_progress(self, progress: Observation) -> Pipeline:
+        """Counters of what is read, known to the observation after the first action: objects, failed, elements, value_bytes."""
+        return replace(self, progress=progress)
+
     def with_handler(self, handler: Callable[[DataFrame], DataFrame]) -> Pipeline:
         return replace(self, handlers=(*self.handlers, handler))
 
@@ -201,57 +216,60 @@ class Pipeline:
     def check(self) -> None:
         """Raises BuildError unless source, format, filters and target fit."""
         if self.source is None:
-            raise BuildError("no source")
+            raise BuildError("no source", "InvalidReader")
         if self.format is None:
-            raise BuildError("no format")
+            raise BuildError("no format", "MissingParser")
         if self.target is None:
-            raise BuildError("no target")
+            raise BuildError("no target", "MissingHandler")
         elementwise = self.format in ELEMENT_FORMATS
         if self.target == "structured" and self.format not in ("json", "xml"):
-            raise BuildError("structured values need json or xml")
+            raise BuildError("structured values need json or xml", "IncompatibleParserAndHandler")
         if self.normalization:
             if self.format != "imaging":
-                raise BuildError("normalisation needs the imaging format")
+                raise BuildError("normalisation needs the imaging format", "IncompatibleNormalizationAndParser")
             if self.target not in (("frames", "pictures") if self.normalization["mode"] == "frames" else ("objects",)):
                 raise BuildError("normalisation gives frames or pictures, or with mode dicom objects")
         elif self.target == "wrapped":
             if self.format not in ("bytes", "json"):
-                raise BuildError("documents to wrap are bytes or json")
+                raise BuildError("documents to wrap are bytes or json", "IncompatibleParserAndHandler")
         elif self.target not in ("objects", "structured") and not elementwise:
-            raise BuildError(f"{self.target} needs a format of elements, not {self.format}")
+            raise BuildError(f"{self.target} needs a format of elements, not {self.format}", "IncompatibleParserAndHandler")
         if (self.goal or self.mask) and not elementwise:
-            raise BuildError("validation and de-identification need elements")
+            raise BuildError("validation and de-identification need elements", "IncompatibleDeIdentificationAndParser" if self.mask else "IncompatibleValidationAndParser")
         if (self.pixels or self.target in ("frames", "pictures", "dicom", "assets", "archive")) and self.format != "dicom" and not self.normalization:
-            raise BuildError("frames and binary objects need the dicom format")
+            raise BuildError("frames and binary objects need the dicom format", "IncompatibleTranscodingAndParser" if self.pixels else "IncompatibleParserAndHandler")
         if self.pixels and self.target not in ("frames", "pictures"):
-            raise BuildError("pixel filters need frames or pictures as the target")
+            raise BuildError("pixel filters need frames or pictures as the target", "IncompatibleTranscodingAndParser")
 
-    def _wanted(self) -> tuple[frozenset[str] | None, str | None]:
-        """The tags that the target reads (None: all), and the one after which it reads none."""
+    def _wanted(self) -> frozenset[str] | None:
+        """The tags that the target reads (None: all). Objects are walked to their end all the same, as one that is cut off fails."""
         if self.goal or self.handlers:
-            return None, None
+            return None
         if self.target == "selection":  # also of elements inside later sequences
-            return frozenset(self.argument.tags), None
+            return frozenset(self.argument.tags)
         if self.target == "mapping":
-            return frozenset(self.argument.needed_tags()), None
+            return frozenset(self.argument.needed_tags())
         if self.target in ("assets", "archive"):
-            return assets.needed(self.argument[0]), None
-        tags = {"imaging_study": fhir.NEEDED, "entities": entities.NEEDED, "documents": packages.DOCUMENT_TAGS, "frames": frames.NEEDED, "pictures": frames.NEEDED}.get(self.target)
-        return tags, max(tags) if tags else None
+            return assets.needed(self.argument[0])
+        return {"imaging_study": fhir.NEEDED, "entities": entities.NEEDED, "documents": packages.DOCUMENT_TAGS, "frames": frames.NEEDED, "pictures": frames.NEEDED}.get(self.target)
 
     def _read(self, source: DataFrame, options: part10.Options) -> DataFrame:
         if self.format == "dicom":
             return part10.read_objects(source, options)
+        if self.format == "custom":
+            return custom_objects(source, self.parser)
         text = source.withColumn("text", F.col("content").cast("string"))
         return (metadata.read_json_objects if self.format == "dicom-json" else metadata.read_xml_objects)(text, "text")
 
     def parsed(self) -> DataFrame:
         """Whole objects (schema.PARSED) after validation, de-identification and handlers. Each object is read and parsed once, whatever the target."""
-        wanted, last = self._wanted()
-        options = replace(self.options, wanted=wanted, stop_after=last)
+        options = replace(self.options, wanted=self._wanted())
         if options.bulk == "auto" and self.target in ("frames", "pictures", "documents", "dicom", "assets", "archive"):
             options = replace(options, bulk="materialize")  # these targets are made of the bytes
         found = self._read(self.source(), options)
+        if self.progress is not None:
+            length = F.aggregate("elements", F.lit(0).cast("long"), lambda n, e: n + F.when(e["value_length"].between(0, (1 << 32) - 2), e["value_length"]).otherwise(F.lit(0)))
+            found = found.observe(self.progress, F.count(F.lit(1)).alias("objects"), F.count("error_message").alias("failed"), F.sum(F.size("elements")).alias("elements"), F.sum(length).alias("value_bytes"))
         if self.goal == "strict":
             found = validate.strict_objects(validate.object_concerns(found))
         if self.mask is not None:

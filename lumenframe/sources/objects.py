@@ -26,14 +26,17 @@ def _objects(files: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str, recursive: bool = True, hidden: bool = False, extensions: Sequence[str] = (), max_files: int | None = None, sort: str = "name") -> DataFrame:
-    """Files as objects. max_files keeps the first by name or (sort='mtime') by time; hidden files are left out by default."""
+    """Files as objects. max_files keeps the first by name, by time (sort='mtime') or any (sort='none'); hidden files are left out by default."""
+    if sort not in ("name", "mtime", "none"):
+        raise ValueError("sort is name, mtime or none")
     files = spark.read.format("binaryFile").schema(BINARY).option("recursiveFileLookup", str(recursive).lower()).load(path)
     if not hidden:
         files = files.filter(~F.col("path").rlike(r"/\.[^/]*$"))
     if extensions:
         files = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*(e.lower().lstrip(".") for e in extensions)))
     if max_files is not None:
-        chosen = files.select("path", "modificationTime").orderBy(*(["modificationTime", "path"] if sort == "mtime" else ["path"])).limit(max_files).select("path")
+        named = files.select("path", "modificationTime")
+        chosen = (named if sort == "none" else named.orderBy(*(["modificationTime", "path"] if sort == "mtime" else ["path"]))).limit(max_files).select("path")
         files = files.join(chosen, "path", "left_semi")
     return _objects(files)
 

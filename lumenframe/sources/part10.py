@@ -31,7 +31,7 @@ class Options:
     """bulk: materialize, auto (values over the threshold are left out) or stream (all byte values are).
 
     wanted: the only tags, at any depth, whose elements are kept; others are passed over without decoding their values.
-    stop_after: a top-level tag after which nothing is read. Ordinals are those of a full read.
+    stop_after: a top-level tag after which nothing is read, so that an object which is cut off later is not noticed. Ordinals are those of a full read.
     """
 
     bulk: str = "auto"
@@ -139,6 +139,13 @@ class _Reader:
         path_text = "".join(f"{t}[{i}]/" for t, i in path)
         self.rows.append((self.id, ordinal, [{"tag": t, "item": i} for t, i in path], path_text, len(path), meta, tag, vr, length, complete, text, strs, ints, dbls, raw, None, bulk, offset if bulk else None))
 
+    def passes_over(self, tag: str) -> bool:
+        """Whether an element is only counted; its value is not copied."""
+        if self.options.wanted is None or tag in self.options.wanted or tag in ("00080005", "00020010"):
+            return False
+        self.n += 1
+        return True
+
     def encapsulated(self, at: int, order: str) -> int:
         """The end of an encapsulated value, after checking its items."""
         first, count = True, 0
@@ -198,12 +205,14 @@ class _Reader:
                 if tag != "7FE00010" and vr not in ("OB", "OW"):
                     raise ParseError(f"undefined length of {tag} {vr}")
                 stop = self.encapsulated(start, order)
-                self.add(path, meta, tag, vr, self.data[start:stop], _UNDEFINED, order, start)
+                if not self.passes_over(tag):
+                    self.add(path, meta, tag, vr, self.data[start:stop], _UNDEFINED, order, start)
                 at = stop
                 continue
             if start + n > len(self.data) or start + n > limit:
                 raise ParseError(f"value of {tag} is cut off: {n} bytes declared, {limit - start} there")
-            self.add(path, meta, tag, vr, self.data[start : start + n], n, order, start)
+            if not self.passes_over(tag):
+                self.add(path, meta, tag, vr, self.data[start : start + n], n, order, start)
             at = start + n
         if path and end is None and at >= limit:
             raise ParseError("item without its end")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,6 +49,34 @@ def batches_of(parsed: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(held)
 
 
+def custom_objects(objects: DataFrame, parse: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
+    """Whole parsed objects by a user's parser: (instance, bytes) to elements as dicts of their columns (tag, vr and str at least). An error it raises is the object's message."""
+    failed = F.col("error_message") if "error_message" in objects.columns else F.lit(None).cast("string")
+    plain = {"path": [], "path_text": "", "depth": 0, "is_meta": False, "is_complete": True, "is_bulk": False}
+
+    def row(instance: str, ordinal: int, given: dict) -> tuple:
+        text = given.get("str")
+        held = {**plain, "ordinal": ordinal, "value_length": len(text.encode()) if text is not None else len(given.get("bin") or b""), "strs": None if text is None else text.split("\\"), **given}
+        return (instance, *(held.get(n) for n in ELEMENT_NAMES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    instance, seen, error, content = (batch.column(k)[i].as_py() for k in range(4))
+                    rows: list[tuple] = []
+                    if error is None:
+                        try:
+                            rows = [row(instance, k, e) for k, e in enumerate(parse(instance, content or b""))]
+                        except Exception as e:  # a user's code fails in its own ways
+                            error = f"{type(e).__name__}: {e}"
+                    yield instance, seen, None, error, rows
+
+        return batches_of(each())
+
+    return objects.select("instance_id", order_of(objects), failed, "content").mapInArrow(run, PARSED)
+
+
 def order_of(objects: DataFrame) -> Column:
     """What orders the objects of a source: path and part, or the name of objects that have none."""
     have = set(objects.columns)
@@ -86,4 +114,4 @@ def object_rows(elements: DataFrame) -> DataFrame:
     return rows.select("instance_id", "seen", "transfer_syntax_uid", "error_message", "elements")
 
 
-__all__ = ["PARSED", "batches_of", "element_rows", "object_rows", "order_of"]
+__all__ = ["PARSED", "batches_of", "custom_objects", "element_rows", "object_rows", "order_of"]

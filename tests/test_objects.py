@@ -14,7 +14,7 @@ from lumenframe.dictionary import EXPLICIT, KEYWORDS, RLE
 from lumenframe.operators import deid, fhir, frames, validate
 from lumenframe.operators.mapping import Mapping
 from lumenframe.operators.select import Selection
-from lumenframe.pixels import codecs, jpeg, jpegls
+from lumenframe.pixels import codecs, jpeg, jpeg2000, jpegls
 from lumenframe.plans.pipeline import BuildError, Pipeline
 from lumenframe.sources import objects, part10
 from lumenframe.sources.rows import element_rows, object_rows
@@ -198,7 +198,7 @@ def test_jpeg_ls():
             jpegls.decode(LS_VECTOR[:n])
 
 
-@pytest.mark.parametrize("uid", [codecs.JPEG_LS, codecs.JPEG_LOSSLESS[1], RLE])
+@pytest.mark.parametrize("uid", [codecs.JPEG_LS, codecs.JPEG_LOSSLESS[1], codecs.JPEG_2000[0], RLE])
 def test_lossless_frames_there_and_back(spark, uid):
     p = Pipeline(spark).from_bytes([("a", part10_bytes())]).of("dicom").with_transcoding(uid, "fail")
     coded = p.to_frames().build().first()
@@ -239,3 +239,134 @@ def test_records_keep_their_order_through_handlers(spark):
 def test_raw_headers_are_read_past_wanted_tags():
     rows, syntax = part10.parse("a", part10_bytes(), part10.Options(wanted=frozenset({"7FE00010"})))
     assert [r[6] for r in rows] == ["7FE00010"] and syntax == EXPLICIT and struct.calcsize("<H") == 2
+
+
+def test_patients_are_merged_and_totals_may_conflict(spark):
+    more = lambda name, total: part10_bytes(name=name).replace(element("00200013", "IS", b"1\\2"), element("00200013", "IS", b"1\\2") + element("00201206", "IS", total))
+    p = lambda *totals: Pipeline(spark).from_bytes([(f"o{i}", more(name, t)) for i, (name, t) in enumerate(zip(("DOE^JANE", "ROE^JANE", "DOE^JANE"), totals, strict=False))]).of("dicom")
+    full = json.loads(p(b"1", b"1", b"1").to_imaging_study().build().first().resource)
+    assert [n["family"] for n in full["contained"][0]["name"]] == ["DOE", "ROE"]
+    assert p(b"4", b"4").to_imaging_study("study-summary").build().first().number_of_series == 4
+    with pytest.raises(Exception, match="conflicting totals"):
+        p(b"4", b"5").to_imaging_study("study-summary").build().collect()
+    assert "subject" not in json.loads(p(b"1").to_imaging_study(subject="none").build().first().resource)
+
+
+def test_progress_counts_objects(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("read")
+    p = Pipeline(spark).from_bytes([("a", part10_bytes()), ("b", part10_bytes()[:-1])]).of("dicom").with_progress(seen)
+    p.to_entities().build().collect()
+    assert (seen.get["objects"], seen.get["failed"]) == (2, 1) and seen.get["elements"] > 0
+
+
+def test_error_codes():
+    with pytest.raises(BuildError) as e:
+        Pipeline(None).of("nothing")
+    assert e.value.code == "InvalidParser"
+    with pytest.raises(BuildError) as e:
+        Pipeline(None, source=lambda: None, format="json").to_frames().check()
+    assert e.value.code == "IncompatibleParserAndHandler"
+
+
+def test_frames_that_cannot_be_redacted_are_held_back(spark):
+    f = frames.extract_frames(part10.read_elements(objects.from_bytes(spark, [("a", part10_bytes())]))).withColumn("transfer_syntax_uid", F.lit("1.2.3"))
+    r = frames.redact_frames(f, [{"x": 0, "y": 0, "width": 2, "height": 2}]).first()
+    assert r.bytes is None and "no codec" in r.concern
+    from lumenframe.pixels import redact
+
+    noise = np.zeros((64, 64, 4), np.uint8)
+    noise[::2, ::2] = 255
+    with pytest.raises(redact.RegionError):
+        redact.text_regions(noise, redact.TextOptions(most_components=10))
+
+
+def test_arithmetic_coder_by_its_published_sequence():
+    coded = bytes.fromhex("84c73bfce1a1430402200000410dbb86f4317fff88ff37471adb6adf")
+    plain = bytes.fromhex("00020051000000c00352872aaaaaaaaa82c02000fcd79ef6bf7fed904f46a3bf")
+    d, e = jpeg2000.MqDecoder(coded + b"\xff\xac"), jpeg2000.MqEncoder()
+    d.index, e.index = [0] * 19, [0] * 19
+    for byte in plain:
+        for k in reversed(range(8)):
+            assert d.bit(0) == byte >> k & 1
+            e.bit(0, byte >> k & 1)
+    assert e.flush() == coded
+
+
+def test_jpeg_2000():
+    rng = np.random.default_rng(6)
+    for bits, shape in ((8, (33, 47, 1)), (12, (70, 130, 1)), (8, (20, 30, 3)), (16, (9, 9, 1)), (8, (1, 40, 1)), (1, (20, 20, 1))):
+        y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
+        for px in (rng.integers(0, 1 << bits, shape), np.minimum((1 << bits) - 1, (x + y)[:, :, None] + np.zeros(shape, int)), np.zeros(shape, int)):
+            coded = jpeg2000.encode(px, bits)
+            got, depth = jpeg2000.decode(coded)
+            assert depth == bits and np.array_equal(got, px)
+    box = struct.pack(">I4s", 8 + len(coded), b"jp2c") + coded
+    assert np.array_equal(jpeg2000.decode(struct.pack(">I4s", 12, b"jP  ") + b"\r\n\x87\n" + box)[0], px)
+    flat = np.full((5, 4), 7.0)
+    assert np.allclose(jpeg2000._lifted(flat, np.zeros((4, 4)), 0, 0, False), 7.0, atol=1e-6), "the irreversible wavelet keeps a level"
+    coded = jpeg2000.encode(rng.integers(0, 256, (24, 24, 1)), 8)
+    for n in (0, 2, 30, 60, 90, len(coded) // 2):
+        with pytest.raises(jpeg2000.Jpeg2000Error):
+            jpeg2000.decode(coded[:n])
+
+
+def test_parsers_of_users(spark):
+    def lines(instance, data):
+        for line in data.decode().splitlines():
+            tag, vr, text = line.split(" ", 2)
+            yield {"tag": tag, "vr": vr, "str": text}
+
+    p = Pipeline(spark).from_bytes([("a", b"00100010 PN DOE^J\n00080060 CS SEG"), ("b", b"damaged")]).of_parser(lines)
+    assert [(r.instance_id, r.entity_kind) for r in p.to_entities().build().collect()] == [("a", "Segmentation")]
+    assert [(r.instance_id, r.code) for r in p.concerns().collect()] == [("b", "ParserError")]
+    assert p.to_mapping(Mapping().with_tag("PatientName", "n")).build().first().n == "DOE^J"
+
+
+def test_top_colours_of_a_region():
+    from lumenframe.pixels import redact
+
+    px = np.zeros((4, 4, 4), np.uint8)
+    px[0], px[1, :2] = (255, 0, 0, 255), (0, 9, 0, 255)
+    assert redact.top_colours(px) == [((0, 0, 0, 0), 10), ((255, 0, 0, 255), 4), ((0, 9, 0, 255), 2)]
+    assert redact.top_colours(px, (0, 0, 4, 2), 1) == [((255, 0, 0, 255), 4)]
+
+
+def test_several_web_requests():
+    asked = objects.dicomweb_url("http://x", "wado-metadata", study="1", level="study")
+    assert asked == "http://x/studies/1/metadata"
+
+
+def test_progressive_jpeg_of_another_codec(spark):
+    from test_imaging import java_image
+
+    jvm = java_image(spark)
+    y, x = np.mgrid[0:45, 0:53]
+    rgb = np.stack([128 + 90 * np.sin(x / 9), 128 + 90 * np.cos(y / 7), 60 + x + y], 2).astype(np.uint8)
+    for kind in (1, 10):
+        image = jvm.java.awt.image.BufferedImage(53, 45, kind)
+        for j in range(45):
+            for i in range(53):
+                r, g, b = rgb[j, i].tolist()
+                if kind == 10:
+                    image.getRaster().setSample(i, j, 0, g)
+                else:
+                    image.setRGB(i, j, r << 16 | g << 8 | b)
+        read = {}
+        for progressive in (False, True):
+            out = jvm.java.io.ByteArrayOutputStream()
+            writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+            options = writer.getDefaultWriteParam()
+            if progressive:
+                options.setProgressiveMode(1)
+            stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+            writer.setOutput(stream)
+            writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), options)
+            stream.flush()
+            coded = bytes(out.toByteArray())
+            assert (b"\xff\xc2" in coded) == progressive
+            read[progressive] = codecs.jpeg_picture(coded)
+        assert np.array_equal(read[False], read[True]), "the same coefficients in another order"
+        with pytest.raises(codecs.CodecError):
+            codecs.jpeg_picture(coded[: len(coded) // 2])
