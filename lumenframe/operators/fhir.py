@@ -97,41 +97,41 @@ def _earliest(value: Column) -> Column:
     return F.when(value.isNotNull() & (F.trim(value.cast("string")) != ""), F.struct("seen", value.alias("v")))
 
 
-def _first_texts(pairs: Column) -> Column:
-    """Of (seen, text) pairs the earliest of each text, in order."""
-    by_text = F.array_sort(F.transform(pairs, lambda p: F.struct(p["m"].alias("m"), p["seen"].alias("seen"))))
-    before = F.concat(F.array(F.lit(None)), F.transform(F.slice(by_text, 1, F.greatest(F.size(by_text) - 1, F.lit(0))), lambda p: F.struct(p["m"].alias("m"))))
-    first = F.filter(F.zip_with(by_text, before, lambda x, y: F.struct(x["seen"].alias("seen"), x["m"].alias("m"), x["m"].eqNullSafe(y["m"]).alias("again"), y.isNotNull().alias("held"))), lambda z: ~(z["held"] & z["again"]))
-    return F.array_sort(F.transform(first, lambda z: F.struct(z["seen"].alias("seen"), z["m"].alias("m"))))
+def _first_of_each(rows: Column, key: str, *rest: str) -> Column:
+    """Of an array of structs with `seen` the earliest of each key, in the order seen: struct(seen, key, rest)."""
+    by_key = F.array_sort(F.transform(rows, lambda r: F.struct(r[key].alias(key), r["seen"].alias("seen"), *(r[c].alias(c) for c in rest))))
+    before = F.concat(F.array(F.lit(None)), F.transform(F.slice(by_key, 1, F.greatest(F.size(by_key) - 1, F.lit(0))), lambda r: F.struct(r[key].alias(key))))
+    pairs = F.zip_with(by_key, before, lambda x, y: F.struct(x.alias("x"), (y.isNotNull() & x[key].eqNullSafe(y[key])).alias("again")))
+    return F.array_sort(F.transform(F.filter(pairs, lambda z: ~z["again"]), lambda z: F.struct(z["x"]["seen"].alias("seen"), z["x"][key].alias(key), *(z["x"][c].alias(c) for c in rest))))
 
 
-def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(instances, series, studies), deduplicated by UID; the first seen object of a UID wins.
+def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(series, studies), with instances deduplicated by UID; the first seen object of a UID wins.
 
-    Each level folds the one below: the earliest value of a study is the least
-    of the earliest values of its series. Three shuffles, each of less than the
-    one before, and no join; the records are read once.
+    A study folds its series: its earliest value is the least of theirs. Two
+    shuffles, the second of a row a series, and no join; the records are read
+    once.
     """
     head = {n: _earliest(F.col(c)) for n, c in _HEAD.items()} | {
         "started": _earliest(started(F.col("StudyDate"), F.col("StudyTime"), F.col("TimezoneOffsetFromUTC"))), "birth_date": _earliest(fhir_date(F.col("PatientBirthDate"))),
         "s_modality": _earliest(F.col("Modality")), "s_number": _earliest(fhir_unsigned(F.col("SeriesNumber"))), "s_description": _earliest(F.col("SeriesDescription")), "s_started": _earliest(started(F.col("SeriesDate"), F.col("SeriesTime"), F.col("TimezoneOffsetFromUTC"))),
     }
-    own = F.min(F.struct(F.col("seen").alias("_o"), clean(F.col("SOPInstanceUID")).alias("uid"), clean(F.col("SOPClassUID")).alias("class"), fhir_unsigned(F.col("InstanceNumber")).alias("number"))).alias("instance")
+    own = F.struct("seen", clean(F.col("SOPInstanceUID")).alias("uid"), clean(F.col("SOPClassUID")).alias("class"), fhir_unsigned(F.col("InstanceNumber")).alias("number"))
     said = F.struct(F.coalesce("ModalitiesInStudy", "Modality").alias("modality"), F.col("PatientName").alias("name"), F.col("PatientTelephoneNumbers").alias("phone"), F.col("PatientTelecomInformation").alias("telecom"), non_blank(F.col("NumberOfStudyRelatedSeries")).alias("n_series"), non_blank(F.col("NumberOfStudyRelatedInstances")).alias("n_instances"))
-    text = F.collect_set(F.struct("seen", said.alias("m")))
-    instances = rows.groupBy("StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID").agg(own, *(F.min(c).alias(n) for n, c in head.items()), F.min("seen").alias("seen"), _first_texts(text).alias("texts"))
-    series = instances.groupBy("StudyInstanceUID", "SeriesInstanceUID").agg(
-        *(F.min(n).alias(n) for n in head), F.count(F.lit(1)).alias("n_instances"), F.min("seen").alias("seen"), F.array_sort(F.collect_list("instance")).alias("instances"), _first_texts(F.flatten(F.collect_list("texts"))).alias("texts"),
-    )
-    series = series.select("StudyInstanceUID", "SeriesInstanceUID", *(F.col(n) for n in head if not n.startswith("s_")), F.col("s_modality")["v"].alias("modality"), F.col("s_number")["v"].alias("number"), F.col("s_description")["v"].alias("s_description"), F.col("s_started")["v"].alias("s_started"), "n_instances", "seen", "instances", "texts")
-    return instances, series, studies_of(series)
+    # what was said is said by most records of a series alike: one row for each way of saying it, before the series is put together
+    ways = rows.groupBy("StudyInstanceUID", "SeriesInstanceUID", said.alias("m")).agg(*(F.min(c).alias(n) for n, c in head.items()), F.min("seen").alias("seen"), F.collect_list(own).alias("instances"))
+    series = ways.groupBy("StudyInstanceUID", "SeriesInstanceUID").agg(*(F.min(n).alias(n) for n in head), F.min("seen").alias("first"), F.collect_list(F.struct("seen", "m")).alias("texts"), F.flatten(F.collect_list("instances")).alias("instances"))
+    series = series.withColumn("instances", _first_of_each(F.col("instances"), "uid", "class", "number")).withColumn("texts", _first_of_each(F.col("texts"), "m"))
+    fields = [F.col("s_modality")["v"].alias("modality"), F.col("s_number")["v"].alias("number"), F.col("s_description")["v"].alias("s_description"), F.col("s_started")["v"].alias("s_started")]
+    series = series.select("StudyInstanceUID", "SeriesInstanceUID", *(n for n in head if not n.startswith("s_")), *fields, F.size("instances").cast("long").alias("n_instances"), F.col("first").alias("seen"), "instances", "texts")
+    return series, studies_of(series)
 
 
 def studies_of(series: DataFrame, each: Column | None = None) -> DataFrame:
     """Series of `hierarchy` folded to studies; each: what a study keeps of a series, in order of appearance."""
     names = [*_HEAD, "started", "birth_date"]
     listed = [F.array_sort(F.collect_list(each)).alias("series")] if each is not None else []
-    out = series.groupBy("StudyInstanceUID").agg(*(F.min(n)["v"].alias(n) for n in names), _first_texts(F.flatten(F.collect_list("texts"))).alias("texts"), F.count(F.lit(1)).alias("n_series"), F.sum("n_instances").alias("n_instances"), *listed)
+    out = series.groupBy("StudyInstanceUID").agg(*(F.min(n)["v"].alias(n) for n in names), _first_of_each(F.flatten(F.collect_list("texts")), "m").alias("texts"), F.count(F.lit(1)).alias("n_series"), F.sum("n_instances").alias("n_instances"), *listed)
     union = lambda values: F.array_distinct(F.array_compact(values))
     said = lambda f: F.transform("texts", lambda p: f(p["m"]))
     unions = {
@@ -220,7 +220,7 @@ def imaging_study(rows: DataFrame, profile: str = "full", subject: str | dict =
     endpoints, templates = endpoints or {}, templates or {}
     if set(endpoints) - {"study", "series"} or set(templates) - {"study", "series", "subject"}:
         raise ValueError("endpoints are of study or series, templates also of subject")
-    _, series, studies = hierarchy(rows)
+    series, studies = hierarchy(rows)
     if profile == "full":
         series, series_endpoints = _endpoints(series, rows, ["StudyInstanceUID", "SeriesInstanceUID"], endpoints.get("series", []), templates.get("series"))
         studies = studies_of(series, _series_entry(series_endpoints))
